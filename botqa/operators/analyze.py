@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.grades import default_priority
+from ..functions.numeric import py_round
 from ..functions.text import prefix
 
 
@@ -27,9 +28,9 @@ def run_statistics(results: DataFrame, run_col: str = "run_id") -> DataFrame:
     return g.select(
         run_col, "total", "passed_count",
         (F.col("total") - F.col("passed_count")).alias("failed_count"),
-        F.round(F.col("passed_count") / F.col("total"), 4).alias("pass_rate"),
-        F.round(F.col("_lat") / F.col("total"), 2).alias("avg_latency_ms"),
-        F.round(F.col("_conf") / F.col("total"), 4).alias("avg_confidence"),
+        py_round(F.col("passed_count") / F.col("total"), 4).alias("pass_rate"),
+        py_round(F.col("_lat") / F.col("total"), 2).alias("avg_latency_ms"),
+        py_round(F.col("_conf") / F.col("total"), 4).alias("avg_confidence"),
     )
 
 
@@ -69,6 +70,8 @@ def _examples(df: DataFrame, keys: list[str], seq_col: str, n: int) -> DataFrame
 
     ``row_number() <= n`` gets a map-side WindowGroupLimit before the shuffle,
     so a hot group ships only n rows per map task."""
+    if "actual_response" not in df.columns:  # no reply text carried: no examples
+        return df.select(*keys).distinct().withColumn("examples", F.array().cast("array<string>"))
     w = Window.partitionBy(*keys).orderBy(seq_col)
     top = (df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
              .select(*keys, "_rn", prefix("actual_response", S.EXAMPLE_PREFIX_CHARS).alias("_ex")))
@@ -91,7 +94,7 @@ def patterns_by_type(failed: DataFrame, run_col: str = "run_id", seq_col: str =
     ptype = _pattern_type(F.col("_key"))
     out = out.select(
         run_col, F.col("_key").alias("type_key"), ptype.alias("failure_type"), "scenario_count",
-        F.round(F.col("scenario_count") / F.col("_total") * 100, 1).alias("pct_of_failures"),
+        py_round(F.col("scenario_count") / F.col("_total") * 100, 1).alias("pct_of_failures"),
         "examples", default_priority(ptype).alias("priority"), "_first")
     if noise:
         out = (out.withColumn("root_cause", F.concat(F.lit("Isolated "), F.col("type_key"),
@@ -131,7 +134,7 @@ def cluster_patterns(failed: DataFrame, run_col: str = "run_id", cluster_col: st
     out = (g.join(totals, run_col).join(dom, [run_col, cluster_col]).join(ex, [run_col, cluster_col]))
     return out.select(
         run_col, cluster_col, F.col("dominant_type").alias("failure_type"), "scenario_count",
-        F.round(F.col("scenario_count") / F.col("_total") * 100, 1).alias("pct_of_failures"),
+        py_round(F.col("scenario_count") / F.col("_total") * 100, 1).alias("pct_of_failures"),
         "examples", default_priority(F.col("dominant_type")).alias("priority"), "_first")
 
 
@@ -151,9 +154,9 @@ def run_trend(runs: DataFrame, key_col: str = "company", order_col: str = "creat
     direction = F.when(delta > 0, "improved").otherwise("declined")
     text = F.when(F.col("prev_pass_rate").isNotNull(), F.concat(
         F.lit("TREND: Pass rate "), direction, F.lit(" by "),
-        F.abs(F.round(delta * 100, 1)).cast("string"), F.lit("% vs previous run ("),
-        F.round(F.col("prev_pass_rate") * 100, 1).cast("string"), F.lit("% → "),
-        F.round(F.col("pass_rate") * 100, 1).cast("string"), F.lit("%)")))
+        F.abs(py_round(delta * 100, 1)).cast("string"), F.lit("% vs previous run ("),
+        py_round(F.col("prev_pass_rate") * 100, 1).cast("string"), F.lit("% → "),
+        py_round(F.col("pass_rate") * 100, 1).cast("string"), F.lit("%)")))
     return r.select("*", delta.alias("delta"),
                     F.when(F.col("prev_pass_rate").isNotNull(), direction).alias("direction"),
                     text.alias("trend_text"))
@@ -163,6 +166,6 @@ def summary_fallback(stats: DataFrame, pattern_counts: DataFrame, run_col: str =
     """PR-08 deterministic fallback text of the executive summary."""
     s = stats.join(pattern_counts, run_col, "left")
     return s.select(run_col, F.concat(
-        F.lit("Analysis complete. Pass rate: "), F.round(F.col("pass_rate") * 100, 1).cast("string"),
+        F.lit("Analysis complete. Pass rate: "), py_round(F.col("pass_rate") * 100, 1).cast("string"),
         F.lit("%. "), F.col("failed_count").cast("string"), F.lit(" failures detected across "),
         F.coalesce(F.col("n_patterns"), F.lit(0)).cast("string"), F.lit(" patterns.")).alias("summary"))

@@ -1,9 +1,4 @@
 """Registered queries (one per operator of the inventory) and their SQL oracles."""
 
-from . import q_judging  # noqa: F401  (registers queries)
+from . import q_judging, q_insights, q_runs, q_learn  # noqa: F401  (register queries)
 from .registry import QUERIES, run_query, with_fixtures  # noqa: F401
-
-try:  # later query groups register themselves when present
-    from . import q_insights  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass

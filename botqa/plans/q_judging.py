@@ -9,6 +9,7 @@ from ..operators import analyze as AN
 from ..operators import judge as J
 from ..sources import fixtures as FX
 from . import params as PP
+from ..functions.numeric import py_round_sql
 from .registry import register
 
 
@@ -41,7 +42,7 @@ bd AS (
   GROUP BY run_id),
 s AS (
   SELECT st.run_id, total, passed_count, total - passed_count AS failed_count,
-         ROUND(passed_count / CAST(total AS DOUBLE), 4) AS pass_rate, bd.failure_breakdown
+         {pr} AS pass_rate, bd.failure_breakdown
   FROM st LEFT JOIN bd ON st.run_id = bd.run_id),
 g AS (SELECT *, CAST(FLOOR(pass_rate * 100 + 0.5) AS BIGINT) AS pass_pct FROM s)
 SELECT run_id, total, passed_count, failed_count, pass_rate, pass_pct,
@@ -54,17 +55,17 @@ SELECT run_id, total, passed_count, failed_count, pass_rate, pass_pct,
        CASE WHEN pass_pct >= 80 AND failed_count < 10 THEN 'SAFE TO DEPLOY' ELSE 'FIX BEFORE DEPLOY' END AS summary_verdict,
        COALESCE(failure_breakdown, '') AS failure_breakdown
 FROM g
-"""
+""".replace("{pr}", py_round_sql("passed_count / CAST(total AS DOUBLE)", 4))
 register("run_report", _RUN_REPORT_SQL)(run_report)
 
 
-@register("A01_run_statistics", """
+@register("A01_run_statistics", f"""
 SELECT run_id, COUNT(*) AS total,
        CAST(SUM(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS passed_count,
        CAST(SUM(CASE WHEN passed THEN 0 ELSE 1 END) AS BIGINT) AS failed_count,
-       ROUND(SUM(CASE WHEN passed THEN 1 ELSE 0 END) / CAST(COUNT(*) AS DOUBLE), 4) AS pass_rate,
-       ROUND(AVG(latency_ms), 2) AS avg_latency_ms,
-       ROUND(AVG(confidence_score), 4) AS avg_confidence
+       {py_round_sql("SUM(CASE WHEN passed THEN 1 ELSE 0 END) / CAST(COUNT(*) AS DOUBLE)", 4)} AS pass_rate,
+       {py_round_sql("SUM(latency_ms) / CAST(COUNT(*) AS DOUBLE)", 2)} AS avg_latency_ms,
+       {py_round_sql("SUM(confidence_score) / CAST(COUNT(*) AS DOUBLE)", 4)} AS avg_confidence
 FROM results GROUP BY run_id
 """)
 def a01_run_statistics(t):

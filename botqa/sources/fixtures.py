@@ -187,3 +187,58 @@ def fail_vecs(t: Tables) -> DataFrame:
     return e.select(e.vec_id.alias("result_id"),
                     F.concat(F.lit("r_"), (e.vec_id % 5).cast("string")).alias("run_id"),
                     "embedding", "label")
+
+
+def _run_system_type(company: Column) -> Column:
+    k = F.substring(company, 4, 8).cast("int") % 3
+    return F.when(k == 0, "CUSTOMER_SUPPORT").when(k == 1, "RAG").otherwise("MULTI_AGENT")
+
+
+def run_events(t: Tables) -> DataFrame:
+    """Run log events derived from ``runs``: an insert (running), a completion
+    update with totals and a bounded results payload, and a delete tombstone
+    for runs whose scenario count is a multiple of 10."""
+    r = runs(t)
+    res = results(t)
+    bd = (res.where(~F.col("passed") & F.col("failure_type").isNotNull())
+             .groupBy("run_id", "failure_type").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("failure_type", "n")))
+                                    .alias("failure_breakdown")))
+    r = r.join(bd, "run_id", "left")
+    payload = F.to_json(F.struct(
+        F.col("total_scenarios").cast("bigint").alias("total_scenarios"),
+        (F.col("total_scenarios") - F.col("total_failures")).cast("bigint").alias("passed"),
+        F.col("total_failures").cast("bigint").alias("failed"),
+        F.col("pass_rate").alias("pass_rate"),
+        F.coalesce("failure_breakdown", F.create_map().cast("map<string,bigint>")).alias("failure_breakdown")))
+    null = {c: F.lit(None) for c in ("pass_rate", "total_scenarios", "total_failures", "run_cost_usd",
+                                     "results_json", "error_message", "status")}
+    base = r.select("run_id", "company", "created_at", "status", "pass_rate", "total_scenarios",
+                    "total_failures", "run_cost_usd", payload.alias("results_json"))
+    ins = base.select("run_id", F.col("created_at").alias("event_ts"), F.lit(1).cast("bigint").alias("seq"),
+                      F.lit("upsert").alias("op"), "created_at", F.col("company").alias("company_name"),
+                      _run_system_type(F.col("company")).alias("system_type"),
+                      F.lit("target-model").alias("target_model"), F.lit("running").alias("status"),
+                      *[null[c].cast(ty).alias(c) for c, ty in (("pass_rate", "double"),
+                        ("total_scenarios", "bigint"), ("total_failures", "bigint"),
+                        ("run_cost_usd", "double"), ("results_json", "string"), ("error_message", "string"))])
+    done = base.select("run_id", (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("event_ts"),
+                       F.lit(2).cast("bigint").alias("seq"), F.lit("upsert").alias("op"),
+                       F.lit(None).cast("timestamp").alias("created_at"),
+                       F.lit(None).cast("string").alias("company_name"),
+                       F.lit(None).cast("string").alias("system_type"),
+                       F.lit(None).cast("string").alias("target_model"),
+                       F.when(F.col("status") != "running", F.col("status")).alias("status"),
+                       "pass_rate", F.col("total_scenarios").cast("bigint").alias("total_scenarios"),
+                       F.col("total_failures").cast("bigint").alias("total_failures"), "run_cost_usd",
+                       "results_json",
+                       F.when(F.col("status") == "failed", F.lit("Pipeline error")).alias("error_message"))
+    dele = base.where(F.col("total_scenarios") % 10 == 0).select(
+        "run_id", (F.col("created_at") + F.expr("INTERVAL 2 HOUR")).alias("event_ts"),
+        F.lit(3).cast("bigint").alias("seq"), F.lit("delete").alias("op"),
+        *[F.lit(None).cast(ty).alias(c) for c, ty in (
+            ("created_at", "timestamp"), ("company_name", "string"), ("system_type", "string"),
+            ("target_model", "string"), ("status", "string"), ("pass_rate", "double"),
+            ("total_scenarios", "bigint"), ("total_failures", "bigint"), ("run_cost_usd", "double"),
+            ("results_json", "string"), ("error_message", "string"))])
+    return ins.unionByName(done).unionByName(dele)

@@ -24,7 +24,7 @@ MATURITIES = ["NEW", "RUNNING", "RELIABLE"]
 STRATEGIES = ["FROM_SCRATCH", "FROM_FAILURES", "ADVERSARIAL_FROM_CORRECT", "SMART_MIX"]
 EVALUATION_METHODS = ["RULE_BASED", "LLM_JUDGE", "PROGRAMMATIC", "HYBRID"]
 DOCUMENT_SOURCES = ["UPLOADED", "SCRAPED_COMPANY_SITE", "SCRAPED_EXTERNAL", "SYNTHETIC_CHALLENGING"]
-FIX_TYPES = ["PROMPT_ADDITION", "GUARDRAIL", "ARCHITECTURE", "POLICY_CLARIFICATION", "FINE_TUNING"]
+FIX_TYPES = ["PROMPT_ADDITION", "GUARDRAIL_RULE", "FINE_TUNING_DATA", "ARCHITECTURE_CHANGE", "POLICY_CLARIFICATION"]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — priorities (failure type -> default priority; unknown MEDIUM)
@@ -190,3 +190,29 @@ JUDGE_REPLY_SCHEMA = T.StructType([
     T.StructField("reasoning", T.StringType()),
     T.StructField("criteria_results", T.MapType(T.StringType(), T.BooleanType())),
 ])
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — fixes (default titles, disclaimers, fine-tuning fix text)
+# ---------------------------------------------------------------------------
+FIX_DEFAULT_TITLE = {
+    "PROMPT_ADDITION": "Prompt improvement suggestion",
+    "GUARDRAIL_RULE": "Guardrail rule suggestion",
+    "ARCHITECTURE_CHANGE": "Architecture improvement",
+    "POLICY_CLARIFICATION": "Policy clarification needed",
+}
+FIX_DISCLAIMER = {
+    "PROMPT_ADDITION": ("This is a suggested prompt addition based on observed failures. Review and adapt "
+                        "to your actual system prompt before implementing. This may not be exactly correct "
+                        "for your specific setup."),
+    "GUARDRAIL_RULE": ("This guardrail suggestion is based on observed failure patterns. Adapt the specific "
+                       "conditions and thresholds to match your actual system architecture."),
+    "ARCHITECTURE_CHANGE": ("This architectural suggestion is based on observed retrieval failures. Review "
+                            "with your engineering team before implementing structural changes."),
+    "POLICY_CLARIFICATION": ("This suggestion is based on observed policy-related failures. Review with your "
+                             "policy and compliance teams before making changes."),
+    "FINE_TUNING_DATA": ("Fine-tuning is recommended only for open-source models you control. Review all "
+                         "training pairs before use. Results depend on your model architecture and training setup."),
+}
+FINE_TUNING_PROBLEM = ("Your AI system made specific mistakes that can be corrected through targeted "
+                       "fine-tuning.")
+NO_FAILURES_ESTIMATE = "No failures detected — system performing well"

@@ -60,7 +60,8 @@ def priority_rank(priority) -> Column:
 def relative_time(ts, now) -> Column:
     """P-15: 'Just now' / 'Nm ago' / 'Nh ago' / 'Nd ago' / date, against a given now."""
     t = _c(ts)
-    mins = F.floor((F.unix_micros(_c(now)) - F.unix_micros(t)) / F.lit(60_000_000)).cast("bigint")
+    mins = F.floor((F.unix_micros(_c(now).cast("timestamp")) - F.unix_micros(t.cast("timestamp")))
+                   / F.lit(60_000_000)).cast("bigint")
     hrs = F.floor(mins / 60).cast("bigint")
     days = F.floor(hrs / 24).cast("bigint")
     return (F.when(t.isNull(), F.lit("—"))

@@ -49,7 +49,7 @@ def deploy_verdict_text(safe: Column) -> Column:
 def default_priority(failure_type) -> Column:
     """P-12: failure type -> HIGH/MEDIUM/LOW, unknown -> MEDIUM."""
     m = F.create_map(*[F.lit(x) for kv in S.DEFAULT_FAILURE_PRIORITY.items() for x in kv])
-    return F.coalesce(F.element_at(m, _c(failure_type)), F.lit("MEDIUM"))
+    return F.coalesce(F.try_element_at(m, _c(failure_type)), F.lit("MEDIUM"))
 
 
 def priority_rank(priority) -> Column:

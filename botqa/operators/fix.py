@@ -60,11 +60,11 @@ def apply_fix_replies(plan: DataFrame, replies: DataFrame | None = None,
     root = F.col("root_cause") if "root_cause" in plan.columns else F.lit("")
     return p.select(
         *[c for c in plan.columns],
-        field("title", F.element_at(titles, F.col("fix_type"))).alias("title"),
+        field("title", F.try_element_at(titles, F.col("fix_type"))).alias("title"),
         field("problem", root).alias("problem"),
         field("suggested_fix", F.lit("")).alias("suggested_fix"),
         field("estimated_impact", F.lit("")).alias("estimated_impact"),
-        F.element_at(discl, F.col("fix_type")).alias("disclaimer"),
+        F.try_element_at(discl, F.col("fix_type")).alias("disclaimer"),
     )
 
 
@@ -91,7 +91,7 @@ def order_fixes(fixes: DataFrame, run_col: str = "run_id") -> DataFrame:
     ft = F.create_map(*[F.lit(x) for kv in _FIX_ORDER.items() for x in kv])
     w = Window.partitionBy(run_col).orderBy(
         priority_rank("priority"), F.desc("affected_scenarios"),
-        F.coalesce(F.col("pattern_rank"), F.lit(1 << 30)), F.element_at(ft, F.col("fix_type")))
+        F.coalesce(F.col("pattern_rank"), F.lit(1 << 30)), F.try_element_at(ft, F.col("fix_type")))
     return fixes.withColumn("fix_rank", F.row_number().over(w))
 
 

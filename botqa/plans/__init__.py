@@ -1,4 +1,4 @@
 """Registered queries (one per operator of the inventory) and their SQL oracles."""
 
-from . import q_judging, q_insights, q_runs, q_learn, q_fix, q_report, q_plan  # noqa: F401  (register queries)
+from . import q_judging, q_insights, q_runs, q_learn, q_fix, q_report, q_plan, q_kb  # noqa: F401  (register queries)
 from .registry import QUERIES, run_query, with_fixtures  # noqa: F401

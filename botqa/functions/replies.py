@@ -63,3 +63,21 @@ def parse_judge_reply(raw) -> Column:
         F.when(valid, confidence).alias("confidence"),
         F.when(valid, reasoning).alias("reasoning"),
     )
+
+
+def reply_items(raw) -> Column:
+    """Items of a JSON-array reply (after fence removal) as JSON texts; null
+    when the reply is not an array.  Object items keep their JSON text."""
+    return F.from_json(strip_fence(raw), "array<string>")
+
+
+def is_json_object(js) -> Column:
+    return F.json_object_keys(_c(js)).isNotNull()
+
+
+def json_str(js, key: str) -> Column:
+    """String value of ``key`` in a JSON object, null when absent or not a string."""
+    col = _c(js)
+    v = F.get_json_object(col, f"$.{key}")
+    raw = F.regexp_extract(col, r'"' + key + r'"\s*:\s*(.)', 1)
+    return F.when(raw == '"', v)

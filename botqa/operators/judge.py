@@ -122,7 +122,8 @@ def parse_verdicts(replies: DataFrame, raw_col: str = "raw") -> DataFrame:
 # A-03 panel verdict
 # ---------------------------------------------------------------------------
 def panel_verdict(verdicts: DataFrame, scenarios: DataFrame | None = None,
-                  failure_types: Sequence[str] = tuple(S.FAILURE_TYPES)) -> DataFrame:
+                  failure_types: Sequence[str] = tuple(S.FAILURE_TYPES),
+                  keys: Sequence = ("scenario_id",)) -> DataFrame:
     """A-03: majority vote of the judges of each scenario.
 
     verdicts: (scenario_id, slot, passed, failure_type) — one row per judge
@@ -134,7 +135,9 @@ def panel_verdict(verdicts: DataFrame, scenarios: DataFrame | None = None,
     count per type is a conditional aggregate inside the *same* hash
     aggregate — one shuffle on scenario_id, no second grouping level.
     """
-    v = verdicts.select("scenario_id", "slot", "passed",
+    key_cols = [k if isinstance(k, str) else k for k in keys]
+    v = verdicts.select(*[c for c in verdicts.columns if c not in ("slot", "passed", "failure_type")],
+                        "slot", "passed",
                         F.when(F.col("failure_type").isin(list(failure_types)),
                                F.col("failure_type")).alias("failure_type"))
     failing = ~F.col("passed")
@@ -147,9 +150,10 @@ def panel_verdict(verdicts: DataFrame, scenarios: DataFrame | None = None,
         aggs.append(F.min(F.when(hit, F.col("slot"))).alias(f"_s{i}"))
         cand.append(F.struct(F.col(f"_n{i}").alias("n"), (-F.col(f"_s{i}")).alias("neg_slot"),
                              F.lit(t).alias("t")))
-    g = v.groupBy("scenario_id").agg(*aggs)
+    g = v.groupBy(*key_cols).agg(*aggs)
+    out_keys = [c for c in g.columns if c not in {a for a in ("total", "pass_votes")} and not c.startswith("_")]
     best = F.array_max(F.filter(F.array(*cand), lambda s: s["n"] > 0))
-    g = g.select("scenario_id", "total", "pass_votes",
+    g = g.select(*out_keys, "total", "pass_votes",
                  (F.col("total") - F.col("pass_votes")).alias("fail_votes"),
                  best["t"].alias("_top_type"))
     if scenarios is not None:
@@ -172,7 +176,7 @@ def panel_verdict(verdicts: DataFrame, scenarios: DataFrame | None = None,
                .when(tie, "Judges tied — equal pass and fail votes")
                .when(review, "Only minority agreement among judges").otherwise(""))
     ftype = F.when(~none & ~tie & (f > p), F.col("_top_type"))
-    return g.select("scenario_id",
+    return g.select(*out_keys,
                     passed.alias("passed"), conf.cast("double").alias("confidence"),
                     level.alias("agreement_level"), review.alias("requires_human_review"),
                     reason.alias("human_review_reason"), ftype.alias("failure_type"),

@@ -100,7 +100,7 @@ def assemble_results(responses: DataFrame, panel: DataFrame | None = None) -> Da
          .otherwise(F.coalesce(F.col("p_confidence"), F.lit(0.0))).alias("confidence_score"),
         F.when(no_reply, F.lit("ERROR: Target AI returned no response"))
          .otherwise(F.col("actual_response")).alias("actual_response"),
-        "latency_ms",
+        *[c for c in ("latency_ms",) if c in r.columns],
         F.when(no_reply | rule.isNotNull(), F.lit("RULE_BASED"))
          .otherwise(F.lit("HYBRID")).alias("evaluation_method"),
     )

@@ -222,41 +222,40 @@ def budget_cutoff(batch_costs: DataFrame, budgets: DataFrame | None = None,
 # ---------------------------------------------------------------------------
 # J-05 eligibility, J-06 panel assignment
 # ---------------------------------------------------------------------------
-def judge_pool(spark) -> DataFrame:
-    """The configured judge pool as a small dimension table (3 rows)."""
-    rows = [(m, f, t, S.TIER_ORDER.get(t, 99)) for m, f, t in S.JUDGE_POOL]
-    return spark.createDataFrame(rows, "model string, family string, tier string, tier_order int")
+def judge_pool_array(pool=tuple(S.JUDGE_POOL)) -> Column:
+    """The configured judge pool as a literal array<struct> (3 entries)."""
+    return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("family"), F.lit(t).alias("tier"),
+                              F.lit(S.TIER_ORDER.get(t, 99)).alias("tier_order")) for m, f, t in pool])
 
 
-def eligible_judges(targets: DataFrame, judges: DataFrame, *, strict: bool = True) -> DataFrame:
+def eligible_judges(targets: DataFrame, pool=tuple(S.JUDGE_POOL), *, strict: bool = True) -> DataFrame:
     """J-05: (target, judge) pairs where the judge may sit on the target's panel.
 
     targets: (target_id, target_family, target_tier, excluded array<string>).
-    The judge pool is a fixed handful of rows — broadcast, so the theta join
-    is a per-row scan of 3 judges.
-    """
-    j = F.broadcast(judges)
-    t_order = F.coalesce(F.element_at(
+    The pool is a handful of configured judges carried as a literal array on
+    every target row and exploded — no join (not even a broadcast one)."""
+    t_order = F.coalesce(F.try_element_at(
         F.create_map(*[F.lit(x) for kv in S.TIER_ORDER.items() for x in kv]),
         F.col("target_tier")), F.lit(2))
+    ex = targets.select("*", F.explode(judge_pool_array(pool)).alias("_j")).select(
+        *targets.columns, "_j.model", "_j.family", "_j.tier", "_j.tier_order")
     fam_ok = (F.col("family") == "specialized") | (F.col("family") != F.col("target_family"))
     cond = fam_ok & ~F.coalesce(F.array_contains(F.col("excluded"), F.col("model")), F.lit(False))
     if strict:
         cond = cond & (F.col("tier_order") <= t_order)
-    return targets.join(j, cond, "inner")
+    return ex.where(cond)
 
 
-def assign_panels(targets: DataFrame, judges: DataFrame, seed: int = 0, slots: int = 3) -> DataFrame:
+def assign_panels(targets: DataFrame, pool=tuple(S.JUDGE_POOL), seed: int = 0, slots: int = 3) -> DataFrame:
     """J-06: slot 1 = the fixed specialised judge; slots 2..n = seeded random
-    choice among eligible judges (tier rule relaxed only if none is left).
-    The random choice is a hash of (seed, target, model) so it is repeatable."""
+    choice among eligible judges (tier rule relaxed only when no strict
+    candidate is left).  The random choice is a hash of (seed, target, model),
+    so it is repeatable; candidates per target are at most the pool size."""
     first = targets.select("target_id", F.lit(1).alias("slot"), F.lit(S.FIXED_FIRST_JUDGE).alias("model"))
     t2 = targets.withColumn("excluded", F.array(F.lit(S.FIXED_FIRST_JUDGE)))
-    strict = eligible_judges(t2, judges, strict=True).withColumn("relaxed", F.lit(1))
-    loose = eligible_judges(t2, judges, strict=False).withColumn("relaxed", F.lit(2))
-    cand = strict.unionByName(loose)
-    w_pref = Window.partitionBy("target_id", "model").orderBy("relaxed")
-    cand = cand.withColumn("_r", F.row_number().over(w_pref)).where("_r = 1")
+    strict = eligible_judges(t2, pool, strict=True).withColumn("relaxed", F.lit(1))
+    loose = eligible_judges(t2, pool, strict=False).withColumn("relaxed", F.lit(2))
+    cand = strict.unionByName(loose).groupBy("target_id", "model").agg(F.min("relaxed").alias("relaxed"))
     # strict candidates first (random order among them), relaxed ones after
     w = Window.partitionBy("target_id").orderBy(
         "relaxed", F.xxhash64(F.lit(seed), "target_id", "model"), "model")

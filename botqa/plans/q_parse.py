@@ -118,14 +118,14 @@ SELECT target_id, model FROM targets JOIN judges
  AND tier_order <= CASE target_tier WHEN 'frontier' THEN 1 WHEN 'standard' THEN 2 WHEN 'light' THEN 3 ELSE 2 END
 """)
 def j05_eligibility(t):
-    """J-05: eligible judges per target (family, tier, exclusions); 3-row judge pool broadcast."""
-    return J.eligible_judges(_targets(t), J.judge_pool(t.spark)).select("target_id", "model")
+    """J-05: eligible judges per target (family, tier, exclusions); the judge pool is an exploded literal."""
+    return J.eligible_judges(_targets(t)).select("target_id", "model")
 
 
 @register("J06_panel_assignment")
 def j06_assignment(t):
     """J-06: three-judge panel per target: fixed first judge + seeded picks (tier relaxed if needed)."""
-    return J.assign_panels(_targets(t).drop("excluded"), J.judge_pool(t.spark), seed=42)
+    return J.assign_panels(_targets(t).drop("excluded"), seed=42)
 
 
 @register("P10_row_validation", """

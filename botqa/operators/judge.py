@@ -192,11 +192,13 @@ def human_review_queue(panel: DataFrame) -> DataFrame:
 # W-02 batches, W-01 budget cut-off
 # ---------------------------------------------------------------------------
 def assign_batches(scenarios: DataFrame, run_col: str = "run_id", order_col: str = "seq",
-                   batch_size: int = S.BATCH_SIZE) -> DataFrame:
-    """W-02: batch id = position within the run // batch_size."""
-    w = Window.partitionBy(run_col).orderBy(order_col)
-    return scenarios.withColumn(
-        "batch_id", F.floor((F.row_number().over(w) - 1) / batch_size).cast("bigint"))
+                   batch_size: int = S.BATCH_SIZE, bucket_width: int = 1 << 20) -> DataFrame:
+    """W-02: batch id = position within the run // batch_size.  Positions come
+    from the bucketed prefix-sum ranking, so a huge run is numbered by many
+    tasks (``order_col`` must be numeric and unique within the run)."""
+    from .ranking import ranked
+    r = ranked(scenarios, [run_col], order_col, bucket_width)
+    return r.withColumn("batch_id", F.floor((F.col("rank") - 1) / batch_size).cast("bigint")).drop("rank")
 
 
 def budget_cutoff(batch_costs: DataFrame, budgets: DataFrame | None = None,

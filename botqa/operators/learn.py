@@ -160,19 +160,10 @@ def persona_effectiveness(uses: DataFrame, bucket_width: int = 1 << 20) -> DataF
     bucket totals are prefix-summed over the (small) per-bucket table and
     joined back as offsets.  Threshold tests are exact integer comparisons.
     """
+    from .ranking import ranked
     keys = ["persona", "system_type"]
-    u = uses.withColumn("bucket", F.floor(F.col("ord") / bucket_width).cast("bigint"))
-    fail = F.col("found_failure").cast("int")
-    wl = Window.partitionBy(*keys, "bucket").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    local = u.select(*keys, "bucket", "ord",
-                     F.count(F.lit(1)).over(wl).alias("_lt"), F.sum(fail).over(wl).alias("_lf"))
-    tot = u.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("_bt"), F.sum(fail).alias("_bf"))
-    wb = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "bucket", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_ot"),
-                     F.coalesce(F.sum("_bf").over(wb), F.lit(0)).alias("_of"))
-    run = local.join(off, [*keys, "bucket"]).select(
-        *keys, "ord", (F.col("_lt") + F.col("_ot")).alias("times"),
-        (F.col("_lf") + F.col("_of")).alias("fails"))
+    run = ranked(uses, keys, "ord", bucket_width, sums={"fails": F.col("found_failure").cast("int")}) \
+        .withColumnRenamed("rank", "times")
     t, f = F.col("times"), F.col("fails")
     # exact: f/t >= 0.40  <=>  5f >= 2t ;  f/t <= 0.05  <=>  20f <= t
     trans = (F.when(t == 1, F.lit(None))
@@ -187,14 +178,14 @@ def persona_effectiveness(uses: DataFrame, bucket_width: int = 1 << 20) -> DataF
                       F.coalesce("_last", F.lit("active")).alias("status"))
 
 
-def persona_running_rate(uses: DataFrame) -> DataFrame:
-    """W-07: the running rate after each use (replay).  Window per
-    (persona, system) — use :func:`persona_effectiveness` for the final
-    state at scale; this replay is for inspecting one persona's history."""
-    w = Window.partitionBy("persona", "system_type").orderBy("ord")
-    return uses.select("persona", "system_type", "ord",
-                       F.row_number().over(w).alias("times_used"),
-                       F.avg(F.col("found_failure").cast("double")).over(w).alias("running_rate"))
+def persona_running_rate(uses: DataFrame, bucket_width: int = 1 << 20) -> DataFrame:
+    """W-07: the running discovery rate after each use of a persona (replay),
+    from the same distributed running counts as A-22."""
+    from .ranking import ranked
+    r = ranked(uses, ["persona", "system_type"], "ord", bucket_width,
+               sums={"fails": F.col("found_failure").cast("int")})
+    return r.select("persona", "system_type", "ord", F.col("rank").alias("times_used"),
+                    (F.col("fails") / F.col("rank")).alias("running_rate"))
 
 
 def failure_context(history_breakdown: DataFrame) -> DataFrame:

@@ -135,13 +135,13 @@ def weighted_persona_slots(personas: DataFrame, slots: DataFrame, key: str = "sy
     return with_w.unionByName(fallback)
 
 
-def cut_to_count(scenarios: DataFrame, counts: DataFrame, key: str = "run_id", order_col: str = "seq") -> DataFrame:
-    """K-03: keep the first ``effective_count`` scenarios of each run.
-    ``row_number() <= n`` with n from the data: a window per run (runs are
-    bounded by the 5..500 scenario validation)."""
-    w = Window.partitionBy(key).orderBy(order_col)
+def cut_to_count(scenarios: DataFrame, counts: DataFrame, key: str = "run_id", order_col: str = "seq",
+                 bucket_width: int = 1 << 20) -> DataFrame:
+    """K-03: keep the first ``effective_count`` scenarios of each run
+    (distributed ranking, so no run is numbered in a single task)."""
+    from .ranking import ranked
     j = scenarios.join(counts.select(key, "effective_count"), key)
-    return j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("effective_count")).drop("_rn")
+    return ranked(j, [key], order_col, bucket_width).where(F.col("rank") <= F.col("effective_count")).drop("rank")
 
 
 def critic_gate(candidates: DataFrame, scores: DataFrame, key: str = "batch_id") -> DataFrame:

@@ -281,3 +281,19 @@ def test_py_round_matches_python(spark):
 def test_py_strip_unicode(spark):
     df = spark.createDataFrame([("  x y \n",)], "s string")
     assert df.select(py_strip("s")).first()[0] == "  x y \n".strip()
+
+
+# ------------------------------------------------------ distributed ranking
+@pytest.mark.parametrize("width", [1, 7, 1 << 20])
+def test_ranked_matches_row_number(spark, width):
+    from pyspark.sql import Window
+    from botqa.operators.ranking import ranked
+    rnd = random.Random(11)
+    rows = [(rnd.choice("abc"), i, rnd.randint(0, 3)) for i in range(0, 400, 3)]
+    df = spark.createDataFrame(rows, "k string, seq long, v int")
+    got = {(r.k, r.seq): (r.rank, r.s) for r in ranked(df, ["k"], "seq", width, sums={"s": F.col("v")}).collect()}
+    w = Window.partitionBy("k").orderBy("seq")
+    exp = {(r.k, r.seq): (r.rn, r.s) for r in df.select(
+        "k", "seq", F.row_number().over(w).alias("rn"),
+        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s")).collect()}
+    assert got == exp

@@ -79,3 +79,29 @@ def improvement_prompts(report: DataFrame, stats: DataFrame, key: str, company_c
         P.IMPROVEMENT_PROMPT, company=company_col, current_pct=py_round(F.col("pass_rate") * 100, 1),
         n_fixes="total_fixes", n_high="high_priority_count", high_scenarios="high_priority_scenarios",
         failures="failed_count").alias("prompt"))
+
+
+def fix_prompts(fixes: DataFrame) -> DataFrame:
+    """PR-09..PR-12: the request text of each planned fix, by fix type.
+
+    ``fixes`` carries the pattern (failure_type, cluster_label, scenario_count,
+    root_cause, evidence, examples array) and the system's context columns
+    (company, system_type, policy_context, retrieval_context)."""
+    ex = F.array_join(F.transform(F.slice(F.coalesce("examples", F.array().cast("array<string>")), 1, 3),
+                                  lambda e: F.concat(F.lit("- "), F.substring(e, 1, 100))), "\n")
+    sys_text = F.replace(F.lower("system_type"), F.lit("_"), F.lit(" "))
+    pol = F.when(F.coalesce(F.col("policy_context"), F.lit("")) != "",
+                 F.concat(F.lit("KNOWN POLICIES:\n"), F.col("policy_context"))).otherwise(F.lit(""))
+    ret = F.when(F.coalesce(F.col("retrieval_context"), F.lit("")) != "",
+                 F.concat(F.lit("CURRENT RETRIEVAL CONFIG:\n"), F.col("retrieval_context"))).otherwise(F.lit(""))
+    common = dict(failure_type="failure_type", root_cause="root_cause", evidence="evidence")
+    ft = F.col("fix_type")
+    prompt = (F.when(ft == "PROMPT_ADDITION", P.render(
+                  P.PROMPT_FIX_PROMPT, system_type=sys_text, company="company", cluster_label="cluster_label",
+                  scenario_count="scenario_count", examples=ex, policy_block=pol, **common))
+               .when(ft == "GUARDRAIL_RULE", P.render(P.GUARDRAIL_FIX_PROMPT, company="company", examples=ex,
+                                                      **common))
+               .when(ft == "ARCHITECTURE_CHANGE", P.render(P.ARCHITECTURE_FIX_PROMPT, retrieval_block=ret, **common))
+               .when(ft == "POLICY_CLARIFICATION", P.render(P.POLICY_FIX_PROMPT, company="company", examples=ex,
+                                                            **common)))
+    return fixes.withColumn("prompt", prompt)

@@ -156,3 +156,76 @@ def pr13_improvement_prompts(t):
     rep = FXO.fix_report(fixes, stats)
     comp = FX.results(t).select("run_id", "company").distinct()
     return PM.improvement_prompts(rep, stats.join(comp, "run_id"), "run_id")
+
+
+def _fix_prompt_inputs(t):
+    from ..operators import fix as FXO
+    from . import q_rubric as QR
+    _, failed, pats = _failed_patterns(t)
+    s = QR._systems(t)
+    kw = F.concat(F.lit("["), F.array_join(F.transform("escalate_on_keywords",
+                                                       lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    policy = F.concat_ws("\n",
+                         F.when(F.coalesce(F.col("refund_threshold"), F.lit(0.0)) != 0,
+                                F.concat(F.lit("Refund threshold: $"), F.col("refund_threshold").cast("string"))),
+                         F.when(F.size("escalate_on_keywords") > 0, F.concat(F.lit("Escalation keywords: "), kw)))
+    k = F.col("k")
+    retrieval = F.when(F.col("system_type") == "RAG", F.concat(
+        F.lit("Current strategy: "), F.when(k % 2 == 1, F.lit("hybrid")).otherwise(F.lit("semantic")),
+        F.lit("\nTop-k: "), (k + 3).cast("string"),
+        F.lit("\nConfidence threshold: "), (k.cast("double") / 10 + 0.5).cast("string"),
+        F.lit("\nReranking enabled: "), F.when(k % 3 == 1, F.lit("True")).otherwise(F.lit("False"))))
+    ctx = s.select(F.col("system").alias("run"), F.col("company_name").alias("company"), "system_type",
+                   policy.alias("policy_context"), retrieval.alias("retrieval_context"))
+    p = pats.join(ctx, "run").select("run", "pattern_rank", "failure_type", F.lower("type_key").alias("cluster_label"),
+                                    "scenario_count", F.lit("").alias("root_cause"), F.lit("").alias("evidence"),
+                                    "examples", "company", "system_type", "policy_context", "retrieval_context")
+    return FXO.fix_plan(p)
+
+
+_SYS_BODY = __import__("botqa.plans.q_rubric", fromlist=["_SYS_SQL"])._SYS_SQL.strip()
+
+
+@register("PR09_PR12_fix_prompts", _RES + ",\n" + _SYS_BODY + f""",
+f AS (SELECT scenario_id, company AS run, actual_response, COALESCE(failure_type, 'UNKNOWN') AS k FROM res WHERE NOT passed),
+g AS (SELECT run, k, COUNT(*) AS n, MIN(scenario_id) AS first FROM f GROUP BY run, k),
+gr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run ORDER BY n DESC, first) AS pattern_rank,
+              CASE WHEN k IN {_TYPES} THEN k ELSE 'WRONG_ANSWER' END AS failure_type FROM g),
+ex AS (SELECT run, k, string_agg('- ' || substr(actual_response, 1, 100), chr(10) ORDER BY scenario_id) AS examples
+       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run, k ORDER BY scenario_id) AS rn FROM f) z WHERE rn <= 3 GROUP BY run, k),
+ctx AS (SELECT system AS run, company_name AS company, system_type,
+               concat_ws(chr(10), CASE WHEN COALESCE(refund_threshold, 0) <> 0 THEN 'Refund threshold: $' || CAST(refund_threshold AS VARCHAR) END,
+                         CASE WHEN len(escalate_on_keywords) > 0 THEN 'Escalation keywords: [' || array_to_string(list_transform(escalate_on_keywords, lambda x: '''' || x || ''''), ', ') || ']' END) AS policy_context,
+               CASE WHEN system_type = 'RAG' THEN 'Current strategy: ' || CASE WHEN k % 2 = 1 THEN 'hybrid' ELSE 'semantic' END
+                    || chr(10) || 'Top-k: ' || CAST(k + 3 AS VARCHAR) || chr(10) || 'Confidence threshold: ' || CAST(CAST(k AS DOUBLE) / 10 + 0.5 AS VARCHAR)
+                    || chr(10) || 'Reranking enabled: ' || CASE WHEN k % 3 = 1 THEN 'True' ELSE 'False' END END AS retrieval_context
+        FROM sys),
+p AS (SELECT gr.run, gr.pattern_rank, gr.failure_type, lower(gr.k) AS cluster_label, gr.n AS scenario_count, ex.examples,
+             ctx.company, ctx.system_type, ctx.policy_context, ctx.retrieval_context,
+             CASE WHEN gr.failure_type IN ('POLICY_VIOLATION','ESCALATION_FAILURE','HALLUCINATION') THEN 'HIGH'
+                  WHEN gr.failure_type = 'CONTEXT_LOSS' THEN 'LOW' ELSE 'MEDIUM' END AS prio
+      FROM gr JOIN ex ON ex.run = gr.run AND ex.k = gr.k JOIN ctx ON ctx.run = gr.run),
+plan AS (SELECT *, 'PROMPT_ADDITION' AS fix_type FROM p
+         UNION ALL SELECT *, 'GUARDRAIL_RULE' FROM p
+         UNION ALL SELECT *, 'ARCHITECTURE_CHANGE' FROM p WHERE system_type = 'RAG'
+         UNION ALL SELECT *, 'POLICY_CLARIFICATION' FROM p WHERE failure_type = 'POLICY_VIOLATION')
+SELECT run, CAST(pattern_rank AS INT) AS pattern_rank, fix_type,
+  CASE fix_type
+    WHEN 'PROMPT_ADDITION' THEN {render_sql(P.PROMPT_FIX_PROMPT, system_type="replace(lower(system_type), '_', ' ')",
+                                             company="company", failure_type="failure_type", cluster_label="cluster_label",
+                                             scenario_count="scenario_count", root_cause="''", evidence="''", examples="examples",
+                                             policy_block="CASE WHEN COALESCE(policy_context, '') <> '' THEN 'KNOWN POLICIES:' || chr(10) || policy_context ELSE '' END")}
+    WHEN 'GUARDRAIL_RULE' THEN {render_sql(P.GUARDRAIL_FIX_PROMPT, company="company", failure_type="failure_type",
+                                            root_cause="''", evidence="''", examples="examples")}
+    WHEN 'ARCHITECTURE_CHANGE' THEN {render_sql(P.ARCHITECTURE_FIX_PROMPT, failure_type="failure_type", root_cause="''", evidence="''",
+                                                 retrieval_block="CASE WHEN COALESCE(retrieval_context, '') <> '' THEN 'CURRENT RETRIEVAL CONFIG:' || chr(10) || retrieval_context ELSE '' END")}
+    ELSE {render_sql(P.POLICY_FIX_PROMPT, company="company", failure_type="failure_type", root_cause="''", evidence="''",
+                     examples="examples")}
+  END AS prompt
+FROM plan
+""")
+def pr09_pr12_fix_prompts(t):
+    """PR-09..PR-12: prompt-addition, guardrail, architecture and policy-clarification requests per planned fix."""
+    from ..operators import prompting as PMO
+    out = PMO.fix_prompts(_fix_prompt_inputs(t))
+    return out.select("run", F.col("pattern_rank").cast("int").alias("pattern_rank"), "fix_type", "prompt")

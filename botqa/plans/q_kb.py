@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import kb as KB
 from ..sources import fixtures as FX
 from ..sources import pages as PG
-from .registry import register
+from .registry import QUERIES, register
 
 _KB = """
 WITH d AS (SELECT source AS kb, doc_id, CAST(doc_id AS BIGINT) AS doc_ord, content, source_type, is_synthetic FROM kb_docs)
@@ -192,3 +192,61 @@ def uset1_knowledge_base(t):
         F.lit("SYNTHETIC_CHALLENGING").alias("source_type"), F.lit(True).alias("is_synthetic"))
     kb = KB.build_knowledge_base(docs, pages, variations=var)
     return KB.kb_totals(kb)
+
+
+# ------------------------------------------------------------------ prompts
+from ..functions import prompts as P  # noqa: E402
+from .q_prompt import render_sql  # noqa: E402
+
+
+@register("PR14_grounded_prompts", _KB + f""",
+nd AS (SELECT kb, COUNT(*) AS n FROM d GROUP BY kb)
+SELECT d.kb, d.doc_id, {render_sql(P.GROUNDED_QA_PROMPT, content="substr(d.content, 1, 3000)",
+                                   count="GREATEST(1, CAST(FLOOR(200 / GREATEST(1, nd.n)) AS BIGINT))")} AS prompt
+FROM d JOIN nd ON nd.kb = d.kb
+""")
+def pr14_grounded_prompts(t):
+    """PR-14: grounded-QA request per document (first 3000 chars, max(1, 200 // docs) questions)."""
+    d = _docs(t)
+    n = d.groupBy("kb").agg(F.count(F.lit(1)).alias("_n"))
+    cnt = F.greatest(F.lit(1), F.floor(F.lit(200) / F.greatest(F.lit(1), F.col("_n")))).cast("bigint")
+    j = d.join(n, "kb")
+    return j.select("kb", "doc_id", P.render(P.GROUNDED_QA_PROMPT, content=F.substring("content", 1, 3000),
+                                             count=cnt).alias("prompt"))
+
+
+_DESC_SQL = "CASE challenge_type " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in P.CHALLENGE_DESCRIPTIONS.items()) + \
+    f" ELSE '{P.DEFAULT_CHALLENGE_DESCRIPTION}' END"
+
+
+@register("PR15_variation_prompts", _KB + f""",
+v AS (SELECT kb, doc_id, content, c.challenge_type FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY kb ORDER BY doc_ord) AS rn FROM d WHERE NOT is_synthetic) x
+      CROSS JOIN (SELECT 'multi_section' AS challenge_type UNION ALL SELECT 'out_of_scope') c WHERE rn <= 10)
+SELECT kb, doc_id, challenge_type, {render_sql(P.VARIATION_PROMPT, content="substr(content, 1, 2000)",
+                                               challenge_type="challenge_type", description=_DESC_SQL)} AS prompt
+FROM v
+""")
+def pr15_variation_prompts(t):
+    """PR-15: variation request per (document, challenge type) of the J-07 plan (first 2000 chars)."""
+    d = _docs(t)
+    plan = KB.plan_variations(d).join(d.select("kb", "doc_id", "content"), ["kb", "doc_id"])
+    desc = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in P.CHALLENGE_DESCRIPTIONS.items() for x in kv]),
+                                       F.col("challenge_type")), F.lit(P.DEFAULT_CHALLENGE_DESCRIPTION))
+    return plan.select("kb", "doc_id", "challenge_type",
+                       P.render(P.VARIATION_PROMPT, content=F.substring("content", 1, 2000),
+                                challenge_type="challenge_type", description=desc).alias("prompt"))
+
+
+@register("PR16_scratch_prompts", "WITH tp AS (" + QUERIES["P33_default_topics"].sql.strip() + f""")
+SELECT kb, topic_no, {render_sql(P.SCRATCH_DOCUMENT_PROMPT, domain="domain", topic="topic",
+                                 company_context="'Company: ' || kb || chr(10) || 'Industry: ' || domain || chr(10)")} AS prompt
+FROM tp
+""")
+def pr16_scratch_prompts(t):
+    """PR-16: scratch-document request per default topic of each kb's domain, with company context."""
+    tp = QUERIES["P33_default_topics"].build(t)
+    ctx = F.concat(F.lit("Company: "), F.col("kb"), F.lit("\nIndustry: "), F.col("domain"), F.lit("\n"))
+    return tp.select("kb", "topic_no", P.render(P.SCRATCH_DOCUMENT_PROMPT, domain="domain", topic="topic",
+                                                company_context=ctx).alias("prompt"))

@@ -105,3 +105,38 @@ def fix_prompts(fixes: DataFrame) -> DataFrame:
                .when(ft == "POLICY_CLARIFICATION", P.render(P.POLICY_FIX_PROMPT, company="company", examples=ex,
                                                             **common)))
     return fixes.withColumn("prompt", prompt)
+
+
+def _ordered_join(df: DataFrame, keys: list[str], pos: str, text, sep: str, name: str) -> DataFrame:
+    """Texts of a bounded group (a batch of <= 20) joined in position order."""
+    return df.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("_p"), text.alias("_t")))),
+                                 lambda s: s["_t"]), sep).alias(name),
+        F.count(F.lit(1)).alias(f"n_{name}"))
+
+
+def critic_prompts(batches: DataFrame, keys: list[str], deployment_col: str = "deployment") -> DataFrame:
+    """PR-04: one critic request per batch: numbered scenario list and the
+    pre/post-deployment evaluation context."""
+    item = F.concat(F.lit("Scenario "), F.col("pos").cast("string"), F.lit(":\nInput: "), F.col("input"),
+                    F.lit("\nExpected: "), F.col("expected_behavior"), F.lit("\nDifficulty: "), F.col("difficulty"))
+    lst = _ordered_join(batches, keys + [deployment_col], "pos", item, "\n\n", "scenario_list")
+    ctx = F.when(F.col(deployment_col) == "PRE_DEPLOYMENT", F.lit(P.CRITIC_CONTEXT_PRE)).otherwise(
+        F.lit(P.CRITIC_CONTEXT_POST))
+    return lst.select(*keys, P.render(P.CRITIC_PROMPT, evaluation_context=ctx, n="n_scenario_list",
+                                      scenario_list="scenario_list").alias("prompt"))
+
+
+def regenerate_prompts(rejected: DataFrame, keys: list[str]) -> DataFrame:
+    """PR-05: one regenerate request per batch with its rejected scenarios and
+    the non-empty feedback lines (numbered by rejection order)."""
+    item = F.concat(F.col("pos").cast("string"), F.lit(". Input: "), F.col("input"))
+    fb = F.when(F.col("feedback") != "", F.concat(F.lit("Scenario "), F.col("pos").cast("string"),
+                                                  F.lit(" feedback: "), F.col("feedback")))
+    lst = _ordered_join(rejected, keys, "pos", item, "\n", "scenario_list")
+    fbs = rejected.groupBy(*keys).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("_p"), fb.alias("_t")))), lambda s: s["_t"]), "\n")
+        .alias("feedback"))
+    j = lst.join(fbs, keys)
+    return j.select(*keys, P.render(P.REGENERATE_PROMPT, scenario_list="scenario_list", feedback="feedback",
+                                    n="n_scenario_list").alias("prompt"))

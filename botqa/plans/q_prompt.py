@@ -229,3 +229,61 @@ def pr09_pr12_fix_prompts(t):
     from ..operators import prompting as PMO
     out = PMO.fix_prompts(_fix_prompt_inputs(t))
     return out.select("run", F.col("pattern_rank").cast("int").alias("pattern_rank"), "fix_type", "prompt")
+
+
+def _batches(t):
+    """Scenarios of every run in batches of 20 (W-02), with 1-based positions in the batch."""
+    from . import q_learn as QL
+    j = QL._joined(t)
+    b = J.assign_batches(j, order_col="result_id")
+    k = F.substring("run_id", 4, 1).cast("int")
+    return b.withColumn("deployment", F.when(k % 2 == 0, "PRE_DEPLOYMENT").otherwise("POST_DEPLOYMENT"))
+
+
+def _with_pos(b):
+    from pyspark.sql import Window
+    w = Window.partitionBy("run_id", "batch_id").orderBy("result_id")
+    return b.withColumn("pos", F.row_number().over(w))
+
+
+_BATCH_SQL = """
+b AS (SELECT r.run_id, r.result_id, sc.input, sc.expected_behavior, sc.difficulty,
+             CASE WHEN CAST(substr(r.run_id, 4, 1) AS INT) % 2 = 0 THEN 'PRE_DEPLOYMENT' ELSE 'POST_DEPLOYMENT' END AS deployment,
+             CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY r.run_id ORDER BY r.result_id) - 1) / 20) AS BIGINT) AS batch_id
+      FROM results r JOIN scenarios sc ON sc.scenario_id = r.scenario_id),
+bp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id, batch_id ORDER BY result_id) AS pos FROM b)
+"""
+
+
+@register("PR04_critic_prompts", "WITH " + _BATCH_SQL.strip() + f""",
+l AS (SELECT run_id, batch_id, deployment, COUNT(*) AS n,
+             string_agg('Scenario ' || CAST(pos AS VARCHAR) || ':' || chr(10) || 'Input: ' || input || chr(10) || 'Expected: '
+                        || expected_behavior || chr(10) || 'Difficulty: ' || difficulty, chr(10) || chr(10) ORDER BY pos) AS lst
+      FROM bp GROUP BY run_id, batch_id, deployment)
+SELECT run_id, batch_id, {render_sql(P.CRITIC_PROMPT, evaluation_context=f"CASE WHEN deployment = 'PRE_DEPLOYMENT' THEN '{P.CRITIC_CONTEXT_PRE}' ELSE '{P.CRITIC_CONTEXT_POST}' END",
+                                     n="n", scenario_list="lst")} AS prompt
+FROM l
+""")
+def pr04_critic_prompts(t):
+    """PR-04: critic request per batch of 20 generated scenarios."""
+    b = _with_pos(_batches(t))
+    return PM.critic_prompts(b, ["run_id", "batch_id"])
+
+
+@register("PR05_regenerate_prompts", "WITH " + _BATCH_SQL.strip() + f""",
+rej AS (SELECT run_id, batch_id, input, CASE WHEN difficulty = 'EASY' THEN 'too generic' ELSE '' END AS feedback,
+               ROW_NUMBER() OVER (PARTITION BY run_id, batch_id ORDER BY result_id) AS pos
+        FROM bp WHERE difficulty IN ('EASY', 'MEDIUM')),
+l AS (SELECT run_id, batch_id, COUNT(*) AS n, string_agg(CAST(pos AS VARCHAR) || '. Input: ' || input, chr(10) ORDER BY pos) AS lst,
+             COALESCE(string_agg(CASE WHEN feedback <> '' THEN 'Scenario ' || CAST(pos AS VARCHAR) || ' feedback: ' || feedback END, chr(10) ORDER BY pos), '') AS fb
+      FROM rej GROUP BY run_id, batch_id)
+SELECT run_id, batch_id, {render_sql(P.REGENERATE_PROMPT, scenario_list="lst", feedback="fb", n="n")} AS prompt
+FROM l
+""")
+def pr05_regenerate_prompts(t):
+    """PR-05: regenerate request per batch for the scenarios the critic rejected
+    (here: the EASY and MEDIUM ones; EASY ones carry feedback), with their feedback."""
+    b = _batches(t).where(F.col("difficulty").isin("EASY", "MEDIUM"))
+    b = _with_pos(b).withColumn("feedback", F.when(F.col("difficulty") == "EASY", F.lit("too generic"))
+                                .otherwise(F.lit("")))
+    return PM.regenerate_prompts(b, ["run_id", "batch_id"])

@@ -168,3 +168,14 @@ def critic_gate(candidates: DataFrame, scores: DataFrame, key: str = "batch_id")
         decided = done if decided is None else decided.unionByName(done)
         pending = step.where(F.col("outcome").isNull()).select(key, "slot")
     return decided
+
+
+def persona_pools(personas: DataFrame, key: str = "system") -> DataFrame:
+    """P-08: retired personas dropped; high-value and active personas kept apart
+    (per system: counts and the weighted-list length 3 x high_value + active)."""
+    live = personas.where(F.col("status") != "retired")
+    return live.groupBy(key).agg(
+        F.count_if(F.col("status") == "high_value").alias("high_value"),
+        F.count_if(F.col("status") == "active").alias("active"),
+        (3 * F.count_if(F.col("status") == "high_value") + F.count_if(F.col("status") == "active"))
+        .alias("weighted_len"))

@@ -238,3 +238,17 @@ def k03_cut(t):
     res = FX.results(t).withColumn("seq", F.col("result_id"))
     counts = res.groupBy("run_id").agg(F.floor(F.count(F.lit(1)) * 0.9).cast("bigint").alias("effective_count"))
     return PL.cut_to_count(res, counts).groupBy("run_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@register("P08_persona_pools", "WITH " + _SYSTEMS_SQL.strip() + "," + _PERSONAS_SQL.strip() + """
+SELECT s.company, SUM(CASE WHEN p.status = 'high_value' THEN 1 ELSE 0 END) AS high_value,
+       SUM(CASE WHEN p.status = 'active' THEN 1 ELSE 0 END) AS active,
+       3 * SUM(CASE WHEN p.status = 'high_value' THEN 1 ELSE 0 END) + SUM(CASE WHEN p.status = 'active' THEN 1 ELSE 0 END) AS weighted_len
+FROM systems s JOIN pst p ON p.system_type = s.system_type WHERE p.status <> 'retired' GROUP BY s.company
+""")
+def p08_persona_pools(t):
+    """P-08: persona pools per system after the status filter (retired dropped)."""
+    lib = _persona_status(t)
+    per = (_systems(t).select(F.col("company").alias("system"), "system_type")
+           .join(lib, "system_type").select("system", "persona", "status"))
+    return PL.persona_pools(per).withColumnRenamed("system", "company")

@@ -287,3 +287,15 @@ def pr05_regenerate_prompts(t):
     b = _with_pos(b).withColumn("feedback", F.when(F.col("difficulty") == "EASY", F.lit("too generic"))
                                 .otherwise(F.lit("")))
     return PM.regenerate_prompts(b, ["run_id", "batch_id"])
+
+
+@register("W05_first_examples", _RES + """,
+f AS (SELECT scenario_id, company AS run, actual_response, COALESCE(failure_type, 'UNKNOWN') AS k FROM res WHERE NOT passed),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run, k ORDER BY scenario_id) AS rn FROM f)
+SELECT run, k AS type_key, string_agg(substr(actual_response, 1, 100), chr(10) ORDER BY rn) AS examples
+FROM r WHERE rn <= 3 GROUP BY run, k
+""")
+def w05_first_examples(t):
+    """W-05: first three example replies (100-char prefixes) per failure group, in input order."""
+    _, failed, pats = _failed_patterns(t)
+    return pats.select("run", "type_key", F.array_join("examples", "\n").alias("examples"))

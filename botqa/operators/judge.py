@@ -26,7 +26,12 @@ def request_body(df: DataFrame, input_col: str = "input", message_field: str = "
     """P-01: JSON body ``{message_field: input}`` then ``extra_fields`` (a
     map<string,string> column); an extra field with the same key wins."""
     base = F.create_map(F.lit(message_field), F.col(input_col))
-    body = base if extra_fields is None else F.map_concat(base, extra_fields)
+    if extra_fields is None:
+        body = base
+    else:
+        # drop clashing keys first: correct whatever spark.sql.mapKeyDedupPolicy says
+        kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(extra_fields), k))
+        body = F.map_concat(kept, extra_fields)
     return df.withColumn("request_body", F.to_json(body))
 
 

@@ -189,29 +189,33 @@ def _relabel(edges: DataFrame) -> DataFrame:
 
 
 def mst(points: DataFrame, core: DataFrame, block_size: int = 1024, max_rounds: int = 64) -> DataFrame:
-    """Minimum spanning forest of the mutual-reachability graph per run (Borůvka)."""
+    """Minimum spanning forest of the mutual-reachability graph per run (Borůvka).
+
+    Each round's lightest edges are already a written table; the forest is
+    their union (deduplicated: both ends of an edge may pick it)."""
     st = points.join(core, ["run", "pid"]).withColumn("comp", F.col("pid"))
-    st = cut_lineage(st.select("run", "pid", "vec", F.coalesce("core", F.lit(0.0)).alias("core"), "comp"))
-    tree = None
+    st = cut_lineage(st.select("run", "pid", "vec", F.coalesce("core", F.lit(0.0)).alias("core"), "comp"), "mst_state")
+    rounds = []
     for _ in range(max_rounds):
         pairs = _pairs(_blocks(st, block_size, ["core", "comp"]))
         cand = pairs.select("run", "left", "right").mapInPandas(
             _min_edge_kernel, "run string, pid long, comp long, w double, lo long, hi long, other long")
         best = cand.groupBy("run", "comp").agg(
             F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("run", "comp", "e.*")
-        best = cut_lineage(best)
+        best = cut_lineage(best, "mst_edges")
         if best.limit(1).count() == 0:
             break
-        new_edges = best.select("run", F.col("lo").alias("a"), F.col("hi").alias("b"), "w").distinct()
-        tree = new_edges if tree is None else tree.unionByName(new_edges)
-        tree = cut_lineage(tree)
+        rounds.append(best.select("run", F.col("lo").alias("a"), F.col("hi").alias("b"), "w"))
         lab = _relabel(best.select("run", "comp", "other"))
         st = (st.join(lab, ["run", "comp"], "left")
                 .withColumn("comp", F.coalesce("new", "comp")).drop("new"))
-        st = cut_lineage(st)
-    if tree is None:
+        st = cut_lineage(st, "mst_state")
+    if not rounds:
         return points.sparkSession.createDataFrame([], "run string, a long, b long, w double")
-    return tree
+    tree = rounds[0]
+    for r in rounds[1:]:
+        tree = tree.unionByName(r)
+    return tree.distinct()
 
 
 # ---------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from .registry import register
 
 def _labelled(t):
     v = FX.fail_vecs(t)
-    lab = C.density_clusters(v, block_size=256)
+    lab = C.density_clusters(v)
     types = F.array(*[F.lit(x) for x in S.FAILURE_TYPES])
     ft = F.when(F.col("label") % 7 == 6, F.lit(None).cast("string")).otherwise(
         F.element_at(types, (F.col("label") % 7 + 1).cast("int")))

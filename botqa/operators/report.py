@@ -24,7 +24,8 @@ def overview(runs: DataFrame, key: str = "company") -> DataFrame:
     g = done.groupBy(key).agg(
         F.sum("total_scenarios").cast("bigint").alias("total_scenarios"),
         F.sum("total_failures").cast("bigint").alias("total_failures"),
-        F.avg(F.coalesce("pass_rate", F.lit(0.0))).alias("avg_pass_rate"),
+        # 8 dp: a mean of doubles otherwise depends on the summation order (partitioning)
+        py_round(F.avg(F.coalesce("pass_rate", F.lit(0.0))), 8).alias("avg_pass_rate"),
         F.count(F.lit(1)).alias("runs"), latest.alias("_l"))
     shown = F.floor(F.coalesce(F.col("_l.pass_rate"), F.lit(0.0)) * F.col("_l.total_scenarios") + 0.5)
     return g.select(key, "total_scenarios", "total_failures", "avg_pass_rate", "runs",
@@ -150,7 +151,7 @@ def fix_effectiveness(fixes: DataFrame, runs: DataFrame, key: str = "company") -
     delta = (F.col("next_rate") - F.col("pass_rate")) * 100
     return j.groupBy("failure_type", "fix_type").agg(
         F.count(F.lit(1)).alias("fixes"), F.avg((delta > 0).cast("double")).alias("success_rate"),
-        F.avg(delta).alias("mean_improvement_pts"))
+        py_round(F.avg(delta), 8).alias("mean_improvement_pts"))
 
 
 def monitoring_status(runs: DataFrame, key: str = "company") -> DataFrame:

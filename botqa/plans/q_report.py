@@ -15,11 +15,11 @@ from .q_learn import _joined
 from .registry import register
 
 
-@register("A29_overview", """
+@register("A29_overview", f"""
 WITH d AS (SELECT * FROM runs WHERE status = 'completed')
 SELECT company, CAST(SUM(total_scenarios) AS BIGINT) AS total_scenarios, CAST(SUM(total_failures) AS BIGINT) AS total_failures,
-       AVG(COALESCE(pass_rate, 0.0)) AS avg_pass_rate, COUNT(*) AS runs,
-       CAST(FLOOR(arg_max(pass_rate * total_scenarios, {'c': created_at, 'r': run_id}) + 0.5) AS BIGINT) AS latest_passed_shown
+       {py_round_sql("AVG(COALESCE(pass_rate, 0.0))", 8)} AS avg_pass_rate, COUNT(*) AS runs,
+       CAST(FLOOR(arg_max(pass_rate * total_scenarios, {{'c': created_at, 'r': run_id}}) + 0.5) AS BIGINT) AS latest_passed_shown
 FROM d GROUP BY company
 """)
 def a29_overview(t):
@@ -171,13 +171,13 @@ def j11_corrections(t):
         "result_id", "judge_passed", "final_passed", "corrected")
 
 
-@register("A39_fix_effectiveness", _PAT + """
+@register("A39_fix_effectiveness", _PAT + f"""
 , nx AS (SELECT run_id, pass_rate, LEAD(pass_rate) OVER (PARTITION BY company ORDER BY created_at, run_id) AS next_rate
          FROM runs WHERE status = 'completed'),
 j AS (SELECT a.failure_type, a.fix_type, (nx.next_rate - nx.pass_rate) * 100 AS d FROM allfix a JOIN nx ON nx.run_id = a.run_id
       WHERE nx.next_rate IS NOT NULL)
 SELECT failure_type, fix_type, COUNT(*) AS fixes, AVG(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) AS success_rate,
-       AVG(d) AS mean_improvement_pts
+       {py_round_sql("AVG(d)", 8)} AS mean_improvement_pts
 FROM j GROUP BY ALL
 """)
 def a39_fix_effectiveness(t):

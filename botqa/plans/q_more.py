@@ -3,7 +3,6 @@ U-set-4, K-05/K-06, A-40, C-01)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import analyze as AN

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions.infer import HashJudgeClient, infer
-from ..functions.numeric import py_round, py_round_sql
+from ..functions.numeric import py_round_sql
 from ..operators import analyze as AN
 from ..operators import judge as J
 from ..operators import prompting as PM
 from ..sources import fixtures as FX
 from . import params as PP
+from . import q_rubric as _QR
 from .registry import QUERIES, register
 
 QUERIES_P04 = QUERIES["P04_result_assembly"].sql.strip()
@@ -183,7 +184,7 @@ def _fix_prompt_inputs(t):
     return FXO.fix_plan(p)
 
 
-_SYS_BODY = __import__("botqa.plans.q_rubric", fromlist=["_SYS_SQL"])._SYS_SQL.strip()
+_SYS_BODY = _QR._SYS_SQL.strip()
 
 
 @register("PR09_PR12_fix_prompts", _RES + ",\n" + _SYS_BODY + f""",

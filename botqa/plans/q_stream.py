@@ -13,7 +13,6 @@ from ..sources import fixtures as FX
 from ..streaming import jobs as SJ
 from ..streaming.sources import StreamTables
 from . import q_learn as QL
-from . import q_judging as QJ
 from .registry import QUERIES, register
 
 

@@ -99,7 +99,6 @@ def language_patterns(tiered: DataFrame, markers: Sequence[str] = tuple(S.INFORM
             F.count_if(upper > length * 0.4).alias("caps_msgs"),
             F.count_if(F.col("content").rlike(r"[^\x00-\x7F]")).alias("non_ascii_msgs"),
             F.count_if(bangs > 2).alias("punct_msgs")]
-    present = []
     for i, m in enumerate(markers):
         inside = F.max(F.contains(low, F.lit(m)).cast("int"))
         if m.endswith(" ") and m.strip() and " " not in m[:-1]:
@@ -133,12 +132,24 @@ def _ordered_distinct(df: DataFrame, k: int) -> DataFrame:
     return _topk(g, k, [F.col("_first")]).select("company", "rank", F.col("content").alias("text"))
 
 
+def failure_trigger_messages(tiered: DataFrame,
+                             words: Sequence[str] = tuple(S.FAILURE_OUTCOME_WORDS)) -> DataFrame:
+    """HIGH-tier user messages of conversations with a bad outcome."""
+    return tiered.where((F.col("tier") == "HIGH") & (F.col("role") == "user")
+                        & contains_any(F.lower("outcome"), words))
+
+
 def failure_triggers(tiered: DataFrame, words: Sequence[str] = tuple(S.FAILURE_OUTCOME_WORDS),
                      k: int = S.TRIGGERS_TOP_K) -> DataFrame:
     """A-12: HIGH user messages of conversations with a bad outcome; ordered distinct, first k."""
-    f = tiered.where((F.col("tier") == "HIGH") & (F.col("role") == "user")
-                     & contains_any(F.lower("outcome"), words))
-    return _ordered_distinct(f, k)
+    return _ordered_distinct(failure_trigger_messages(tiered, words), k)
+
+
+def failure_trigger_counts(tiered: DataFrame) -> DataFrame:
+    """Number of distinct failure triggers per company (a plain aggregate: only
+    its emptiness matters to the scenario mix, P-24)."""
+    return (failure_trigger_messages(tiered).groupBy("company")
+            .agg(F.count_distinct("content").alias("n_triggers")))
 
 
 def successful_resolutions(tiered: DataFrame, words: Sequence[str] = tuple(S.SUCCESS_OUTCOME_WORDS),

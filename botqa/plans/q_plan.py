@@ -53,8 +53,7 @@ def _systems(t):
     latest = RL.latest_run(runs.where(F.col("status") == "completed")
                            .select("company", "run_id", "pass_rate", "created_at"), "company") \
         .select("company", F.col("pass_rate").alias("latest_rate"))
-    trig = (I.failure_triggers(I.tier_messages(FX.conv(t)), k=1 << 30)
-              .groupBy("company").agg(F.count(F.lit(1)).alias("n_triggers")))
+    trig = I.failure_trigger_counts(I.tier_messages(FX.conv(t)))
     return sysdf.join(latest, "company", "left").join(trig, "company", "left")
 
 

@@ -21,8 +21,8 @@ def _docs(t):
 
 
 @register("A24_kb_totals", _KB + """
-SELECT kb, COUNT(*) AS documents, SUM(CASE WHEN NOT is_synthetic THEN 1 ELSE 0 END) AS real,
-       SUM(CASE WHEN is_synthetic THEN 1 ELSE 0 END) AS synthetic, CAST(SUM(length(content)) AS BIGINT) AS total_chars
+SELECT kb, COUNT(*) AS documents, CAST(SUM(CASE WHEN NOT is_synthetic THEN 1 ELSE 0 END) AS BIGINT) AS real,
+       CAST(SUM(CASE WHEN is_synthetic THEN 1 ELSE 0 END) AS BIGINT) AS synthetic, CAST(SUM(length(content)) AS BIGINT) AS total_chars
 FROM d GROUP BY kb
 """)
 def a24_totals(t):
@@ -71,8 +71,8 @@ def k04_slots(t):
 
 
 @register("A26_grounded_counts", _SLOTS + """
-SELECT kb, COUNT(*) AS grounded, SUM(CASE WHEN NOT is_synthetic THEN 1 ELSE 0 END) AS from_real,
-       SUM(CASE WHEN is_synthetic THEN 1 ELSE 0 END) AS from_synthetic
+SELECT kb, COUNT(*) AS grounded, CAST(SUM(CASE WHEN NOT is_synthetic THEN 1 ELSE 0 END) AS BIGINT) AS from_real,
+       CAST(SUM(CASE WHEN is_synthetic THEN 1 ELSE 0 END) AS BIGINT) AS from_synthetic
 FROM r WHERE rn <= 200 GROUP BY kb
 """)
 def a26_grounded_counts(t):

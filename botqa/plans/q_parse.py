@@ -175,7 +175,7 @@ def p12_priority(t):
 @register("S14_comma_list", """
 WITH x AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ','), lambda e: regexp_replace(e, '^\\s+|\\s+$', '', 'g')),
                                               lambda e: e <> '') AS items FROM conversations)
-SELECT conv_id, turn, len(items) AS n_items, items[1] AS first_item FROM x
+SELECT conv_id, turn, CAST(len(items) AS INT) AS n_items, items[1] AS first_item FROM x
 """)
 def s14_comma_list(t):
     """S-14: comma list -> trimmed, non-empty items."""
@@ -208,7 +208,7 @@ def s17_slug(t):
 
 
 @register("P22_prefixes", """
-SELECT doc_id, substr(text, 1, 100) AS p100, substr(text, 1, 2000) AS p2000, length(substr(text, 1, 3000)) AS n3000
+SELECT doc_id, substr(text, 1, 100) AS p100, substr(text, 1, 2000) AS p2000, CAST(length(substr(text, 1, 3000)) AS INT) AS n3000
 FROM documents
 """)
 def p22_prefix(t):

@@ -240,9 +240,9 @@ def k03_cut(t):
 
 
 @register("P08_persona_pools", "WITH " + _SYSTEMS_SQL.strip() + "," + _PERSONAS_SQL.strip() + """
-SELECT s.company, SUM(CASE WHEN p.status = 'high_value' THEN 1 ELSE 0 END) AS high_value,
-       SUM(CASE WHEN p.status = 'active' THEN 1 ELSE 0 END) AS active,
-       3 * SUM(CASE WHEN p.status = 'high_value' THEN 1 ELSE 0 END) + SUM(CASE WHEN p.status = 'active' THEN 1 ELSE 0 END) AS weighted_len
+SELECT s.company, CAST(SUM(CASE WHEN p.status = 'high_value' THEN 1 ELSE 0 END) AS BIGINT) AS high_value,
+       CAST(SUM(CASE WHEN p.status = 'active' THEN 1 ELSE 0 END) AS BIGINT) AS active,
+       CAST(3 * SUM(CASE WHEN p.status = 'high_value' THEN 1 ELSE 0 END) + SUM(CASE WHEN p.status = 'active' THEN 1 ELSE 0 END) AS BIGINT) AS weighted_len
 FROM systems s JOIN pst p ON p.system_type = s.system_type WHERE p.status <> 'retired' GROUP BY s.company
 """)
 def p08_persona_pools(t):

@@ -198,7 +198,7 @@ def a41_monitoring(t):
 
 
 @register("W08_trend_series", """
-SELECT company, run_id, pass_rate, point FROM (
+SELECT company, run_id, pass_rate, CAST(point AS INT) AS point FROM (
   SELECT company, run_id, pass_rate, ROW_NUMBER() OVER (PARTITION BY company ORDER BY created_at, run_id) AS point,
          COUNT(*) OVER (PARTITION BY company) AS n
   FROM runs WHERE status = 'completed') x WHERE n >= 2
@@ -209,7 +209,7 @@ def w08_trend_series(t):
 
 
 @register("W09_recent_runs", """
-SELECT company, run_id, pos, pass_rate,
+SELECT company, run_id, CAST(pos AS INT) AS pos, pass_rate,
        CASE WHEN FLOOR(pass_rate * 100 + 0.5) >= 90 THEN 'A' WHEN FLOOR(pass_rate * 100 + 0.5) >= 80 THEN 'B'
             WHEN FLOOR(pass_rate * 100 + 0.5) >= 70 THEN 'C' WHEN FLOOR(pass_rate * 100 + 0.5) >= 60 THEN 'D' ELSE 'F' END AS grade
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY company ORDER BY created_at DESC, run_id DESC) AS pos

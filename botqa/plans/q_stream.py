@@ -35,8 +35,8 @@ def st02(t):
 
 
 @register("ST03_live_run_counters", """
-SELECT run_id, COUNT(*) AS total, SUM(CASE WHEN passed THEN 1 ELSE 0 END) AS passed_count,
-       SUM(CASE WHEN NOT passed AND failure_type IS NOT NULL THEN 1 ELSE 0 END) AS typed_failures
+SELECT run_id, COUNT(*) AS total, CAST(SUM(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS passed_count,
+       CAST(SUM(CASE WHEN NOT passed AND failure_type IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS typed_failures
 FROM results GROUP BY run_id
 """)
 def st03(t):

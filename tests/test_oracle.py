@@ -42,14 +42,28 @@ def con():
     return c
 
 
+def _spark_kind(dt):
+    s = dt.simpleString()
+    return {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+            "boolean": "BOOLEAN"}.get(s, "TIMESTAMP" if s.startswith("timestamp") else s)
+
+
+def _duck_kind(t):
+    t = str(t)
+    return "TIMESTAMP" if t.startswith("TIMESTAMP") else t
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF01)
     srows = [tuple(r) for r in df.collect()]
-    cur = con.execute(SQL[name])
-    ocols = [d[0] for d in cur.description]
-    orows = cur.fetchall()
+    rel = con.sql(SQL[name])
+    ocols, otypes = rel.columns, rel.types
+    orows = rel.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    # same column types on both sides (no HUGEINT sums, INT vs BIGINT, DECIMAL literals)
+    skinds = {f.name: _spark_kind(f.dataType) for f in df.schema.fields}
+    assert {c: skinds[c] for c in ocols} == {c: _duck_kind(t) for c, t in zip(ocols, otypes)}
     assert len(srows) == len(orows)
     assert _rows(df.columns, srows) == _rows(ocols, orows)
 

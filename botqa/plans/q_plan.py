@@ -9,6 +9,7 @@ from ..operators import learn as L
 from ..operators import plan as PL
 from ..sources import fixtures as FX
 from ..sources import runlog as RL
+from ..session import cut_lineage
 from .registry import register
 
 # --- derived planning inputs -------------------------------------------------
@@ -54,7 +55,7 @@ def _systems(t):
                            .select("company", "run_id", "pass_rate", "created_at"), "company") \
         .select("company", F.col("pass_rate").alias("latest_rate"))
     trig = I.failure_trigger_counts(I.tier_messages(FX.conv(t)))
-    return sysdf.join(latest, "company", "left").join(trig, "company", "left")
+    return cut_lineage(sysdf.join(latest, "company", "left").join(trig, "company", "left"), "systems")
 
 
 def _plan(t):
@@ -123,8 +124,10 @@ def _library(t):
 
 
 def _persona_status(t):
+    """Persona status per (persona, system type): a small table, written once
+    (so the events table is scanned once however often the plan refers to it)."""
     eff = L.persona_effectiveness(FX.persona_use(t), bucket_width=1000)
-    return PL.persona_status(_library(t), eff)
+    return cut_lineage(PL.persona_status(_library(t), eff), "persona_status")
 
 
 @register("J03_persona_status", "WITH " + _PERSONAS_SQL.strip() + """

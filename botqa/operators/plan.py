@@ -39,14 +39,18 @@ def maturity(has_history: Column, latest_pass_rate: Column, configured: Column)
              .when(F.coalesce(configured, F.lit("NEW")) == "NEW", detected).otherwise(configured))
 
 
-def scenario_mix(total: Column, mat: Column, strategy: Column) -> Column:
+def scenario_mix(total: Column, mat: Column, strategy: Column, ratios: dict | None = None) -> Column:
     """P-18: struct(new_edge_cases, from_failures, adversarial).  SMART_MIX uses
     the maturity ratios with int() truncation and the remainder adversarial;
-    an explicit strategy puts everything in one bucket."""
+    an explicit strategy puts everything in one bucket.  ``ratios`` optionally
+    overrides the (new, failures, adversarial) ratios per maturity (T16: the
+    configurable weights that the source declares but never reads)."""
+    table = {**MATURITY_RATIOS, **(ratios or {})}
+
     def ratio(i):
-        return (F.when(mat == "NEW", MATURITY_RATIOS["NEW"][i])
-                 .when(mat == "RUNNING", MATURITY_RATIOS["RUNNING"][i])
-                 .otherwise(MATURITY_RATIOS["RELIABLE"][i]))
+        return (F.when(mat == "NEW", table["NEW"][i])
+                 .when(mat == "RUNNING", table["RUNNING"][i])
+                 .otherwise(table["RELIABLE"][i]))
     new = (total * ratio(0)).cast("int")
     fail = (total * ratio(1)).cast("int")
     adv = F.greatest(F.lit(0), total - new - fail)

@@ -297,3 +297,12 @@ def test_ranked_matches_row_number(spark, width):
         "k", "seq", F.row_number().over(w).alias("rn"),
         F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s")).collect()}
     assert got == exp
+
+
+def test_mix_ratio_override(spark):
+    df = spark.createDataFrame([(100, "RUNNING")], "total int, m string")
+    mix = df.select(PL.scenario_mix(F.col("total"), F.col("m"), F.lit("SMART_MIX"),
+                                    ratios={"RUNNING": (0.1, 0.6, 0.3)}).alias("mix")).first().mix
+    assert tuple(mix) == (10, 60, 30)
+    default = df.select(PL.scenario_mix(F.col("total"), F.col("m"), F.lit("SMART_MIX")).alias("mix")).first().mix
+    assert tuple(default) == (50, 30, 20)

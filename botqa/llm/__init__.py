@@ -1,0 +1,8 @@
+"""Operators of a training-data pipeline; nothing else in the library imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with the job, so no executor needs this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -86,11 +86,11 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
               CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
        FROM d GROUP BY source),
- r AS (SELECT *, sum(3 * source_size) OVER o AS held, sum(w) OVER o AS mass, row_number() OVER (ORDER BY source_size / w, source) AS at FROM s
+ r AS (SELECT *, sum(3 * source_size) OVER o AS held, sum(w) OVER o AS mass, row_number() OVER (ORDER BY source_size / w, source) AS pos FROM s
        WINDOW o AS (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  l AS (SELECT *, CAST((SELECT sum(source_size) FROM s) - coalesce(held, 0) AS DOUBLE)
                  / CAST((SELECT sum(w) FROM s) - coalesce(mass, 0) AS DOUBLE) AS level FROM r),
- v AS (SELECT arg_min(level, at) AS level FROM l WHERE w * level <= 3 * source_size),
+ v AS (SELECT arg_min(level, pos) AS level FROM l WHERE w * level <= 3 * source_size),
  t AS (SELECT source, source_size, least(w * v.level, 3.0::DOUBLE * source_size) AS target FROM s, v),
  p AS (SELECT d.*, t.source_size, t.target,
               coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size

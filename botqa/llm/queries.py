@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, mixing, quality, sharding, simhash, toxicity
 from .common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,13 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
  c AS (SELECT *, CAST(CASE WHEN size > 0 AND target - first - size / 2 > 0
                            THEN least(3, ceil((target - first - size / 2) / source_size)) ELSE 0 END AS INTEGER) AS copies FROM p)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM c"""
+
+
+@_register
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels with crc32(doc_id) mod 4 = 2 are held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.ToxicityModel(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                                    "tokens", "evidence", "passages")

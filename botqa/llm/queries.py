@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, toxicity
+from . import decontaminate, fingerprints, mixing, quality, secrets, sharding, simhash, toxicity
 from .common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.ToxicityModel(docs, _table(spark, sf_dir, "labels"), ~held_out)
     return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
                                     "tokens", "evidence", "passages")
+
+
+@_register
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[number(k) for k in secrets.BASE], F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("secrets")).alias("spans"))
+
+
+@_register
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))

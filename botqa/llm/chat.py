@@ -60,16 +60,18 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, leaf, place, node, depth) of the messages on the ``top`` best paths
     of each tree; ``place`` ranks the path, ``depth`` counts from 1 at the root."""
     links = messages.select("tree", "node", F.col("parent").alias("ptr"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("depth"))
-    state = staged(links, "jump")
-    jumps = []
-    while not state.where("ptr is not null").isEmpty():
+    state, jumps = staged(links, "jump"), []
+    reached = state.where("ptr is null")  # messages whose sums go up to the root: they take no part in later rounds
+    while not (going := state.where("ptr is not null")).isEmpty():
         if len(jumps) == _MAX_ROUNDS:
             raise ValueError("replies form a cycle")
-        jumps.append(state.select("node", "ptr"))
-        upper = state.select(F.col("node").alias("up"), F.col("ptr").alias("up_ptr"), F.col("sum").alias("up_sum"), F.col("depth").alias("up_depth"))
-        state = staged(state.join(upper, F.col("ptr") == F.col("up"), "left").select(
+        jumps.append(going.select("node", "ptr"))
+        upper = reached.unionByName(going).select(F.col("node").alias("up"), F.col("ptr").alias("up_ptr"), F.col("sum").alias("up_sum"), F.col("depth").alias("up_depth"))
+        state = staged(going.join(upper, F.col("ptr") == F.col("up"), "left").select(
             "tree", "node", F.col("up_ptr").alias("ptr"), (F.col("sum") + F.coalesce("up_sum", F.lit(0.0))).alias("sum"),
             (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth")), "jump")
+        reached = reached.unionByName(state.where("ptr is null"))
+    state = reached
     answered = messages.where("parent is not null").select(F.col("parent").alias("node"))
     leaves = state.join(answered, "node", "left_anti")
     best = F.expr("row_number() over (partition by tree order by sum / depth desc, depth desc, node)")

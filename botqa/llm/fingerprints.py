@@ -132,9 +132,9 @@ def likeness(a: np.ndarray, b: np.ndarray, minima: int = MINIMA) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) / len(both)
 
 
-def as_text(sketch: np.ndarray) -> str:
-    """Eight hex digits per minimum."""
-    return sketch.astype(">u4").tobytes().hex()
+def as_bytes(sketch: np.ndarray) -> bytes:
+    """Four bytes per minimum, eight hex digits in the result."""
+    return sketch.astype(">u4").tobytes()
 
 
 def _edited(text: str, following: str) -> str:
@@ -144,7 +144,7 @@ def _edited(text: str, following: str) -> str:
 
 #: Bytes of text that are parsed together.
 _TOGETHER = 1 << 17
-_RESULT = [("doc_id", "long"), ("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"),
+_RESULT = [("doc_id", "long"), ("n_chars", "long"), ("edited_sha256", "binary"), ("fingerprint", "binary"), ("edited_fingerprint", "binary"),
            ("near_edited", "double"), ("near_next", "double")]
 
 
@@ -153,13 +153,13 @@ def _compare(ids: list, texts: list[str]) -> list[tuple]:
     edited = [_edited(a, b).encode() for a, b in zip(texts[:-1], texts[1:], strict=True)]
     prints = sketches([t.encode() for t in texts])
     others = sketches(edited)
-    return [(ids[i], len(texts[i]), hashlib.sha256(edited[i]).hexdigest(), as_text(prints[i]), as_text(others[i]),
+    return [(ids[i], len(texts[i]), hashlib.sha256(edited[i]).digest(), as_bytes(prints[i]), as_bytes(others[i]),
              likeness(prints[i], others[i]), likeness(prints[i], prints[i + 1])) for i in range(len(edited))]
 
 
 def _record(rows: list[tuple], edge: str | None = None, text: str | None = None, place: int = 0) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(_RESULT)
-    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
     arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, _RESULT, strict=True)]
     n = len(rows)
     arrays += [pa.array([place] * n, pa.int64()), pa.array([edge] * n, pa.string()), pa.array([text] * n, pa.string())]
@@ -217,4 +217,5 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     pairs = (edges.where("edge = 'last'").join(turn, "place").select("doc_id", "text", "next_place")
              .join(edges.where("edge = 'first'").select(F.col("place").alias("next_place"), F.col("text").alias("next_text")), "next_place"))
     rest = pairs.select("doc_id", "text", "next_text").mapInArrow(_parse_pairs, spec)
-    return parsed.where("edge is null").select([c for c, _ in _RESULT]).unionByName(rest)
+    found = parsed.where("edge is null").select([c for c, _ in _RESULT]).unionByName(rest)
+    return found.select([F.lower(F.hex(c)).alias(c) if k == "binary" else c for c, k in _RESULT])

@@ -94,8 +94,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that contain no item, with their columns."""
     hits = staged(contained_items(docs, items, **options).select("doc_id", "text_hash").distinct(), "leaks")
-    h = fresh(docs, "h")
-    hits = hits.select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash"))
+    h, leak_id, leak_hash = (fresh(docs, x) for x in ("h", "leak_id", "leak_hash"))
+    hits = hits.select(F.col("doc_id").alias(leak_id), F.col("text_hash").alias(leak_hash))
     return (docs.withColumn(h, F.xxhash64("text"))
-            .join(hits, F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (F.col(h) == F.col("_leak_hash")), "left_anti")
+            .join(hits, F.col("doc_id").eqNullSafe(F.col(leak_id)) & (F.col(h) == F.col(leak_hash)), "left_anti")
             .select(docs.columns))

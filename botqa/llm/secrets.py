@@ -130,6 +130,8 @@ def _scan(text: str, out: str, kinds: tuple[Kind, ...]):
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with its text replaced by ``out``: array of (kind, start, end)."""
+    """``docs`` with its text replaced by ``out``: array of (kind, start, end); a
+    column named ``out`` gives way to it."""
+    docs = docs.drop(out)
     fields = [f for f in docs.schema.fields if f.name != text]
     return docs.mapInArrow(_scan(text, out, kinds), T.StructType([*fields, T.StructField(out, _SPANS)]))

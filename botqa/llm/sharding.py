@@ -9,8 +9,8 @@ sent through again (cycle walking).  Position p goes to shard p mod ``shards``,
 slot p div ``shards``: shard sizes differ by one at most and slots have no gaps.
 
 Edges: rows that tie in the order are interchangeable and get numbers of their
-own; nulls come first; an empty table gives an empty result; columns of the
-input pass through, whatever their names.
+own; nulls come first; an empty table gives an empty result; other columns of the
+input pass through.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def longest_walk(spark, n: int, seed: int) -> int:
 def assign_shards(df: DataFrame, order: list[Column], shards: int, seed: int = 11) -> DataFrame:
     """``df`` with ``row_number``, ``position``, ``shard`` (int) and ``slot``.
 
-    The four names must be free in ``df``.
+    Columns of these names in ``df`` may be ordered by, and give way.
     """
     ranked = with_row_numbers(df, order, "row_number")
     n = ranked.count()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, staged
+from .common import staged
 
 #: Words of a shingle, bits that may differ, and the hash's seed.
 SHINGLE_WORDS, DISTANCE, SEED = 3, 3, 42
@@ -63,7 +63,9 @@ def _fingerprints(text: str, out: str, size: int):
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", size: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with its text replaced by its fingerprint (long)."""
+    """``docs`` with its text replaced by its fingerprint (long); a column named
+    ``out`` gives way to it."""
+    docs = docs.drop(out)
     fields = [f for f in docs.schema.fields if f.name != text]
     return docs.mapInArrow(_fingerprints(text, out, size), T.StructType([*fields, T.StructField(out, T.LongType())]))
 

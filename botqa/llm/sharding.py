@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, with_row_numbers
+from .common import fresh, staged, with_row_numbers
 
 ROUNDS = 6
 
@@ -52,7 +52,8 @@ def longest_walk(spark, n: int, seed: int) -> int:
     beyond, passes = spark.range(n, a * b), 1
     before = a * b - n
     while before:
-        beyond = permute(beyond, "id", n, seed).where(F.col("id") >= n)
+        # written before the filter, which else is pushed through the rounds and doubles in each
+        beyond = staged(permute(beyond, "id", n, seed), "beyond").where(F.col("id") >= n)
         now = beyond.count()
         if now == before:
             break

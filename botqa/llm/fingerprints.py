@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, span_hash, prefix_hash, staged
+from .common import mix64, staged
 
 #: Names of this level and above enter the sketch, of so many minima.
 LEVEL, MINIMA = 2, 64
@@ -65,19 +65,17 @@ def _squeeze(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Make each run of one symbol a single symbol named by symbol and length."""
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | first[1:]
-    if new.all():
-        return x, first
     at = np.flatnonzero(new)
     run = np.diff(np.append(at, len(x))).astype(np.uint64)
     name = x[at].astype(np.uint64)
-    return np.where(run > 1, mix64(name + (run << np.uint64(32)) + np.uint64(0xA5)), name), first[at]
+    some = np.flatnonzero(run > 1)
+    name[some] = mix64(name[some] + (run[some] << np.uint64(32)) + np.uint64(0xA5))
+    return name, first[at]
 
 
 def _names(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hash of each phrase (start to next start)."""
     at = np.flatnonzero(starts)
-    if x.dtype == np.uint8:
-        return span_hash(prefix_hash(x), at, np.append(at[1:], len(x)))
     place = np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))
     return mix64(np.add.reduceat(mix64(x + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at))
 

@@ -76,8 +76,7 @@ def is_json_object(js) -> Column:
 
 
 def json_str(js, key: str) -> Column:
-    """String value of ``key`` in a JSON object, null when absent or not a string."""
-    col = _c(js)
-    v = F.get_json_object(col, f"$.{key}")
-    raw = F.regexp_extract(col, r'"' + key + r'"\s*:\s*(.)', 1)
-    return F.when(raw == '"', v)
+    """String value of the top-level ``key`` of a JSON object, null when absent
+    or not a string.  The type is that of the parsed value."""
+    v = F.from_json(_c(js), f"`{key}` variant")[key]
+    return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))

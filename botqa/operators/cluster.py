@@ -74,15 +74,18 @@ def _mat(arr):
     return np.asarray([np.asarray(e["vec"], dtype=np.float64) for e in arr])
 
 
-def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    np.maximum(d2, 0.0, out=d2)
-    return np.sqrt(d2)
+#: Entries of the difference tensor a task holds at a time (8 bytes each).
+_TILE = 4_000_000
 
 
-def _exact_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Direct differences (no cancellation) — used for the values we emit."""
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
+def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances by direct differences: symmetric to the last bit and zero for
+    copies, whatever the block size.  Tiled over ``b`` to bound memory."""
+    out = np.empty((a.shape[0], b.shape[0]))
+    step = max(1, _TILE // max(1, a.size))
+    for i in range(0, b.shape[0], step):
+        out[:, i:i + step] = np.sqrt(((a[:, None, :] - b[None, i:i + step, :]) ** 2).sum(-1))
+    return out
 
 
 def _knn_kernel(k: int):
@@ -91,7 +94,7 @@ def _knn_kernel(k: int):
             out_run, out_pid, out_d = [], [], []
             for run_id, left, right in zip(pdf["run"], pdf["left"], pdf["right"]):
                 a, b = _mat(left), _mat(right)
-                d = _exact_dist(a, b) if a.shape[0] * b.shape[0] <= 250_000 else _dist(a, b)
+                d = _dist(a, b)
                 lp = np.asarray([e["pid"] for e in left])
                 rp = np.asarray([e["pid"] for e in right])
                 d[lp[:, None] == rp[None, :]] = _INF          # not the point itself
@@ -131,7 +134,7 @@ def _min_edge_kernel(it):
         rows = {"run": [], "pid": [], "comp": [], "w": [], "lo": [], "hi": [], "other": []}
         for run_id, left, right in zip(pdf["run"], pdf["left"], pdf["right"]):
             a, b = _mat(left), _mat(right)
-            d = _exact_dist(a, b) if a.shape[0] * b.shape[0] <= 250_000 else _dist(a, b)
+            d = _dist(a, b)
             lc = np.asarray([e["core"] for e in left], dtype=np.float64)
             rc = np.asarray([e["core"] for e in right], dtype=np.float64)
             lcomp = np.asarray([e["comp"] for e in left])
@@ -210,6 +213,8 @@ def mst(points: DataFrame, core: DataFrame, block_size: int = 1024, max_rounds:
         st = (st.join(lab, ["run", "comp"], "left")
                 .withColumn("comp", F.coalesce("new", "comp")).drop("new"))
         st = cut_lineage(st, "mst_state")
+    else:
+        raise RuntimeError(f"the forest is not complete after {max_rounds} rounds")
     if not rounds:
         return points.sparkSession.createDataFrame([], "run string, a long, b long, w double")
     tree = rounds[0]

@@ -201,13 +201,14 @@ def filter_results(results: DataFrame, status: str = "all", failure_type: str |
     return r
 
 
-def executive_summary(runs: DataFrame, high_fixes: DataFrame, now: Column, report_date: str) -> DataFrame:
-    """SRC-15: executive summary text per run."""
+def executive_summary(runs: DataFrame, high_fixes: DataFrame, now: Column, report_date: str,
+                      product: str = S.PRODUCT) -> DataFrame:
+    """SRC-15: executive summary text per run, under the name ``product``."""
     j = runs.join(high_fixes, "run_id", "left")
     pr = G.js_round_pct("pass_rate")
     safe = G.deploy_safe_rounded("pass_rate", "total_failures")
     lines = [
-        F.lit("INSPECTAI EXECUTIVE SUMMARY"),
+        F.lit(f"{product.upper()} EXECUTIVE SUMMARY"),
         F.concat(F.lit("Organization: "), F.col("company")),
         F.lit(f"Report Date: {report_date}"),
         F.concat(F.lit("Monitoring Cycle: "), G.relative_time(F.col("created_at"), now)),
@@ -219,7 +220,7 @@ def executive_summary(runs: DataFrame, high_fixes: DataFrame, now: Column, repor
         F.lit(""),
         F.concat(F.lit("DEPLOYMENT VERDICT: "), G.deploy_verdict_text(safe)),
         F.lit(""),
-        F.lit("InspectAI runs continuously inside your chatbot to detect policy violations,"),
+        F.lit(f"{product} runs continuously inside your chatbot to detect policy violations,"),
         F.lit("hallucinations, and escalation failures before customers are impacted."),
         F.lit(""),
         F.lit("For full technical details, download the complete quality report."),
@@ -227,7 +228,8 @@ def executive_summary(runs: DataFrame, high_fixes: DataFrame, now: Column, repor
     return j.select("run_id", F.concat_ws("\n", *lines).alias("value"))
 
 
-def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame, generated_at: str) -> DataFrame:
+def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame, generated_at: str,
+                        product: str = S.PRODUCT) -> DataFrame:
     """SRC-14: one JSON quality report per run (grade, percent, verdict,
     patterns, remediation actions).  Patterns are bounded per run (one per
     cluster/type); actions are the run's fixes."""
@@ -246,7 +248,7 @@ def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame,
     j = runs.join(pats, "run_id", "left").join(acts, "run_id", "left")
     safe = G.deploy_safe("pass_rate", "total_failures")
     report = F.struct(
-        F.concat(F.lit("InspectAI Quality Report — "), F.col("company")).alias("title"),
+        F.concat(F.lit(f"{product} Quality Report — "), F.col("company")).alias("title"),
         F.lit(generated_at).alias("generated_at"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("monitoring_cycle"),
         G.grade_letter("pass_rate").alias("quality_grade"),
@@ -256,7 +258,7 @@ def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame,
         G.deploy_verdict_text(safe).alias("deployment_verdict"),
         F.coalesce("failure_patterns", F.array()).alias("failure_patterns"),
         F.coalesce("remediation_actions", F.array()).alias("remediation_actions"),
-        F.lit("Generated by InspectAI continuous monitoring. Review all recommendations before implementing.")
+        F.lit(f"Generated by {product} continuous monitoring. Review all recommendations before implementing.")
         .alias("disclaimer"))
     return j.select("run_id", F.to_json(report).alias("value"))
 

@@ -57,7 +57,7 @@ plan AS (
   UNION ALL SELECT run_id, pattern_rank, failure_type, affected_scenarios, 'ARCHITECTURE_CHANGE', 'MEDIUM', 2 FROM pp WHERE system_type = 'RAG'
   UNION ALL SELECT run_id, pattern_rank, failure_type, affected_scenarios, 'POLICY_CLARIFICATION', 'HIGH', 3 FROM pp WHERE failure_type = 'POLICY_VIOLATION'),
 st AS (SELECT run_id, COUNT(*) AS total, CAST(SUM(CASE WHEN passed THEN 0 ELSE 1 END) AS BIGINT) AS failed_count,
-              SUM(CASE WHEN passed THEN 1 ELSE 0 END) / CAST(COUNT(*) AS DOUBLE) AS pr,
+              """ + py_round_sql("SUM(CASE WHEN passed THEN 1 ELSE 0 END) / CAST(COUNT(*) AS DOUBLE)", 4) + """ AS pr,
               SUM(CASE WHEN NOT passed AND failure_type IS NOT NULL THEN 1 ELSE 0 END) AS pairs
        FROM results GROUP BY run_id),
 allfix AS (
@@ -126,7 +126,6 @@ FROM y
 def a27_fix_report(t):
     """A-27/A-28: fix counts by priority and the improvement estimate per run."""
     fixes, stats = _fixes(t)
-    stats = stats.withColumn("pass_rate", F.col("passed_count") / F.col("total"))
     return FXO.fix_report(fixes, stats)
 
 

@@ -153,7 +153,6 @@ def pr13_improvement_prompts(t):
     from ..operators import fix as FXO
     from .q_fix import _fixes
     fixes, stats = _fixes(t)
-    stats = stats.withColumn("pass_rate", F.col("passed_count") / F.col("total"))
     rep = FXO.fix_report(fixes, stats)
     comp = FX.results(t).select("run_id", "company").distinct()
     return PM.improvement_prompts(rep, stats.join(comp, "run_id"), "run_id")

@@ -256,14 +256,14 @@ def p09_filter(t):
 , hf AS (SELECT run_id, COUNT(*) AS n FROM allfix WHERE priority = 'HIGH' GROUP BY run_id),
 x AS (SELECT r.*, COALESCE(hf.n, 0) AS hfx, CAST(FLOOR(COALESCE(r.pass_rate, 0) * 100 + 0.5) AS BIGINT) AS pr,
              {_REL} AS rel FROM runs r LEFT JOIN hf ON hf.run_id = r.run_id)
-SELECT run_id, concat_ws(chr(10), 'INSPECTAI EXECUTIVE SUMMARY', 'Organization: ' || company,
+SELECT run_id, concat_ws(chr(10), 'QUALITY MONITOR EXECUTIVE SUMMARY', 'Organization: ' || company,
   'Report Date: {PP.REPORT_NOW[:10]}', 'Monitoring Cycle: ' || rel, '',
   'QUALITY GRADE: ' || CASE WHEN pr >= 90 THEN 'A' WHEN pr >= 80 THEN 'B' WHEN pr >= 70 THEN 'C' WHEN pr >= 60 THEN 'D' ELSE 'F' END
      || ' (' || CAST(pr AS VARCHAR) || '%)',
   'Scenarios Monitored: ' || CAST(total_scenarios AS VARCHAR), 'Open Issues: ' || CAST(total_failures AS VARCHAR),
   'High Priority Actions: ' || CAST(hfx AS VARCHAR), '',
   'DEPLOYMENT VERDICT: ' || CASE WHEN pr >= 80 AND total_failures < 10 THEN 'SAFE TO DEPLOY' ELSE 'FIX BEFORE DEPLOY' END, '',
-  'InspectAI runs continuously inside your chatbot to detect policy violations,',
+  'Quality Monitor runs continuously inside your chatbot to detect policy violations,',
   'hallucinations, and escalation failures before customers are impacted.', '',
   'For full technical details, download the complete quality report.') AS value
 FROM x
@@ -277,7 +277,7 @@ def src15_executive_summary(t):
 
 @register("SRC14_quality_report")
 def src14_quality_report(t):
-    """SRC-14 JSON quality report per run (nested; checked by unit tests)."""
+    """SRC-14 JSON quality report per run (nested)."""
     fixes, _ = _fixes(t)
     pats = _patterns(t).withColumnRenamed("affected_scenarios", "scenario_count")
     return R.quality_report_json(FX.runs(t), pats, fixes, PP.REPORT_NOW)

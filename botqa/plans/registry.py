@@ -45,7 +45,7 @@ SELECT conv_id, turn, role, text AS content,
 FROM conversations""",
     "responses": """
 SELECT scenario_id, company, input, actual_response, latency_ms FROM (
-  SELECT conv_id * 100 + turn AS scenario_id,
+  SELECT conv_id * 1000000 + turn AS scenario_id,
          CONCAT('co_', CAST(conv_id % 7 AS VARCHAR)) AS company,
          role, text AS input,
          LEAD(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,

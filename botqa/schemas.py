@@ -216,3 +216,6 @@ FIX_DISCLAIMER = {
 FINE_TUNING_PROBLEM = ("Your AI system made specific mistakes that can be corrected through targeted "
                        "fine-tuning.")
 NO_FAILURES_ESTIMATE = "No failures detected — system performing well"
+
+# Name under which reports are issued; callers give their own.
+PRODUCT = "Quality Monitor"

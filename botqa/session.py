@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins at runtime (broadcast when
@@ -30,14 +31,19 @@ _DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "botqa") -> SparkSession:
+    wanted = dict(_DEFAULTS)
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    wanted["spark.driver.memory"] = os.environ.get("BOTQA_DRIVER_MEMORY", "16g")
+    if SparkContext._gateway or "PYSPARK_GATEWAY_PORT" in os.environ:  # spark-submit or a running session: its values win
+        given = SparkConf()
+        running = SparkSession.getActiveSession()
+        wanted = {k: v for k, v in wanted.items() if not given.contains(k) and (running is None or running.conf.get(k, None) is None)}
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in _DEFAULTS.items():
+    for k, v in wanted.items():
         builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("BOTQA_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -48,7 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object-store) folder there and we use it as
-    is.  Only when nothing is set (local tests) do we create a scratch folder.
+    is.  A session that runs in one process may leave it unset and gets a scratch
+    folder; any other must set it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="botqa-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir) if _settable(spark) else None
     sc.setCheckpointDir(conf_dir)

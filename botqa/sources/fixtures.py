@@ -46,7 +46,7 @@ def responses(t: Tables) -> DataFrame:
     )
     return (nxt.where((F.col("role") == "user")
                       & (F.col("next_role").eqNullSafe("assistant") | F.col("next_role").isNull()))
-            .select((F.col("conv_id") * 100 + F.col("turn")).alias("scenario_id"),
+            .select((F.col("conv_id") * 1000000 + F.col("turn")).alias("scenario_id"),
                     _company(F.col("conv_id")).alias("company"),
                     F.col("text").alias("input"),
                     "actual_response",

@@ -20,6 +20,7 @@ from ..functions.text import first_truthy, nullif_empty
 DROP_TAGS = {"nav", "footer", "header", "script", "style", "aside", "iframe", "noscript"}
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
              "source", "track", "wbr"}
+HEAD_TAGS = {"head", "title", "meta", "link", "base"}
 MAX_PAGE_CHARS = 5000
 MIN_PAGE_CHARS = 50
 TRUNCATION_MARK = "...[truncated]"
@@ -80,7 +81,20 @@ def _main_node(root):
         for n in nodes:
             if t(n):
                 return n
-    return None
+    return _implied_body(root)
+
+
+def _implied_body(root):
+    """The body an HTML parser adds where the tag is missing: all but the head's
+    elements; None for a page without any."""
+    rest = [ch for ch in root.children if not (isinstance(ch, str) and not ch.strip())]
+    if not rest:
+        return None
+    body = _Node("body", {}, None)
+    for ch in rest:
+        inner = ch.children if isinstance(ch, _Node) and ch.tag == "html" else [ch]
+        body.children += [x for x in inner if isinstance(x, str) or x.tag not in HEAD_TAGS]
+    return body
 
 
 def _texts(node, out):
@@ -101,8 +115,8 @@ def extract_page(html: str | None) -> tuple[str | None, str | None]:
     try:
         b.feed(html)
         b.close()
-    except Exception:  # noqa: BLE001 - malformed markup: keep what was parsed
-        pass
+    except AssertionError:  # html.parser's sign of markup that it rejects: no document, as from a page without text
+        return None, None
     title = None
     for n in _walk(b.root):
         if n.tag == "title":

@@ -29,7 +29,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import judge as J
 from ..operators import learn as L
-from .sources import stream_workdir
+from .sources import exists, stream_workdir
 
 WATERMARK = "1 day"
 
@@ -42,9 +42,9 @@ def _write_increment(out_dir: str):
 
 
 def _run(stream_df: DataFrame, job: str, sink_factory, output_mode: str = "append",
-         trigger_once: bool = True) -> str:
+         trigger_once: bool = True, folder: str | None = None) -> str:
     spark = stream_df.sparkSession
-    work = stream_workdir(spark, job)
+    work = stream_workdir(spark, job, folder)
     out = f"{work}/out"
     w = (stream_df.writeStream.outputMode(output_mode)
          .option("checkpointLocation", f"{work}/checkpoint")
@@ -56,17 +56,16 @@ def _run(stream_df: DataFrame, job: str, sink_factory, output_mode: str = "appen
     return out
 
 
-def _read(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced output yet
+def _read(spark: SparkSession, out: str, schema) -> DataFrame:
+    if not exists(spark, out):  # no batch produced output yet
         return spark.createDataFrame([], schema)
+    return spark.read.parquet(out)
 
 
 # ---------------------------------------------------------------------------
 # ST-01
 # ---------------------------------------------------------------------------
-def episodic_memory_stream(results_stream: DataFrame, scenarios: DataFrame) -> DataFrame:
+def episodic_memory_stream(results_stream: DataFrame, scenarios: DataFrame, folder: str | None = None) -> DataFrame:
     """Per micro-batch (system, pattern) increments; returns the state view."""
     joined = L.join_results_scenarios(results_stream, scenarios)
     events = L.effectiveness_events(joined)
@@ -77,7 +76,7 @@ def episodic_memory_stream(results_stream: DataFrame, scenarios: DataFrame) -> D
             _write_increment(out)(inc, batch_id)
         return sink
 
-    out = _run(events, "episodic_memory", factory)
+    out = _run(events, "episodic_memory", factory, folder=folder)
     spark = results_stream.sparkSession
     inc = _read(spark, out, "system_hash string, pattern string, system_type string, times_used long, "
                             "failures long, first_seq long, batch_id long")
@@ -89,33 +88,33 @@ def episodic_memory_stream(results_stream: DataFrame, scenarios: DataFrame) -> D
 # ---------------------------------------------------------------------------
 # ST-02
 # ---------------------------------------------------------------------------
-def regression_library_stream(results_stream: DataFrame, scenarios: DataFrame) -> DataFrame:
+_LIBRARY = ("system_hash string, input string, expected_behavior string, difficulty string, "
+            "tags array<string>, system_type string, seq long, batch_id long")
+
+
+def regression_library_stream(results_stream: DataFrame, scenarios: DataFrame, folder: str | None = None) -> DataFrame:
     joined = L.join_results_scenarios(results_stream, scenarios)
     spark = results_stream.sparkSession
 
     def factory(out):
         def sink(batch, batch_id):
-            try:
-                lib = spark.read.parquet(out).where(F.col("batch_id") < batch_id)
-            except Exception:  # noqa: BLE001 - empty library
-                lib = None
+            lib = _read(spark, out, _LIBRARY).where(F.col("batch_id") < batch_id)
             new = L.regression_candidates(batch, library=lib)
             _write_increment(out)(new, batch_id)
         return sink
 
-    out = _run(joined, "regression_library", factory)
-    return _read(spark, out, "system_hash string, input string, expected_behavior string, difficulty string, "
-                             "tags array<string>, system_type string, seq long, batch_id long")
+    out = _run(joined, "regression_library", factory, folder=folder)
+    return _read(spark, out, _LIBRARY)
 
 
 # ---------------------------------------------------------------------------
 # ST-03
 # ---------------------------------------------------------------------------
-def live_run_counters_stream(results_stream: DataFrame) -> DataFrame:
+def live_run_counters_stream(results_stream: DataFrame, folder: str | None = None) -> DataFrame:
     agg = results_stream.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("passed")).alias("passed_count"),
         F.count_if(~F.col("passed") & F.col("failure_type").isNotNull()).alias("typed_failures"))
-    out = _run(agg, "live_run_counters", _write_increment, output_mode="update")
+    out = _run(agg, "live_run_counters", _write_increment, output_mode="update", folder=folder)
     inc = _read(results_stream.sparkSession, out,
                 "run_id string, total long, passed_count long, typed_failures long, batch_id long")
     return inc.groupBy("run_id").agg(F.max_by(F.struct("total", "passed_count", "typed_failures"),
@@ -146,10 +145,10 @@ def _persona_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
                         "failures": [fails], "status": [status]})
 
 
-def persona_status_stream(uses_stream: DataFrame) -> DataFrame:
+def persona_status_stream(uses_stream: DataFrame, folder: str | None = None) -> DataFrame:
     st = uses_stream.groupBy("persona", "system_type").applyInPandasWithState(
         _persona_step, _PERSONA_OUT, _PERSONA_STATE, "update", GroupStateTimeout.NoTimeout)
-    out = _run(st, "persona_status", _write_increment, output_mode="update")
+    out = _run(st, "persona_status", _write_increment, output_mode="update", folder=folder)
     inc = _read(uses_stream.sparkSession, out, _PERSONA_OUT + ", batch_id long")
     return inc.groupBy("persona", "system_type").agg(
         F.max_by(F.struct("times_used", "failures", "status"), "batch_id").alias("s")).select(
@@ -159,11 +158,12 @@ def persona_status_stream(uses_stream: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # ST-05
 # ---------------------------------------------------------------------------
-def panel_close_stream(verdicts_stream: DataFrame, window: str = "1 day") -> DataFrame:
+def panel_close_stream(verdicts_stream: DataFrame, window: str = "1 day",
+                       folder: str | None = None) -> DataFrame:
     v = (verdicts_stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
          .withWatermark("created_at", WATERMARK)
          .withColumn("w", F.window("created_at", window)))
     panel = J.panel_verdict(v, keys=("scenario_id", "w"))
     panel = panel.select(F.col("w.start").alias("window_start"), *[c for c in panel.columns if c != "w"])
-    out = _run(panel, "panel_close", _write_increment, output_mode="append")
-    return _read(verdicts_stream.sparkSession, out, "scenario_id long")
+    out = _run(panel, "panel_close", _write_increment, output_mode="append", folder=folder)
+    return _read(verdicts_stream.sparkSession, out, panel.schema.add("batch_id", "long"))

@@ -36,8 +36,18 @@ class StreamTables:
         return stream_table(self.spark, self.sf_dir, name)
 
 
-def stream_workdir(spark: SparkSession, job: str) -> str:
-    """A fresh folder for a job's checkpoint and output, inside the shared
-    checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, in whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def stream_workdir(spark: SparkSession, job: str, folder: str | None = None) -> str:
+    """The folder of a job's checkpoint and output.  A caller that names
+    ``folder`` gets the same one at each launch, so a stopped job goes on where it
+    was; without a name each launch is a job of its own, inside the shared folder
+    that the cluster names in ``spark.checkpoint.dir``."""
+    if folder:
+        return f"{folder.rstrip('/')}/{job}"
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/streams/{job}-{uuid.uuid4().hex[:12]}"

@@ -4,6 +4,7 @@ invariance to block size (partitioning of the work)."""
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from botqa.operators import cluster as C
 
@@ -75,3 +76,26 @@ def test_small_runs_are_not_clustered(spark):
     df = spark.createDataFrame(rows, "run_id string, result_id long, embedding array<double>")
     out = C.density_clusters(df).collect()
     assert all(r.cluster is None for r in out) and len(out) == 4
+
+
+def test_labels_do_not_depend_on_the_block_size(spark):
+    """Many ties and exact copies; more points than one tile of a block pair holds."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 3, (150, 64)).astype(float) / 7
+    vectors = np.concatenate([base, base, base[:60] + 1e-7, rng.integers(0, 2, (340, 64)) / 3.0])
+    points = spark.createDataFrame([("r", int(i), [float(x) for x in v]) for i, v in enumerate(vectors)],
+                                   "run_id string, result_id long, embedding array<double>")
+    labels = {}
+    for size in (64, 400, 1024):
+        rows = C.density_clusters(points, block_size=size).collect()
+        labels[size] = sorted((r.result_id, r.cluster) for r in rows)
+    assert labels[64] == labels[400] == labels[1024]
+    a, b = vectors[:100], vectors[50:700]
+    assert (C._dist(a, b) == C._dist(b, a).T).all()
+
+
+def test_an_incomplete_forest_is_an_error(spark):
+    points = spark.createDataFrame([("r", i, [float(i * i)]) for i in range(40)], "run string, pid long, vec array<double>")
+    core = points.select("run", "pid", F.lit(0.0).alias("core"))
+    with pytest.raises(RuntimeError, match="not complete"):
+        C.mst(points, core, max_rounds=1)

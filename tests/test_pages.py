@@ -17,7 +17,10 @@ def test_fallbacks():
     assert extract_page("<body><div id='content'>A</div><p>B</p></body>")[0] == "A"
     assert extract_page("<body><div class='main-content'>M</div></body>")[0] == "M"
     assert extract_page("<body><p>only body</p></body>")[0] == "only body"
-    assert extract_page("<p>no body tag</p>")[0] is None
+    assert extract_page("<p>no body tag</p>")[0] == "no body tag"
+    assert extract_page("<html><head><title>T</title></head><p>a</p><p>b</p></html>") == ("a\nb", "T")
+    assert extract_page("<title>T</title>plain <b>text</b>") == ("plain\ntext", "T")
+    assert extract_page("")[0] is None and extract_page(" \n")[0] is None
     assert extract_page("<body><main><p>x</p><p>&amp;&lt;</p></main></body>")[0] == "x\n&<"
 
 

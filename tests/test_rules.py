@@ -306,3 +306,12 @@ def test_mix_ratio_override(spark):
     assert tuple(mix) == (10, 60, 30)
     default = df.select(PL.scenario_mix(F.col("total"), F.col("m"), F.lit("SMART_MIX")).alias("mix")).first().mix
     assert tuple(default) == (50, 30, 20)
+
+
+def test_reply_keys_are_read_at_the_top_level(spark):
+    from botqa.functions.replies import json_str
+    rows = [('{"meta": {"input": 5}, "input": "hello"}', "hello"), ('{"meta": {"input": "deep"}, "input": 5}', None),
+            ('{"input": "a", "input": "b"}', "b"), ('{"other": "\\"input\\": 1", "input": "x"}', "x"), ('{"input": null}', None),
+            ('{"input": {"a": 1}}', None), ("[1]", None), ("no json", None), (None, None)]
+    got = spark.createDataFrame([(a,) for a, _ in rows], "j string").select("j", json_str("j", "input").alias("v")).collect()
+    assert [(r.j, r.v) for r in got] == rows

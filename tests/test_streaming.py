@@ -68,3 +68,39 @@ def test_live_counters_accumulate_across_batches(spark):
     got = {r.run_id: (r.total, r.passed_count, r.typed_failures)
            for r in SJ.live_run_counters_stream(stream).collect()}
     assert got == {"r1": (3, 1, 1), "r2": (2, 1, 1)}
+
+
+def _results(spark, src, i, rows):
+    spark.createDataFrame(rows, "result_id long, scenario_id long, run_id string, passed boolean, failure_type string, created_at timestamp") \
+        .coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
+    _touch(os.path.join(src, f"b{i}"), 1_000_000_000 + 100 * i)
+
+
+def _stream(spark, src):
+    schema = spark.read.parquet(os.path.join(src, "b0")).schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(src).withColumn("seq", F.col("result_id")))
+
+
+def test_stopped_jobs_go_on_where_they_were(spark, tmp_path):
+    """A job launched again on its folder equals one run over all batches, and an
+    input that the library already has is not added again."""
+    day = dt.datetime(2024, 1, 1)
+    scenarios = spark.createDataFrame([(i, "c", "RAG", f"in {i % 2}", f"out {i}", "EASY", "h") for i in range(6)],
+                                      "scenario_id long, company string, system_type string, input string, expected_behavior string, "
+                                      "difficulty string, system_hash string").withColumn("tags", F.array(F.lit("t")))
+    batches = [[(0, 0, "r", False, "HALLUCINATION", day), (1, 1, "r", True, None, day)],
+               [(2, 2, "r", False, "INCOMPLETE", day), (3, 3, "q", False, "WRONG_ANSWER", day)],
+               [(4, 4, "r", False, "INCOMPLETE", day), (5, 5, "r", False, "INCOMPLETE", day)]]
+    src, folder = str(tmp_path / "src"), str(tmp_path / "job")
+    os.makedirs(src)
+    for i, rows in enumerate(batches):
+        _results(spark, src, i, rows)
+        library = SJ.regression_library_stream(_stream(spark, src), scenarios, folder=folder)
+        counters = SJ.live_run_counters_stream(_stream(spark, src), folder=folder)
+    one_library = SJ.regression_library_stream(_stream(spark, src), scenarios).drop("batch_id")
+    one = SJ.live_run_counters_stream(_stream(spark, src))
+    assert sorted(map(str, counters.collect())) == sorted(map(str, one.collect()))
+    assert sorted(map(str, library.drop("batch_id").collect())) == sorted(map(str, one_library.collect()))
+    assert sorted((r.input, r.seq) for r in library.collect()) == [("in 0", 0), ("in 1", 3)]
+    assert len({r.batch_id for r in library.collect()}) == 2

@@ -37,8 +37,8 @@ from .common import mix64, prefix_hash, span_hash, staged, text_blocks, words
 SAMPLE_ROWS = 20_000
 #: Most features kept in the lexicon (the highest scores).
 LEXICON_ROWS = 200_000
-#: Pseudo-counts of the corpus distribution, width of the confidence interval, cost of a token.
-PRIOR, WIDTH, DRIFT = 100_000.0, 1.5, 0.1
+#: Pseudo-counts of the corpus distribution as a share of all counts, width of the confidence interval, cost of a token.
+PRIOR, WIDTH, DRIFT = 0.1, 1.0, 0.1
 MAX_EXPECTED = 1.0
 PREFIXES = (4, 5, 6)
 
@@ -253,10 +253,10 @@ class ToxicityModel:
             self.curve = (30.0, 0.0) if n1 else self.curve
             return
         # first choice on the sample's own prior; then the prior from all documents
-        both = F.col("toxic") + F.col("other")
-        prior = F.lit(PRIOR) * both / F.lit(all1 + all0)
+        strength = PRIOR * (all1 + all0)
+        prior = F.lit(strength) * (F.col("toxic") + F.col("other")) / F.lit(all1 + all0)
         a, b = F.col("toxic") + prior, F.col("other") + prior
-        bound = (F.log(a / (F.lit(all1 + PRIOR) - a)) - F.log(b / (F.lit(all0 + PRIOR) - b)) - WIDTH * F.sqrt(1 / a + 1 / b))
+        bound = (F.log(a / (F.lit(all1 + strength) - a)) - F.log(b / (F.lit(all0 + strength) - b)) - WIDTH * F.sqrt(1 / a + 1 / b))
         first = (counts.where(bound > DRIFT).orderBy(bound.desc(), "feature").limit(LEXICON_ROWS).toPandas())
         if not len(first):
             self.curve = (float(np.log(n1 / n0)), 0.0)
@@ -266,11 +266,11 @@ class ToxicityModel:
         seen = dict(map(tuple, seen))
         total = float(seen.pop(0))
         n = np.array([seen.get(int(f), 0) for f in first.feature], float)
-        prior = np.maximum(PRIOR * n / total, 1e-9)
+        prior = np.maximum(strength * n / total, 1e-9)
         toxic, other = first.toxic.to_numpy(float), first.other.to_numpy(float)
-        score = log_odds(toxic, other, prior, all1, all0, PRIOR, WIDTH)
+        score = log_odds(toxic, other, prior, all1, all0, strength, WIDTH)
         keep = score > DRIFT
-        chance = ((other + prior) / (all0 + PRIOR))[keep]
+        chance = ((other + prior) / (all0 + strength))[keep]
         self.lexicon = Lexicon(first.feature.to_numpy(np.int64).view(np.uint64)[keep], score[keep])
         self.decay = _decay(score[keep], chance, DRIFT) if keep.any() else 1.0
         found = self._scan(texts).select("toxic", "evidence").toPandas()  # a row per sampled text

@@ -191,6 +191,6 @@ def a16_persona_hints(t):
 
 @register("A17_conversation_insights")
 def a17_insights(t):
-    """A-17 one insight row per company (arrays and maps; checked by unit tests)."""
+    """A-17 one insight row per company (arrays and maps)."""
     return I.insights(FX.conv(t), taxonomy=PP.TEST_TOPICS, markers=PP.TEST_INFORMAL_MARKERS,
                       tones=PP.TEST_TONES)

@@ -3,7 +3,8 @@ where the semantics fit in SQL, an equivalent DuckDB statement used as an
 independent oracle.
 
 The oracle statements re-derive the entity tables from the raw input tables
-with the SQL of FIXTURES.md (``FIXTURE_SQL``), so the two sides share no code.
+with the SQL of FIXTURES.md (``FIXTURE_SQL``).  Both sides share fixed values,
+prompt templates and the rounding formula.
 """
 
 from __future__ import annotations

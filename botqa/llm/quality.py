@@ -140,18 +140,17 @@ class Resampler:
         sample = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "quality-sample")
         rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")  # at most sample_rows rows
         counted = (rows.select("text", "good").mapInArrow(_counter("text", "good", bits), "bucket long, raw long, good long")
-                   .groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect())  # a row per bucket
+                   .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow())  # a row per bucket
         raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-        for b, r, g in counted:
-            raw[b], target[b] = r, g
+        raw[counted["bucket"]], target[counted["bucket"]] = counted["raw"], counted["good"]
         p_raw = (raw + 0.01) / (raw + 0.01).sum()
         self.ratio = np.log((target + PRIOR * p_raw) / (target.sum() + PRIOR)) - np.log(p_raw)
         noisy = rows.select("doc_id", "good", "text", self._noise().alias("noise"))
         scored = noisy.mapInArrow(_scorer("text", "ratio", self.ratio, bits),
                                   T.StructType([*noisy.schema.fields, T.StructField("ratio", T.DoubleType())]))
         self.scores = staged(scored.select("doc_id", "good", "ratio", self._key("ratio", "noise").alias("key")), "quality-scores")
-        labelled = self.scores.where("good is not null").groupBy("doc_id").agg(F.min("ratio"), F.first("good")).collect()
-        self.cut = best_cut(np.array([x[1] for x in labelled]), np.array([x[2] for x in labelled], bool)) if labelled else None
+        labelled = self.scores.where("good is not null").groupBy("doc_id").agg(F.min("ratio").alias("ratio"), F.first("good").alias("good")).toArrow()
+        self.cut = best_cut(labelled["ratio"].to_numpy(), labelled["good"].to_numpy().astype(bool)) if len(labelled) else None
         n, above = self.scores.agg(F.count("*"), F.count_if(F.col("ratio") >= F.lit(self.cut))).first()
         self.k = int(share * n) if share is not None else above if self.cut is not None else n
         self.least = kth_largest(self.scores, "key", self.k) if 0 < self.k < n else None

@@ -41,7 +41,8 @@ def fix_plan(patterns: DataFrame, system_type_col: str = "system_type") -> DataF
 def apply_fix_replies(plan: DataFrame, replies: DataFrame | None = None,
                       keys: tuple[str, ...] = ("run_id", "pattern_rank", "fix_type")) -> DataFrame:
     """S-12: merge the model's reply (JSON, possibly fenced) into each planned
-    fix with per-type defaults; a malformed reply drops the fix.  Without
+    fix with per-type defaults (empty lists of implementation steps and
+    verification scenarios); a malformed reply drops the fix.  Without
     replies every fix keeps its defaults."""
     titles = F.create_map(*[F.lit(x) for kv in S.FIX_DEFAULT_TITLE.items() for x in kv])
     discl = F.create_map(*[F.lit(x) for kv in S.FIX_DISCLAIMER.items() for x in kv])
@@ -57,19 +58,27 @@ def apply_fix_replies(plan: DataFrame, replies: DataFrame | None = None,
     def field(name, default):
         return F.coalesce(F.get_json_object("_js", f"$.{name}"), default)
 
+    def texts(name):
+        return F.coalesce(F.from_json(F.get_json_object("_js", f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+
     root = F.col("root_cause") if "root_cause" in plan.columns else F.lit("")
     return p.select(
         *[c for c in plan.columns],
         field("title", F.try_element_at(titles, F.col("fix_type"))).alias("title"),
         field("problem", root).alias("problem"),
         field("suggested_fix", F.lit("")).alias("suggested_fix"),
+        texts("implementation_steps").alias("implementation_steps"),
+        texts("verification_scenarios").alias("verification_scenarios"),
         field("estimated_impact", F.lit("")).alias("estimated_impact"),
         F.try_element_at(discl, F.col("fix_type")).alias("disclaimer"),
     )
 
 
-def fine_tuning_fix(pair_counts: DataFrame, stats: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """L-04: a MEDIUM fine-tuning fix per run with at least one training pair."""
+def fine_tuning_fix(pair_counts: DataFrame, stats: DataFrame, run_col: str = "run_id", product: str = S.PRODUCT) -> DataFrame:
+    """L-04: a MEDIUM fine-tuning fix per run with at least one training pair,
+    with its steps and checks (under the name ``product``)."""
+    def texts(lines):
+        return F.array(*[F.lit(x.format(product=product)) for x in lines])
     j = pair_counts.where(F.col("pairs") > 0).join(stats.select(run_col, "failed_count"), run_col)
     n = F.col("pairs").cast("string")
     return j.select(
@@ -80,6 +89,7 @@ def fine_tuning_fix(pair_counts: DataFrame, stats: DataFrame, run_col: str = "ru
         F.concat(F.lit("Download "), n, F.lit(" training pairs generated from your actual failures. Each pair "
                  "contains the problematic input and the correct expected output. Fine-tune your open-source "
                  "model on these pairs to correct the specific failure patterns found.")).alias("suggested_fix"),
+        texts(S.FINE_TUNING_STEPS).alias("implementation_steps"), texts(S.FINE_TUNING_CHECKS).alias("verification_scenarios"),
         F.concat(F.lit("On-policy learning from "), n, F.lit(" real failure cases may significantly improve "
                  "pass rate for open-source models")).alias("estimated_impact"),
         F.lit(S.FIX_DISCLAIMER["FINE_TUNING_DATA"]).alias("disclaimer"))

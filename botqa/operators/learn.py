@@ -21,6 +21,7 @@ RETIRE_MIN_USES = 5
 HIGH_VALUE_PATTERN_RATE = 0.3   # scenario pattern worth re-using
 WEIGHT_STEP = 0.5
 WEIGHT_CAP = 3.0
+FOUND_PATTERNS = 10             # patterns of the latest run that a strategy remembers
 
 
 def system_hash(system_type, company_name, industry=None, max_refund=None,
@@ -146,6 +147,55 @@ def strategy_weights(patterns: DataFrame, runs: DataFrame, state: DataFrame | No
     return weights.join(meta, "system_hash", "left")
 
 
+def strategy_state(patterns: DataFrame, runs: DataFrame, state: DataFrame | None = None,
+                   top: int = FOUND_PATTERNS) -> DataFrame:
+    """A-23: the strategy of each system, one row: failure_weights (map),
+    last_pass_rate, found_patterns (the ``top`` first of the latest run),
+    run_count.  ``state`` is an earlier result of this function; folding runs in
+    two steps equals one step over all, as the cap on weights is monotone.
+
+    patterns: (system_hash, run_id, pattern_rank, cluster_label, root_cause,
+    failure_type, scenario_count); runs: (system_hash, run_id, created_at, pass_rate).
+    Maps are keyed by the closed list of failure types, so they stay small."""
+    n = (patterns.groupBy("system_hash", "failure_type").agg(F.count(F.lit(1)).alias("n"))
+         .groupBy("system_hash").agg(F.map_from_entries(F.collect_list(F.struct("failure_type", "n"))).alias("n")))
+    latest = runs.groupBy("system_hash").agg(
+        F.count(F.lit(1)).alias("new_runs"),
+        F.max_by(F.struct("run_id", "pass_rate"), F.struct("created_at", "run_id")).alias("r")).select("system_hash", "new_runs", "r.*")
+    found = (patterns.where(F.col("pattern_rank") <= top).join(latest.select("system_hash", "run_id"), ["system_hash", "run_id"])
+             .groupBy("system_hash").agg(F.transform(
+                 F.array_sort(F.collect_list(F.struct("pattern_rank", "cluster_label", "root_cause", "failure_type",
+                                                      F.col("scenario_count").cast("long").alias("count")))),
+                 lambda p: F.struct(p["cluster_label"].alias("cluster_label"), p["root_cause"].alias("root_cause"),
+                                    p["failure_type"].alias("failure_type"), p["count"].alias("count"))).alias("found")))
+    new = latest.join(n, "system_hash", "left").join(found, "system_hash", "left")
+    none = F.create_map().cast("map<string,double>")
+    if state is None:
+        old_weights, old_runs = none, F.lit(0)
+        new = new.withColumns({"failure_weights": none, "last_pass_rate": F.lit(None).cast("double"),
+                               "found_patterns": F.lit(None).cast(found.schema["found"].dataType)})
+    else:
+        new = new.join(state, "system_hash", "full")
+        old_weights, old_runs = F.coalesce("failure_weights", none), F.coalesce("run_count", F.lit(0))
+    weights = F.map_zip_with(old_weights, F.coalesce("n", F.create_map().cast("map<string,bigint>")), lambda k, w, c: F.least(
+        F.lit(WEIGHT_CAP), F.coalesce(w, F.lit(1.0)) + WEIGHT_STEP * F.coalesce(c, F.lit(0))))
+    ran = F.col("new_runs").isNotNull()
+    return new.select(
+        "system_hash", weights.alias("failure_weights"),
+        F.when(ran, F.col("pass_rate")).otherwise(F.col("last_pass_rate")).alias("last_pass_rate"),
+        F.when(ran, F.coalesce("found", F.array().cast(found.schema["found"].dataType))).otherwise(F.col("found_patterns")).alias("found_patterns"),
+        (old_runs + F.coalesce("new_runs", F.lit(0))).cast("long").alias("run_count"))
+
+
+def generation_strategy(state: DataFrame, systems: DataFrame) -> DataFrame:
+    """L-05: the stored strategy of the given systems; a system without one gets
+    an empty strategy (no weights, no patterns, no runs)."""
+    wanted = systems.select("system_hash").distinct()
+    j = wanted.join(state, "system_hash", "left")
+    return j.select("system_hash", F.coalesce("failure_weights", F.create_map().cast("map<string,double>")).alias("failure_weights"),
+                    "last_pass_rate", "found_patterns", F.coalesce("run_count", F.lit(0)).alias("run_count"))
+
+
 def persona_effectiveness(uses: DataFrame, bucket_width: int = 1 << 20) -> DataFrame:
     """A-22 with W-07: sticky persona status per (persona, system_type).
 

@@ -139,13 +139,13 @@ def weighted_persona_slots(personas: DataFrame, slots: DataFrame, key: str = "sy
     return with_w.unionByName(fallback)
 
 
-def cut_to_count(scenarios: DataFrame, counts: DataFrame, key: str = "run_id", order_col: str = "seq",
+def cut_to_count(scenarios: DataFrame, count: Column, key: str = "run_id", order_col: str = "seq",
                  bucket_width: int = 1 << 20) -> DataFrame:
-    """K-03: keep the first ``effective_count`` scenarios of each run
-    (distributed ranking, so no run is numbered in a single task)."""
+    """K-03: keep the first ``count`` scenarios of each run (P-16's effective
+    count, an expression on the row: no join on a hot run).  The ranking is
+    distributed, so no run is numbered in a single task."""
     from .ranking import ranked
-    j = scenarios.join(counts.select(key, "effective_count"), key)
-    return ranked(j, [key], order_col, bucket_width).where(F.col("rank") <= F.col("effective_count")).drop("rank")
+    return ranked(scenarios, [key], order_col, bucket_width).where(F.col("rank") <= count).drop("rank")
 
 
 def critic_gate(candidates: DataFrame, scores: DataFrame, key: str = "batch_id") -> DataFrame:
@@ -155,23 +155,37 @@ def critic_gate(candidates: DataFrame, scores: DataFrame, key: str = "batch_id")
     batch's attempt differs from the number of pending slots, the whole
     attempt is approved (the reply did not line up).  A slot is approved at
     its first attempt with average >= 3.5; after the last attempt the rest is
-    accepted as ``below_threshold``.  Three attempts, unrolled as joins."""
-    pending = candidates.select(key, "slot")
-    decided = None
-    for a in range(1, CRITIC_ATTEMPTS + 1):
-        sc = scores.where(F.col("attempt") == a).select(key, "slot", "average")
-        cnt_p = pending.groupBy(key).agg(F.count(F.lit(1)).alias("_p"))
-        cnt_s = sc.groupBy(key).agg(F.count(F.lit(1)).alias("_s"))
-        j = (pending.join(sc, [key, "slot"], "left").join(cnt_p, key, "left").join(cnt_s, key, "left"))
-        mismatch = F.coalesce(F.col("_s"), F.lit(0)) != F.col("_p")
-        ok = mismatch | (F.coalesce(F.col("average"), F.lit(0.0)) >= CRITIC_THRESHOLD)
-        last = a == CRITIC_ATTEMPTS
-        outcome = F.when(ok, F.lit("approved")).otherwise(F.lit("below_threshold") if last else F.lit(None))
-        step = j.select(key, "slot", F.lit(a).alias("attempt"), outcome.alias("outcome"))
-        done = step.where(F.col("outcome").isNotNull())
-        decided = done if decided is None else decided.unionByName(done)
-        pending = step.where(F.col("outcome").isNull()).select(key, "slot")
-    return decided
+    accepted as ``below_threshold``.
+
+    One shuffle: a batch (at most 20 slots) is gathered with its scores into
+    arrays, and the attempts are unrolled as array expressions on that row."""
+    attempts = range(1, CRITIC_ATTEMPTS + 1)
+    rows = candidates.select(key, F.lit(0).alias("attempt"), "slot", F.lit(None).cast("double").alias("average")).unionByName(
+        scores.select(key, F.col("attempt").cast("int").alias("attempt"), "slot", F.col("average").cast("double").alias("average")))
+    batch = rows.groupBy(key).agg(
+        F.collect_list(F.when(F.col("attempt") == 0, F.col("slot"))).alias("_pending"),
+        *[F.collect_list(F.when(F.col("attempt") == a, F.struct("slot", "average"))).alias(f"_s{a}") for a in attempts])
+
+    def attempt(batch: DataFrame, a: int) -> DataFrame:
+        last = F.lit(a == CRITIC_ATTEMPTS)
+        missing = F.array(F.struct(F.lit(None).alias("slot"), F.lit(None).cast("double").alias("average")))
+        unaligned = F.size(f"_s{a}") != F.size("_pending")
+
+        def scored(slot: Column) -> Column:
+            found = F.filter(f"_s{a}", lambda s: s["slot"] == slot)
+            return F.transform(F.when(F.size(found) > 0, found).otherwise(missing), lambda s: F.struct(
+                slot.alias("slot"), (unaligned | (F.coalesce(s["average"], F.lit(0.0)) >= CRITIC_THRESHOLD)).alias("ok")))
+
+        batch = batch.withColumn("_step", F.flatten(F.transform("_pending", scored)))
+        decided = F.transform(F.filter("_step", lambda s: s["ok"] | last), lambda s: F.struct(
+            s["slot"].alias("slot"), F.lit(a).alias("attempt"),
+            F.when(s["ok"], F.lit("approved")).otherwise(F.lit("below_threshold")).alias("outcome")))
+        return batch.withColumn(f"_d{a}", decided).withColumn(
+            "_pending", F.transform(F.filter("_step", lambda s: ~s["ok"]), lambda s: s["slot"]))
+
+    for a in attempts:
+        batch = attempt(batch, a)
+    return batch.select(key, F.inline(F.concat(*[F.col(f"_d{a}") for a in attempts])))
 
 
 def persona_pools(personas: DataFrame, key: str = "system") -> DataFrame:

@@ -103,9 +103,12 @@ def ui_cost_split(df: DataFrame, n_col: str = "total_scenarios") -> DataFrame:
     return df.select("*", *parts, total.alias("ui_total_cost"))
 
 
-def run_trend_summary(runs: DataFrame, key: str = "company") -> DataFrame:
+def run_trend_summary(runs: DataFrame, results: DataFrame | None = None, key: str = "company",
+                      tag: str = "regression") -> DataFrame:
     """A-37 (schema-only in the source): first->latest improvement in points,
-    best, worst and number of completed runs per company."""
+    best, worst and number of completed runs per company; with ``results``
+    (key, tags, passed) also the number and pass rate of the results whose
+    scenario carries ``tag`` (rate null without any)."""
     done = runs.where(F.col("status") == "completed")
     order = F.struct("created_at", "run_id")
     g = done.groupBy(key).agg(F.min_by("pass_rate", order).alias("first_rate"),
@@ -113,7 +116,13 @@ def run_trend_summary(runs: DataFrame, key: str = "company") -> DataFrame:
                               F.max("pass_rate").alias("best_pass_rate"),
                               F.min("pass_rate").alias("worst_pass_rate"),
                               F.count(F.lit(1)).alias("total_runs"))
-    return g.withColumn("improvement_pts", (F.col("latest_rate") - F.col("first_rate")) * 100)
+    g = g.withColumn("improvement_pts", (F.col("latest_rate") - F.col("first_rate")) * 100)
+    if results is None:
+        return g
+    tagged = results.where(F.array_contains("tags", tag)).groupBy(key).agg(
+        F.count(F.lit(1)).alias("regression_scenarios"),
+        (F.count_if("passed") / F.count(F.lit(1))).alias("regression_pass_rate"))
+    return g.join(tagged, key, "left").withColumn("regression_scenarios", F.coalesce("regression_scenarios", F.lit(0)))
 
 
 def judge_calibration(labels: DataFrame, key: str | None = "domain") -> DataFrame:
@@ -228,10 +237,10 @@ def executive_summary(runs: DataFrame, high_fixes: DataFrame, now: Column, repor
     return j.select("run_id", F.concat_ws("\n", *lines).alias("value"))
 
 
-def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame, generated_at: str,
+def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame, summaries: DataFrame, generated_at: str,
                         product: str = S.PRODUCT) -> DataFrame:
-    """SRC-14: one JSON quality report per run (grade, percent, verdict,
-    patterns, remediation actions).  Patterns are bounded per run (one per
+    """SRC-14: one JSON quality report per run (grade, percent, verdict, issue
+    summary from ``summaries`` (run_id, summary), patterns, remediation actions).  Patterns are bounded per run (one per
     cluster/type); actions are the run's fixes."""
     pats = patterns.groupBy("run_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pattern_rank", "failure_type", "scenario_count",
@@ -245,7 +254,7 @@ def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame,
         lambda f: F.struct(f["title"].alias("title"), f["priority"].alias("priority"),
                            f["fix_type"].alias("type"), f["problem"].alias("problem"),
                            f["suggested_fix"].alias("suggested_fix"))).alias("remediation_actions"))
-    j = runs.join(pats, "run_id", "left").join(acts, "run_id", "left")
+    j = runs.join(pats, "run_id", "left").join(acts, "run_id", "left").join(summaries, "run_id", "left")
     safe = G.deploy_safe("pass_rate", "total_failures")
     report = F.struct(
         F.concat(F.lit(f"{product} Quality Report — "), F.col("company")).alias("title"),
@@ -256,6 +265,7 @@ def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame,
         F.col("total_scenarios").alias("scenarios_monitored"),
         F.col("total_failures").alias("open_issues"),
         G.deploy_verdict_text(safe).alias("deployment_verdict"),
+        F.coalesce("summary", F.lit("")).alias("issue_summary"),
         F.coalesce("failure_patterns", F.array()).alias("failure_patterns"),
         F.coalesce("remediation_actions", F.array()).alias("remediation_actions"),
         F.lit(f"Generated by {product} continuous monitoring. Review all recommendations before implementing.")
@@ -263,6 +273,35 @@ def quality_report_json(runs: DataFrame, patterns: DataFrame, fixes: DataFrame,
     return j.select("run_id", F.to_json(report).alias("value"))
 
 
+def integration_summary(stats: DataFrame, breakdown: DataFrame, patterns: DataFrame, summaries: DataFrame, fixes: DataFrame,
+                        report: DataFrame, max_fixes: int | None = 10, run_col: str = "run_id") -> DataFrame:
+    """A-40: one row per run with the figures, the patterns and the first
+    ``max_fixes`` fixes (None: all) as JSON, the summary text and the estimate."""
+    pats = patterns.groupBy(run_col).agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(F.struct("pattern_rank", "cluster_label", "failure_type", "scenario_count", "root_cause",
+                                             "immediate_fix", "priority"))),
+        lambda p: F.struct(p["cluster_label"].alias("cluster_label"), p["failure_type"].alias("failure_type"),
+                           p["scenario_count"].alias("scenario_count"), p["root_cause"].alias("root_cause"),
+                           p["immediate_fix"].alias("immediate_fix"), p["priority"].alias("suggested_priority"))))
+        .alias("failure_patterns"))
+    first = fixes if max_fixes is None else fixes.where(F.col("fix_rank") <= max_fixes)
+    acts = first.groupBy(run_col).agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(F.struct("fix_rank", "title", "fix_type", "problem", "suggested_fix", "priority", "estimated_impact"))),
+        lambda f: F.struct(f["title"].alias("title"), f["fix_type"].alias("fix_type"), f["problem"].alias("problem"),
+                           f["suggested_fix"].alias("suggested_fix"), f["priority"].alias("priority"),
+                           f["estimated_impact"].alias("estimated_impact")))).alias("fixes"))
+    j = stats
+    for part in (breakdown, pats, summaries, acts, report):
+        j = j.join(part, run_col, "left")
+    return j.select(
+        run_col, "pass_rate", py_round(F.col("pass_rate") * 100, 1).alias("pass_rate_percent"),
+        F.col("total").alias("total_scenarios"), F.col("passed_count").alias("passed"), F.col("failed_count").alias("failed"),
+        F.coalesce("failure_breakdown", F.lit("")).alias("failure_breakdown"),
+        F.coalesce("failure_patterns", F.lit("[]")).alias("failure_patterns"), F.col("summary").alias("insight_summary"),
+        "total_fixes", F.col("high_priority_count").alias("high_priority_fixes"), F.coalesce("fixes", F.lit("[]")).alias("fixes"),
+        "estimated_improvement")
+
+
 def fix_finetune_lines(fixes: DataFrame, run_col: str = "run_id") -> DataFrame:
     """SRC-16: placeholder fine-tuning lines from a run's FINE_TUNING_DATA fixes."""
     ft = fixes.where(F.col("fix_type") == "FINE_TUNING_DATA")

@@ -32,7 +32,7 @@ def _fixes(t):
                 .groupBy("run_id").agg(F.count(F.lit(1)).alias("pairs")))
     ft = FXO.fine_tuning_fix(pairs, stats)
     cols = ["run_id", "failure_type", "affected_scenarios", "fix_type", "priority", "title", "problem",
-            "suggested_fix", "estimated_impact", "disclaimer"]
+            "suggested_fix", "implementation_steps", "verification_scenarios", "estimated_impact", "disclaimer"]
     fixes = plan.select(*cols, "pattern_rank").unionByName(
         ft.select(*cols, F.lit(None).cast("int").alias("pattern_rank")))
     return FXO.order_fixes(fixes), stats
@@ -92,17 +92,21 @@ def k02_fix_order(t):
 
 
 @register("L04_fine_tuning_fix", _PAT + """
-SELECT run_id, failed_count AS affected_scenarios, CAST(pairs AS VARCHAR) || ' Training Pairs Available' AS title
+SELECT run_id, failed_count AS affected_scenarios, CAST(pairs AS VARCHAR) || ' Training Pairs Available' AS title,
+       'Download the JSONL training data from Quality Monitor|Review pairs to confirm correct outputs are appropriate|Fine-tune your model using standard SFT training|Re-run Quality Monitor to verify improvement|Repeat until pass rate reaches target' AS implementation_steps,
+       'Run Quality Monitor again after fine-tuning|Check if previously failing scenarios now pass' AS verification_scenarios
 FROM st WHERE pairs > 0
 """)
 def l04_fine_tuning_fix(t):
     """L-04: fine-tuning fix per run with training pairs."""
     fixes, _ = _fixes(t)
     return fixes.where(F.col("fix_type") == "FINE_TUNING_DATA").select(
-        "run_id", F.col("affected_scenarios").cast("bigint").alias("affected_scenarios"), "title")
+        "run_id", F.col("affected_scenarios").cast("bigint").alias("affected_scenarios"), "title",
+        F.array_join("implementation_steps", "|").alias("implementation_steps"),
+        F.array_join("verification_scenarios", "|").alias("verification_scenarios"))
 
 
-@register("A27_fix_report", _PAT + f"""
+_REPORT = """
 , agg AS (SELECT run_id, COUNT(*) AS total_fixes,
                SUM(CASE WHEN priority = 'HIGH' THEN 1 ELSE 0 END) AS h,
                SUM(CASE WHEN priority = 'MEDIUM' THEN 1 ELSE 0 END) AS m,
@@ -111,18 +115,38 @@ def l04_fine_tuning_fix(t):
         FROM allfix GROUP BY run_id),
 x AS (SELECT st.*, COALESCE(total_fixes, 0) AS total_fixes, COALESCE(h, 0) AS h, COALESCE(m, 0) AS m,
              COALESCE(l, 0) AS l, COALESCE(hs, 0) AS hs FROM st LEFT JOIN agg USING (run_id)),
-y AS (SELECT *, GREATEST(0, failed_count - LEAST(hs, failed_count)) AS nf FROM x)
+y AS (SELECT *, GREATEST(0, failed_count - LEAST(hs, failed_count)) AS nf FROM x),
+told AS (
+  SELECT o.run_id, o.fix_rank, o.fix_type, o.priority,
+         CASE o.fix_type WHEN 'PROMPT_ADDITION' THEN 'Prompt improvement suggestion' WHEN 'GUARDRAIL_RULE' THEN 'Guardrail rule suggestion'
+              WHEN 'ARCHITECTURE_CHANGE' THEN 'Architecture improvement' WHEN 'POLICY_CLARIFICATION' THEN 'Policy clarification needed'
+              ELSE CAST(st.pairs AS VARCHAR) || ' Training Pairs Available' END AS title,
+         CASE WHEN o.fix_type = 'FINE_TUNING_DATA' THEN 'Your AI system made specific mistakes that can be corrected through targeted fine-tuning.' ELSE '' END AS problem,
+         CASE WHEN o.fix_type = 'FINE_TUNING_DATA' THEN 'Download ' || CAST(st.pairs AS VARCHAR) || ' training pairs generated from your actual failures. Each pair contains the problematic input and the correct expected output. Fine-tune your open-source model on these pairs to correct the specific failure patterns found.' ELSE '' END AS suggested_fix,
+         CASE WHEN o.fix_type = 'FINE_TUNING_DATA' THEN 'On-policy learning from ' || CAST(st.pairs AS VARCHAR) || ' real failure cases may significantly improve pass rate for open-source models' ELSE '' END AS impact
+  FROM ordered o JOIN st ON st.run_id = o.run_id)
+"""
+
+ESTIMATE_SQL = f"""CASE WHEN total_fixes = 0 THEN 'No failures detected — system performing well'
+            ELSE 'Implementing ' || CAST(h AS VARCHAR) || ' high priority fixes may improve pass rate from '
+                 || CAST({py_round_sql("pr * 100", 1)} AS VARCHAR) || '% to an estimated '
+                 || CAST({py_round_sql("(total - nf) / CAST(total AS DOUBLE) * 100", 1)} AS VARCHAR)
+                 || '%. Results depend on implementation quality.' END"""
+
+
+def report_sql(body: str) -> str:
+    """``body`` after the CTEs of a run's fixes: y (report numbers by run), told (fixes with their texts)."""
+    return _PAT + _REPORT + body
+
+
+@register("A27_fix_report", report_sql(f"""
 SELECT run_id, CAST(total_fixes AS BIGINT) AS total_fixes, CAST(h AS BIGINT) AS high_priority_count,
        CAST(m AS BIGINT) AS medium_priority_count, CAST(l AS BIGINT) AS low_priority_count,
        CAST(hs AS BIGINT) AS high_priority_scenarios,
        {py_round_sql("(total - nf) / CAST(total AS DOUBLE) * 100", 1)} AS estimated_new_pass_pct,
-       CASE WHEN total_fixes = 0 THEN 'No failures detected — system performing well'
-            ELSE 'Implementing ' || CAST(h AS VARCHAR) || ' high priority fixes may improve pass rate from '
-                 || CAST({py_round_sql("pr * 100", 1)} AS VARCHAR) || '% to an estimated '
-                 || CAST({py_round_sql("(total - nf) / CAST(total AS DOUBLE) * 100", 1)} AS VARCHAR)
-                 || '%. Results depend on implementation quality.' END AS estimated_improvement
+       {ESTIMATE_SQL} AS estimated_improvement
 FROM y
-""")
+"""))
 def a27_fix_report(t):
     """A-27/A-28: fix counts by priority and the improvement estimate per run."""
     fixes, stats = _fixes(t)

@@ -18,11 +18,16 @@ WITH sc AS (
   FROM scenarios),
 j AS (
   SELECT r.result_id, r.result_id AS seq, r.scenario_id, r.run_id, r.passed, r.failure_type, r.created_at,
+         'answer ' || CAST(r.result_id % 300 AS VARCHAR) AS actual_response,
          sc.system_hash, sc.system_type, sc.input, sc.expected_behavior, sc.difficulty, sc.tags, sc.company
   FROM results r JOIN sc ON sc.scenario_id = r.scenario_id)
 """
 
 
+#: Results before this id are the earlier fold of the queries that merge into a state.
+_HALF = 7_500
+
+
 def _scenarios(t):
     s = FX.scenarios(t)
     return s.select("*", L.system_hash("system_type", "company").alias("system_hash"),
@@ -31,7 +36,8 @@ def _scenarios(t):
 
 
 def _joined(t):
-    res = FX.results(t).withColumn("seq", F.col("result_id")).drop("company")
+    res = FX.results(t).withColumn("seq", F.col("result_id")).drop("company").withColumn(
+        "actual_response", F.concat(F.lit("answer "), (F.col("result_id") % 300).cast("string")))
     return L.join_results_scenarios(res, _scenarios(t))
 
 
@@ -72,6 +78,17 @@ def a20_episodic_memory(t):
     return L.episodic_memory(ev).drop("first_seq")
 
 
+@register("A20_memory_merge", _A20 + """
+SELECT system_hash, pattern, system_type, times_used, failures, failures / CAST(times_used AS DOUBLE) AS failure_rate FROM m
+""")
+def a20_memory_merge(t):
+    """A-20/A-21: two folds - the events of the later results merged into the memory of the earlier ones."""
+    ev = L.effectiveness_events(_joined(t))
+    cut = F.col("seq") < F.lit(_HALF)
+    state = L.episodic_memory(ev.where(cut)).drop("failure_rate")
+    return L.episodic_memory(ev.where(~cut), state=state).drop("first_seq")
+
+
 @register("A19_high_value_patterns", _A20 + """
 SELECT system_hash, pattern, failure_rate, CAST(rank AS INT) AS rank FROM (
   SELECT system_hash, pattern, failures / CAST(times_used AS DOUBLE) AS failure_rate,
@@ -104,23 +121,34 @@ def l01_regressions(t):
 
 
 @register("L02_load_regressions", _REG + """
-SELECT system_hash, COUNT(*) AS regressions FROM firsts
-WHERE system_hash IN (SELECT DISTINCT system_hash FROM sc WHERE system_type = 'RAG') GROUP BY system_hash
+SELECT system_hash, input, r.e AS expected_behavior, 'HARD' AS difficulty, r.st AS system_type, r.s AS seq FROM firsts
+WHERE system_hash IN (SELECT DISTINCT system_hash FROM sc WHERE system_type = 'RAG')
 """)
 def l02_load_regressions(t):
-    """L-02: regression scenarios of the RAG systems, counted per system."""
+    """L-02: regression scenarios of the RAG systems."""
     lib = L.regression_candidates(_joined(t))
     wanted = _scenarios(t).where(F.col("system_type") == "RAG").select("system_hash")
-    return L.load_regressions(lib, wanted).groupBy("system_hash").agg(F.count(F.lit(1)).alias("regressions"))
+    return L.load_regressions(lib, wanted).drop("tags")
+
+
+@register("L01_regression_merge", _REG + """
+SELECT system_hash, input, r.s AS seq FROM firsts
+""")
+def l01_regression_merge(t):
+    """J-04: two folds - the failures of the later results join a library that already holds the earlier ones."""
+    joined = _joined(t)
+    cut = F.col("seq") < F.lit(_HALF)
+    library = L.regression_candidates(joined.where(cut))
+    return library.unionByName(L.regression_candidates(joined.where(~cut), library=library)).select("system_hash", "input", "seq")
 
 
 @register("L03_finetuning_pairs", _JOINED + """
-SELECT system_hash, scenario_id, input, expected_behavior AS correct_output, failure_type, difficulty
+SELECT system_hash, scenario_id, input, actual_response AS wrong_output, expected_behavior AS correct_output, failure_type, difficulty
 FROM j WHERE NOT passed AND failure_type IS NOT NULL
 """)
 def l03_finetuning_pairs(t):
-    """L-03: one (input, correct output) pair per failed typed result, no dedupe."""
-    return L.finetuning_pairs(_joined(t)).select("system_hash", "scenario_id", "input", "correct_output",
+    """L-03: one (input, wrong output, correct output) row per failed typed result, no dedupe."""
+    return L.finetuning_pairs(_joined(t)).select("system_hash", "scenario_id", "input", "wrong_output", "correct_output",
                                                  "failure_type", "difficulty")
 
 
@@ -181,15 +209,57 @@ def a23_strategy_weights(t):
     return L.strategy_weights(pats, runs)
 
 
-@register("L05_generation_strategy", """
-WITH f AS (SELECT * FROM results WHERE NOT passed)
-SELECT company AS system_hash, COUNT(DISTINCT COALESCE(failure_type, 'UNKNOWN') || '/' || run_id) AS patterns_seen
-FROM f GROUP BY company
+_STATE = """
+WITH f AS (SELECT * FROM results WHERE NOT passed),
+g AS (SELECT company, run_id, COALESCE(failure_type, 'UNKNOWN') AS type_key, COUNT(*) AS n, MIN(result_id) AS first FROM f GROUP BY ALL),
+p AS (SELECT *, CASE WHEN type_key IN ('HALLUCINATION','POLICY_VIOLATION','INCOMPLETE','WRONG_ANSWER','CONTEXT_LOSS','ESCALATION_FAILURE')
+                     THEN type_key ELSE 'WRONG_ANSWER' END AS failure_type,
+             ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY n DESC, first) AS rk FROM g),
+w AS (SELECT company, failure_type, LEAST(CAST(3.0 AS DOUBLE), CAST(1.0 AS DOUBLE) + 0.5 * COUNT(*)) AS weight FROM p GROUP BY ALL),
+ws AS (SELECT company, string_agg(failure_type || '=' || CAST(CAST(weight AS DOUBLE) AS VARCHAR), ',' ORDER BY failure_type) AS weights FROM w GROUP BY company),
+lr AS (SELECT company, COUNT(*) AS run_count, arg_max(pass_rate, {'c': created_at, 'r': run_id}) AS last_pass_rate,
+              arg_max(run_id, {'c': created_at, 'r': run_id}) AS run_id FROM runs GROUP BY company),
+fp AS (SELECT p.company, string_agg(lower(type_key) || ':' || failure_type || ':' || CAST(n AS VARCHAR), '|' ORDER BY rk) AS found
+       FROM p JOIN lr ON lr.run_id = p.run_id WHERE rk <= 10 GROUP BY p.company)
+"""
+
+
+def _strategy(t):
+    """Strategy state of every system (system = company), folded in two steps."""
+    res = FX.results(t)
+    pats = _patterns(t).join(res.select("run_id", "company").distinct(), "run_id").select(
+        F.col("company").alias("system_hash"), "run_id", "pattern_rank", F.lower("type_key").alias("cluster_label"),
+        F.lit("").alias("root_cause"), "failure_type", "scenario_count")
+    runs = FX.runs(t).withColumnRenamed("company", "system_hash")
+    early = F.substring("run_id", -6, 4).cast("int") < 1995  # run ids end in the year and quarter
+    state = L.strategy_state(pats.where(early), runs.where(early))
+    return L.strategy_state(pats.where(~early), runs.where(~early), state=state)
+
+
+def _weights_text(c):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+@register("A23_strategy_state", _STATE + """
+SELECT lr.company AS system_hash, weights, last_pass_rate, COALESCE(found, '') AS found_patterns, run_count
+FROM lr LEFT JOIN ws ON ws.company = lr.company LEFT JOIN fp ON fp.company = lr.company
+""")
+def a23_strategy_state(t):
+    """A-23: strategy state after folding the runs in two steps: weights, last pass rate, patterns of the latest run."""
+    found = F.array_join(F.transform("found_patterns", lambda p: F.concat_ws(
+        ":", p["cluster_label"], p["failure_type"], p["count"].cast("string"))), "|")
+    return _strategy(t).select("system_hash", _weights_text(F.col("failure_weights")).alias("weights"), "last_pass_rate",
+                               found.alias("found_patterns"), "run_count")
+
+
+@register("L05_generation_strategy", _STATE + """
+SELECT lr.company AS system_hash, weights, run_count FROM lr JOIN ws ON ws.company = lr.company
+WHERE CAST(substr(lr.company, 4) AS INT) % 3 = 1
 """)
 def l05_strategy(t):
-    """L-05: read back the strategy state of every system: patterns folded in."""
-    pats = _patterns(t).join(FX.results(t).select("run_id", "company").distinct(), "run_id")
-    return pats.groupBy(F.col("company").alias("system_hash")).agg(F.count(F.lit(1)).alias("patterns_seen"))
+    """L-05: read back the strategy of the RAG systems."""
+    wanted = FX.runs(t).where(F.substring("company", 4, 8).cast("int") % 3 == 1).select(F.col("company").alias("system_hash"))
+    return L.generation_strategy(_strategy(t), wanted).select("system_hash", _weights_text(F.col("failure_weights")).alias("weights"), "run_count")
 
 
 _PERSONA = """
@@ -213,7 +283,7 @@ FROM tr GROUP BY persona, system_type
 """)
 def a22_persona_effectiveness(t):
     """A-22: sticky persona status and discovery rate per (persona, system type)."""
-    return L.persona_effectiveness(FX.persona_use(t), bucket_width=1000)
+    return L.persona_effectiveness(FX.persona_use(t))
 
 
 @register("W07_persona_running_rate", """

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import py_round_sql
 from ..operators import analyze as AN
 from ..operators import cluster as C
 from ..operators import fix as FXO
 from ..operators import insights as I
 from ..operators import replies as RO
+from ..operators import report as R
 from ..sources import fixtures as FX
 from . import q_fix as QF
 from . import q_learn as QL
@@ -26,7 +28,7 @@ def _body(name: str) -> str:
 # --------------------------------------------------------------------- S-12
 @register("S12_fix_reply_parse", QF._PAT + """,
 rp AS (SELECT *, CASE (pattern_rank + fo) % 3
-         WHEN 0 THEN '{"title": "Fix ' || CAST(pattern_rank AS VARCHAR) || '", "problem": "p", "suggested_fix": "do x", "estimated_impact": "some"}'
+         WHEN 0 THEN '{"title": "Fix ' || CAST(pattern_rank AS VARCHAR) || '", "problem": "p", "suggested_fix": "do x", "estimated_impact": "some", "implementation_steps": ["one", "two"], "verification_scenarios": ["check"]}'
          WHEN 1 THEN '```json' || chr(10) || '{"title": "Only title"}' || chr(10) || '```'
          ELSE 'sorry, no json' END AS raw FROM plan),
 s AS (SELECT *, CASE WHEN starts_with(trim(raw), '```') THEN trim(regexp_replace(split_part(trim(raw), '```', 2), '^json', '')) ELSE trim(raw) END AS js0 FROM rp),
@@ -37,7 +39,9 @@ SELECT run_id, CAST(pattern_rank AS INT) AS pattern_rank, fix_type,
                 ELSE 'Policy clarification needed' END) AS title,
        COALESCE(json_extract_string(js, '$.problem'), '') AS problem,
        COALESCE(json_extract_string(js, '$.suggested_fix'), '') AS suggested_fix,
-       COALESCE(json_extract_string(js, '$.estimated_impact'), '') AS estimated_impact
+       COALESCE(json_extract_string(js, '$.estimated_impact'), '') AS estimated_impact,
+       COALESCE(array_to_string(json_extract_string(js, '$.implementation_steps[*]'), '|'), '') AS implementation_steps,
+       COALESCE(array_to_string(json_extract_string(js, '$.verification_scenarios[*]'), '|'), '') AS verification_scenarios
 FROM v WHERE js IS NOT NULL
 """)
 def s12_fix_replies(t):
@@ -47,18 +51,21 @@ def s12_fix_replies(t):
            .when(F.col("fix_type") == "ARCHITECTURE_CHANGE", 2).otherwise(3))
     k = (F.col("pattern_rank") + fo) % 3
     raw = (F.when(k == 0, F.concat(F.lit('{"title": "Fix '), F.col("pattern_rank").cast("string"),
-                                   F.lit('", "problem": "p", "suggested_fix": "do x", "estimated_impact": "some"}')))
+                                   F.lit('", "problem": "p", "suggested_fix": "do x", "estimated_impact": "some", '
+                                         '"implementation_steps": ["one", "two"], "verification_scenarios": ["check"]}')))
             .when(k == 1, F.lit('```json\n{"title": "Only title"}\n```'))
             .otherwise(F.lit("sorry, no json")))
     replies = plan.select("run_id", "pattern_rank", "fix_type", raw.alias("raw"))
     out = FXO.apply_fix_replies(plan.withColumn("root_cause", F.lit("")), replies)
     return out.select("run_id", F.col("pattern_rank").cast("int").alias("pattern_rank"), "fix_type", "title",
-                      "problem", "suggested_fix", "estimated_impact")
+                      "problem", "suggested_fix", "estimated_impact",
+                      F.array_join("implementation_steps", "|").alias("implementation_steps"),
+                      F.array_join("verification_scenarios", "|").alias("verification_scenarios"))
 
 
 # --------------------------------------------------------------------- SRC-13
 @register("SRC13_finetune_json_records", QL._JOINED + """
-SELECT scenario_id, CAST(json_object('input', input, 'correct_output', expected_behavior, 'failure_type', failure_type,
+SELECT scenario_id, CAST(json_object('input', input, 'wrong_output', actual_response, 'correct_output', expected_behavior, 'failure_type', failure_type,
                                      'difficulty', difficulty, 'tags', tags, 'system_config_hash', system_hash) AS VARCHAR) AS value
 FROM j WHERE NOT passed AND failure_type IS NOT NULL
 """)
@@ -67,7 +74,7 @@ def src13_json_records(t):
     from ..operators import learn as L
     p = L.finetuning_pairs(QL._joined(t))
     return p.select("scenario_id", F.to_json(F.struct(
-        "input", "correct_output", "failure_type", "difficulty", "tags",
+        "input", "wrong_output", "correct_output", "failure_type", "difficulty", "tags",
         F.col("system_hash").alias("system_config_hash"))).alias("value"))
 
 
@@ -166,20 +173,31 @@ def k06_context(t):
 
 
 # --------------------------------------------------------------------- A-40
-@register("A40_integration_summary")
+@register("A40_integration_summary", QF.report_sql(f"""
+, bd AS (SELECT run_id, string_agg(failure_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY failure_type) AS failure_breakdown
+         FROM (SELECT run_id, failure_type, COUNT(*) AS n FROM results WHERE NOT passed AND failure_type IS NOT NULL GROUP BY ALL) z GROUP BY run_id),
+pj AS (SELECT run_id, '[' || string_agg(CAST(json_object('cluster_label', lower(type_key), 'failure_type', failure_type, 'scenario_count', affected_scenarios,
+              'root_cause', '', 'immediate_fix', '', 'suggested_priority', prio) AS VARCHAR), ',' ORDER BY pattern_rank) || ']' AS failure_patterns,
+              COUNT(*) AS n_patterns FROM pp GROUP BY run_id),
+fj AS (SELECT run_id, '[' || string_agg(CAST(json_object('title', title, 'fix_type', fix_type, 'problem', problem, 'suggested_fix', suggested_fix,
+              'priority', priority, 'estimated_impact', impact) AS VARCHAR), ',' ORDER BY fix_rank) || ']' AS fixes
+       FROM told WHERE fix_rank <= 10 GROUP BY run_id)
+SELECT y.run_id, y.pr AS pass_rate, {py_round_sql("y.pr * 100", 1)} AS pass_rate_percent, total AS total_scenarios,
+       total - failed_count AS passed, failed_count AS failed, COALESCE(bd.failure_breakdown, '') AS failure_breakdown,
+       COALESCE(pj.failure_patterns, '[]') AS failure_patterns,
+       'Analysis complete. Pass rate: ' || CAST({py_round_sql("y.pr * 100", 1)} AS VARCHAR) || '%. ' || CAST(failed_count AS VARCHAR)
+         || ' failures detected across ' || CAST(COALESCE(n_patterns, 0) AS VARCHAR) || ' patterns.' AS insight_summary,
+       CAST(total_fixes AS BIGINT) AS total_fixes, CAST(h AS BIGINT) AS high_priority_fixes, COALESCE(fj.fixes, '[]') AS fixes, {QF.ESTIMATE_SQL} AS estimated_improvement
+FROM y LEFT JOIN bd ON bd.run_id = y.run_id LEFT JOIN pj ON pj.run_id = y.run_id LEFT JOIN fj ON fj.run_id = y.run_id
+"""))
 def a40_summary(t):
-    """A-40: one summary row per run — rate, %, counts, breakdown, patterns, first 10 fixes."""
+    """A-40: one summary row per run - rate, percent, counts, breakdown, patterns, summary text, first 10 fixes, estimate."""
     res = FX.results(t)
-    stats = AN.run_statistics(res)
+    pats = QF._patterns(t).withColumnRenamed("affected_scenarios", "scenario_count").withColumn("immediate_fix", F.lit(""))
+    fixes, stats = QF._fixes(t)
     bd = AN.breakdown_text(AN.failure_breakdown(res)).drop("breakdown_map")
-    pats = QF._patterns(t).groupBy("run_id").agg(F.count(F.lit(1)).alias("patterns"))
-    fixes, _ = QF._fixes(t)
-    first10 = (fixes.where(F.col("fix_rank") <= 10).groupBy("run_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("fix_rank", "title"))), lambda s: s["title"]).alias("fixes")))
-    out = stats.join(bd, "run_id", "left").join(pats, "run_id", "left").join(first10, "run_id", "left")
-    return out.select("run_id", "pass_rate", (F.col("pass_rate") * 100).alias("pass_pct"), "total", "passed_count",
-                      "failed_count", F.coalesce("failure_breakdown", F.lit("")).alias("failure_breakdown"),
-                      F.coalesce("patterns", F.lit(0)).alias("patterns"), "fixes")
+    told = AN.summary_fallback(stats, pats.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_patterns")))
+    return R.integration_summary(stats, bd, pats, told, fixes, FXO.fix_report(fixes, stats))
 
 
 # --------------------------------------------------------------------- C-01

@@ -28,12 +28,15 @@ trig AS (SELECT company, COUNT(DISTINCT content) AS n_triggers FROM conv
            AND role = 'user' AND (contains(lower(outcome), 'bad') OR contains(lower(outcome), 'wrong') OR contains(lower(outcome), 'fail')
              OR contains(lower(outcome), 'incorrect') OR contains(lower(outcome), 'violation') OR contains(lower(outcome), 'error'))
          GROUP BY company),
+known AS (SELECT company, COUNT(DISTINCT failure_type) AS n_known FROM results
+          WHERE NOT passed AND failure_type IS NOT NULL GROUP BY company),
 plan0 AS (
   SELECT s.*, l.latest_rate IS NOT NULL AS has_history, l.latest_rate,
          CASE WHEN deployment = 'PRE_DEPLOYMENT' AND max_scenarios = 200 THEN 500 ELSE max_scenarios END AS effective_count,
          CASE WHEN l.latest_rate IS NULL THEN 'NEW' WHEN l.latest_rate >= 0.85 THEN 'RELIABLE' ELSE 'RUNNING' END AS maturity,
-         COALESCE(t.n_triggers, 0) AS n_triggers
-  FROM systems s LEFT JOIN latest l ON l.company = s.company LEFT JOIN trig t ON t.company = s.company),
+         COALESCE(t.n_triggers, 0) AS n_triggers, COALESCE(kn.n_known, 0) AS n_known
+  FROM systems s LEFT JOIN latest l ON l.company = s.company LEFT JOIN trig t ON t.company = s.company
+  LEFT JOIN known kn ON kn.company = s.company),
 plan1 AS (
   SELECT *, CAST(TRUNC(effective_count * CASE maturity WHEN 'NEW' THEN 1.0 WHEN 'RUNNING' THEN 0.5 ELSE 0.2 END) AS INT) AS n_new,
          CAST(TRUNC(effective_count * CASE maturity WHEN 'NEW' THEN 0.0 WHEN 'RUNNING' THEN 0.3 ELSE 0.6 END) AS INT) AS n_fail
@@ -55,7 +58,10 @@ def _systems(t):
                            .select("company", "run_id", "pass_rate", "created_at"), "company") \
         .select("company", F.col("pass_rate").alias("latest_rate"))
     trig = I.failure_trigger_counts(I.tier_messages(FX.conv(t)))
-    return cut_lineage(sysdf.join(latest, "company", "left").join(trig, "company", "left"), "systems")
+    known = (FX.results(t).where(~F.col("passed") & F.col("failure_type").isNotNull())
+             .groupBy("company").agg(F.count_distinct("failure_type").alias("n_known")))
+    return cut_lineage(sysdf.join(latest, "company", "left").join(trig, "company", "left")
+                       .join(known, "company", "left"), "systems")
 
 
 def _plan(t):
@@ -64,14 +70,14 @@ def _plan(t):
     mat = PL.maturity(F.col("latest_rate").isNotNull(), F.col("latest_rate"), F.lit("NEW"))
     s = s.select("*", eff.alias("effective_count"), mat.alias("maturity"))
     mix = PL.scenario_mix(F.col("effective_count"), F.col("maturity"), F.lit("SMART_MIX"))
-    mix = PL.failure_focus_fallback(mix, F.col("n_triggers"), F.lit(0))
+    mix = PL.failure_focus_fallback(mix, F.col("n_triggers"), F.col("n_known"))
     return s.withColumn("mix", mix)
 
 
 @register("P16_P18_scenario_mix", "WITH " + _SYSTEMS_SQL.strip() + """
 SELECT company, effective_count, maturity,
-       CASE WHEN n_triggers = 0 THEN n_new + n_fail ELSE n_new END AS new_edge_cases,
-       CASE WHEN n_triggers = 0 THEN 0 ELSE n_fail END AS from_failures,
+       CASE WHEN n_triggers = 0 AND n_known = 0 THEN n_new + n_fail ELSE n_new END AS new_edge_cases,
+       CASE WHEN n_triggers = 0 AND n_known = 0 THEN 0 ELSE n_fail END AS from_failures,
        GREATEST(0, effective_count - n_new - n_fail) AS adversarial
 FROM plan1
 """)
@@ -126,7 +132,7 @@ def _library(t):
 def _persona_status(t):
     """Persona status per (persona, system type): a small table, written once
     (so the events table is scanned once however often the plan refers to it)."""
-    eff = L.persona_effectiveness(FX.persona_use(t), bucket_width=1000)
+    eff = L.persona_effectiveness(FX.persona_use(t))
     return cut_lineage(PL.persona_status(_library(t), eff), "persona_status")
 
 
@@ -230,16 +236,20 @@ def p21_critic_gate(t):
 
 
 @register("K03_cut_to_count", """
-WITH c AS (SELECT run_id, CAST(FLOOR(COUNT(*) * 0.9) AS BIGINT) AS effective_count FROM results GROUP BY run_id)
+WITH c AS (SELECT DISTINCT company, CAST(substr(company, 4) AS INT) AS k FROM results),
+m AS (SELECT *, CASE k WHEN 0 THEN 200 ELSE 20 * k END AS max_scenarios FROM c),
+e AS (SELECT company, CASE WHEN k % 2 = 0 AND max_scenarios = 200 THEN 500 ELSE max_scenarios END AS effective_count FROM m)
 SELECT r.run_id, COUNT(*) AS kept FROM (
-  SELECT run_id, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY result_id) AS rn FROM results) r
-JOIN c ON c.run_id = r.run_id WHERE rn <= c.effective_count GROUP BY r.run_id
+  SELECT run_id, company, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY result_id) AS rn FROM results) r
+JOIN e ON e.company = r.company WHERE rn <= e.effective_count GROUP BY r.run_id
 """)
 def k03_cut(t):
-    """K-03: keep the first effective_count scenarios of each run (here 90 % of what was generated)."""
+    """K-03: keep the first scenarios of each run, as many as P-16's effective count of its system."""
     res = FX.results(t).withColumn("seq", F.col("result_id"))
-    counts = res.groupBy("run_id").agg(F.floor(F.count(F.lit(1)) * 0.9).cast("bigint").alias("effective_count"))
-    return PL.cut_to_count(res, counts).groupBy("run_id").agg(F.count(F.lit(1)).alias("kept"))
+    k = F.substring("company", 4, 8).cast("int")
+    deployment = F.when(k % 2 == 0, "PRE_DEPLOYMENT").otherwise("POST_DEPLOYMENT")
+    count = PL.effective_count(deployment, F.when(k == 0, 200).otherwise(20 * k))
+    return PL.cut_to_count(res, count).groupBy("run_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @register("P08_persona_pools", "WITH " + _SYSTEMS_SQL.strip() + "," + _PERSONAS_SQL.strip() + """

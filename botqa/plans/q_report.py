@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.numeric import py_round_sql
+from ..operators import analyze as AN
 from ..operators import report as R
 from ..sources import fixtures as FX
 from . import params as PP
-from .q_fix import _PAT, _fixes, _patterns
-from .q_learn import _joined
+from .q_fix import _PAT, _fixes, _patterns, report_sql
+from .q_learn import _JOINED, _joined
 from .registry import register
 
 
@@ -65,12 +66,19 @@ def a32_facets(t):
 
 
 @register("A33_fix_buckets", _PAT + """
-SELECT run_id, fix_type, priority, COUNT(*) AS n, CAST(0 AS BIGINT) AS done FROM allfix GROUP BY ALL
+, task AS (SELECT run_id, CASE WHEN total_failures % 2 = 0 THEN 'PROMPT_ADDITION' ELSE 'GUARDRAIL_RULE' END AS done_type FROM runs)
+SELECT a.run_id, fix_type, priority, COUNT(*) AS n, CAST(SUM(CASE WHEN fix_type = done_type THEN 1 ELSE 0 END) AS BIGINT) AS done
+FROM allfix a JOIN task ON task.run_id = a.run_id GROUP BY ALL
 """)
 def a33_fix_buckets(t):
-    """A-33 fixes per run by type and priority (no task-status table given: done = 0)."""
+    """A-33 fixes per run by type and priority, and how many are done by the task-status table
+    (here: one task done and one in progress per run)."""
     fixes, _ = _fixes(t)
-    return R.fix_buckets(fixes)
+    even = F.col("total_failures") % 2 == 0
+    status = FX.runs(t).select("run_id", F.inline(F.array(
+        F.struct(F.lit("Prompt improvement suggestion").alias("title"), F.when(even, "done").otherwise("in_progress").alias("status")),
+        F.struct(F.lit("Guardrail rule suggestion").alias("title"), F.when(even, "in_progress").otherwise("done").alias("status")))))
+    return R.fix_buckets(fixes, status)
 
 
 @register("A34_cost_rollup", f"""
@@ -109,16 +117,21 @@ def a36_ui_cost(t):
     return R.ui_cost_split(FX.runs(t).select("run_id", "total_scenarios")).drop("total_scenarios")
 
 
-@register("A37_run_trend_summary", """
-SELECT company, arg_min(pass_rate, {'c': created_at, 'r': run_id}) AS first_rate,
+@register("A37_run_trend_summary", _JOINED + """,
+g AS (SELECT company, arg_min(pass_rate, {'c': created_at, 'r': run_id}) AS first_rate,
        arg_max(pass_rate, {'c': created_at, 'r': run_id}) AS latest_rate, MAX(pass_rate) AS best_pass_rate,
        MIN(pass_rate) AS worst_pass_rate, COUNT(*) AS total_runs,
        (arg_max(pass_rate, {'c': created_at, 'r': run_id}) - arg_min(pass_rate, {'c': created_at, 'r': run_id})) * 100 AS improvement_pts
-FROM runs WHERE status = 'completed' GROUP BY company
+      FROM runs WHERE status = 'completed' GROUP BY company),
+x AS (SELECT company, COUNT(*) AS n, SUM(CASE WHEN passed THEN 1 ELSE 0 END) / CAST(COUNT(*) AS DOUBLE) AS rate
+      FROM j WHERE list_contains(tags, 'pri_1') GROUP BY company)
+SELECT g.*, COALESCE(x.n, 0) AS regression_scenarios, x.rate AS regression_pass_rate FROM g LEFT JOIN x ON x.company = g.company
 """)
 def a37_trend(t):
-    """A-37 first-to-latest improvement, best and worst per company."""
-    return R.run_trend_summary(FX.runs(t))
+    """A-37 first-to-latest improvement, best, worst and regression pass rate per company (the tables' tag ``pri_1`` marks
+    the regression scenarios)."""
+    joined = _joined(t).join(FX.scenarios(t).select("scenario_id", "company"), "scenario_id")
+    return R.run_trend_summary(FX.runs(t), joined, tag="pri_1")
 
 
 _CAL = """
@@ -163,10 +176,11 @@ SELECT result_id, judge_passed, human_passed AS final_passed, human_passed <> ju
 FROM human_labels
 """)
 def j11_corrections(t):
-    """J-11 human corrections (one per disagreement) override the judge's verdict."""
+    """J-11 human corrections override the judge's verdict; of the two per disagreement the later one holds."""
     hl = FX.human_labels(t)
-    corr = hl.where(F.col("human_passed") != F.col("judge_passed")).select(
-        "result_id", F.col("human_passed").alias("correct_verdict"), F.lit(0).alias("corrected_at"))
+    corr = hl.where(F.col("human_passed") != F.col("judge_passed")).select("result_id", F.inline(F.array(
+        F.struct(F.col("human_passed").alias("correct_verdict"), F.lit(1).alias("corrected_at")),
+        F.struct(F.col("judge_passed").alias("correct_verdict"), F.lit(0).alias("corrected_at")))))
     return R.apply_corrections(hl.select("result_id", "judge_passed"), corr).select(
         "result_id", "judge_passed", "final_passed", "corrected")
 
@@ -275,12 +289,30 @@ def src15_executive_summary(t):
     return R.executive_summary(FX.runs(t), high, F.to_timestamp(F.lit(PP.REPORT_NOW)), PP.REPORT_NOW[:10])
 
 
-@register("SRC14_quality_report")
+@register("SRC14_quality_report", report_sql(f"""
+, pj AS (SELECT run_id, '[' || string_agg(CAST(json_object('type', failure_type, 'count', affected_scenarios, 'root_cause', '', 'priority', prio) AS VARCHAR),
+                                         ',' ORDER BY pattern_rank) || ']' AS js, COUNT(*) AS n FROM pp GROUP BY run_id),
+fj AS (SELECT run_id, '[' || string_agg(CAST(json_object('title', title, 'priority', priority, 'type', fix_type, 'problem', problem,
+                                                   'suggested_fix', suggested_fix) AS VARCHAR), ',' ORDER BY fix_rank) || ']' AS js FROM told GROUP BY run_id),
+z AS (SELECT r.*, y.pr AS pr4, y.failed_count, pj.js AS pjs, pj.n AS n_patterns, fj.js AS fjs, CAST(FLOOR(COALESCE(r.pass_rate, 0) * 100 + 0.5) AS BIGINT) AS pct
+      FROM runs r JOIN y ON y.run_id = r.run_id LEFT JOIN pj ON pj.run_id = r.run_id LEFT JOIN fj ON fj.run_id = r.run_id)
+SELECT run_id, CAST(json_object('title', 'Quality Monitor Quality Report — ' || company, 'generated_at', '{PP.REPORT_NOW}',
+   'monitoring_cycle', strftime(created_at, '%Y-%m-%dT%H:%M:%S'),
+   'quality_grade', CASE WHEN pct >= 90 THEN 'A' WHEN pct >= 80 THEN 'B' WHEN pct >= 70 THEN 'C' WHEN pct >= 60 THEN 'D' ELSE 'F' END,
+   'pass_rate', CAST(pct AS VARCHAR) || '%', 'scenarios_monitored', total_scenarios, 'open_issues', total_failures,
+   'deployment_verdict', CASE WHEN pass_rate >= 0.8 AND total_failures < 10 THEN 'SAFE TO DEPLOY' ELSE 'FIX BEFORE DEPLOY' END,
+   'issue_summary', 'Analysis complete. Pass rate: ' || CAST({py_round_sql("pr4 * 100", 1)} AS VARCHAR) || '%. ' || CAST(failed_count AS VARCHAR)
+        || ' failures detected across ' || CAST(COALESCE(n_patterns, 0) AS VARCHAR) || ' patterns.',
+   'failure_patterns', COALESCE(pjs, '[]')::JSON, 'remediation_actions', COALESCE(fjs, '[]')::JSON,
+   'disclaimer', 'Generated by Quality Monitor continuous monitoring. Review all recommendations before implementing.') AS VARCHAR) AS value
+FROM z
+"""))
 def src14_quality_report(t):
     """SRC-14 JSON quality report per run (nested)."""
-    fixes, _ = _fixes(t)
+    fixes, stats = _fixes(t)
     pats = _patterns(t).withColumnRenamed("affected_scenarios", "scenario_count")
-    return R.quality_report_json(FX.runs(t), pats, fixes, PP.REPORT_NOW)
+    told = AN.summary_fallback(stats, pats.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_patterns")))
+    return R.quality_report_json(FX.runs(t), pats, fixes, told, PP.REPORT_NOW)
 
 
 @register("SRC16_fix_finetune_lines", _PAT + """

@@ -215,6 +215,17 @@ FIX_DISCLAIMER = {
 }
 FINE_TUNING_PROBLEM = ("Your AI system made specific mistakes that can be corrected through targeted "
                        "fine-tuning.")
+FINE_TUNING_STEPS = [
+    "Download the JSONL training data from {product}",
+    "Review pairs to confirm correct outputs are appropriate",
+    "Fine-tune your model using standard SFT training",
+    "Re-run {product} to verify improvement",
+    "Repeat until pass rate reaches target",
+]
+FINE_TUNING_CHECKS = [
+    "Run {product} again after fine-tuning",
+    "Check if previously failing scenarios now pass",
+]
 NO_FAILURES_ESTIMATE = "No failures detected — system performing well"
 
 # Name under which reports are issued; callers give their own.

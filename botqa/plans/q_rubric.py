@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import rubric as RB
@@ -24,19 +26,24 @@ sys AS (
          k >= 2 AS human_in_loop_required, CASE WHEN k % 2 = 0 THEN ['payment'] ELSE [] END AS human_in_loop_triggers,
          CASE WHEN k = 5 THEN ['shell'] ELSE [] END AS prohibited_tools,
          CASE WHEN k % 3 = 2 THEN CAST(2.5 AS DOUBLE) END AS max_cost_per_run,
+         CASE WHEN k % 2 = 0 THEN 'decline' ELSE 'redirect' END AS out_of_scope_behavior,
          CASE WHEN k = 5 THEN 0 ELSE 20 END AS max_steps, k % 4 AS max_turns_before_escalate
   FROM (SELECT DISTINCT company, CAST(substr(company, 4) AS INT) AS k FROM runs) c)
 """
 
 
 def _systems(t):
-    k = F.substring("company", 4, 8).cast("int")
-    c = FX.runs(t).select("company").distinct().withColumn("k", k)
+    return _policies(FX.runs(t).select("company").distinct())
+
+
+def _policies(c, *keep):
+    """Policy columns of the company of each row."""
+    c = c.withColumn("k", F.substring("company", 4, 8).cast("int"))
     arr = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     empty = F.array().cast("array<string>")
     kk = F.col("k")
     return c.select(
-        F.col("company").alias("system"), "k", F.concat(F.lit("Company "), kk.cast("string")).alias("company_name"),
+        *keep, F.col("company").alias("system"), "k", F.concat(F.lit("Company "), kk.cast("string")).alias("company_name"),
         F.when(kk % 3 == 0, "CUSTOMER_SUPPORT").when(kk % 3 == 1, "RAG").otherwise("MULTI_AGENT").alias("system_type"),
         (kk != 6).alias("has_config"),
         F.when(kk % 2 == 0, (kk + 1) * 100.0).alias("refund_threshold"),
@@ -51,10 +58,19 @@ def _systems(t):
         F.when(kk % 2 == 0, arr("payment")).otherwise(empty).alias("human_in_loop_triggers"),
         F.when(kk == 5, arr("shell")).otherwise(empty).alias("prohibited_tools"),
         F.when(kk % 3 == 2, F.lit(2.5)).alias("max_cost_per_run"),
+        F.when(kk % 2 == 0, "decline").otherwise("redirect").alias("out_of_scope_behavior"),
         F.when(kk == 5, F.lit(0)).otherwise(F.lit(20)).alias("max_steps"),
         (kk % 4).alias("max_turns_before_escalate"))
 
 
+def _worded_sql(template):
+    """A wording with its policies as a SQL expression."""
+    lists = ("escalate_on_keywords", "allowed_actions", "prohibited_actions", "human_in_loop_triggers", "prohibited_tools")
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join((f"array_to_string({p}, ', ')" if p in lists else f"CAST({p} AS VARCHAR)") if i % 2 else "'" + p.replace("'", "''") + "'"
+                       for i, p in enumerate(parts))
+
+
 def _criteria_sql():
     cond = {
         None: "TRUE", "has_config": "has_config",
@@ -77,7 +93,9 @@ def _criteria_sql():
         if st == "GENERIC":
             continue
         for i, (name, w, req, c) in enumerate(rows):
-            parts.append(f"SELECT system, system_type, {i} AS ord, '{name}' AS name, CAST({w} AS DOUBLE) AS weight, "
+            told = ", ".join(f"{_worded_sql(x)} AS {c2}" for x, c2 in zip(
+                RB.WORDING[st, name], ("description", "pass_condition", "fail_condition"), strict=True))
+            parts.append(f"SELECT system, system_type, {i} AS ord, '{name}' AS name, {told}, CAST({w} AS DOUBLE) AS weight, "
                          f"{'TRUE' if req else 'FALSE'} AS required FROM sys WHERE system_type = '{st}' AND ({cond[c]})")
     return "crit AS (" + "\nUNION ALL\n".join(parts) + ")"
 
@@ -85,11 +103,12 @@ def _criteria_sql():
 _CRIT_SQL = "WITH " + _SYS_SQL.strip() + ",\n" + _criteria_sql() + "\n"
 
 
-@register("P25_P28_rubric_criteria", _CRIT_SQL + "SELECT system, system_type, ord, name, weight, required FROM crit")
+@register("P25_P28_rubric_criteria", _CRIT_SQL
+          + "SELECT system, system_type, ord, name, description, pass_condition, fail_condition, weight, required FROM crit")
 def p25_p28_rubric(t):
-    """P-25..P-28: rubric criteria per system, driven by its policies and routed by system type."""
-    return RB.generate_rubric(_systems(t)).select("system", "system_type", F.col("ord").cast("int").alias("ord"),
-                                                  "name", "weight", "required")
+    """P-25..P-28: rubric criteria per system with their wording, driven by its policies and routed by system type."""
+    return RB.generate_rubric(_systems(t)).select("system", "system_type", F.col("ord").cast("int").alias("ord"), "name", "description",
+                                                  "pass_condition", "fail_condition", "weight", "required")
 
 
 @register("P29_rubric_rollup", _CRIT_SQL + """,
@@ -101,11 +120,10 @@ FROM j GROUP BY result_id
 """)
 def p29_rollup(t):
     """P-29: overall verdict from judged criteria — all required pass; weighted score."""
-    crit = RB.generate_rubric(_systems(t))
-    res = FX.results(t).select("result_id", F.col("company").alias("system"))
-    judged = res.join(crit, "system").select("result_id", "name", "weight", "required",
-                                             ((F.col("result_id") + F.col("ord")) % 5 != 0).alias("passed"))
-    return RB.rubric_rollup(judged)
+    res = _policies(FX.results(t), "result_id")
+    judged = F.transform(RB.criteria_array(), lambda c: c.withField("passed", (F.col("result_id") + c["ord"]) % 5 != 0))
+    return res.select("result_id", judged.alias("judged")).select(
+        "result_id", *[c.alias(n) for n, c in RB.rubric_rollup(F.col("judged")).items()])
 
 
 @register("P30_policy_summary", "WITH " + _SYS_SQL.strip() + """
@@ -126,7 +144,8 @@ def p30_policy_summary(t):
 
 @register("PR02_rubric_prompt", _CRIT_SQL + """,
 rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY system ORDER BY ord) AS n FROM crit),
-txt AS (SELECT system, string_agg('CRITERION ' || CAST(n AS VARCHAR) || ': ' || upper(name) || chr(10) || 'Weight: '
+txt AS (SELECT system, string_agg('CRITERION ' || CAST(n AS VARCHAR) || ': ' || upper(name) || chr(10) || 'Description: ' || description || chr(10)
+                                  || 'PASS if: ' || pass_condition || chr(10) || 'FAIL if: ' || fail_condition || chr(10) || 'Weight: '
                                   || CAST(weight AS VARCHAR) || ' | Required: ' || CASE WHEN required THEN 'True' ELSE 'False' END,
                                   chr(10) || chr(10) ORDER BY ord) AS criteria_text FROM rk GROUP BY system)
 SELECT s.system, 'You are evaluating an AI system response for ' || s.company_name || '.' || chr(10) || 'System type: ' || s.system_type
@@ -141,5 +160,4 @@ FROM sys s JOIN txt t ON t.system = s.system
 """)
 def pr02_rubric_prompt(t):
     """PR-02: judge rubric prompt per system."""
-    sysdf = _systems(t)
-    return RB.rubric_prompt(RB.generate_rubric(sysdf), sysdf)
+    return RB.rubric_prompt(_systems(t))

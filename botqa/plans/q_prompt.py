@@ -10,6 +10,7 @@ from ..functions.numeric import py_round_sql
 from ..operators import analyze as AN
 from ..operators import judge as J
 from ..operators import prompting as PM
+from ..operators import rubric as RB
 from ..sources import fixtures as FX
 from . import params as PP
 from . import q_rubric as _QR
@@ -49,25 +50,28 @@ def _judged(t):
 _EXPECTED = "CONCAT('Answer the ', company, ' customer')"
 
 
-@register("PR01_judge_prompts", f"""
+@register("PR01_judge_prompts", _QR.RUBRIC_SQL + f"""
 SELECT scenario_id, {render_sql(P.JUDGE_PROMPT, input="input", expected_behavior=_EXPECTED,
-                                response="actual_response", suffix="''")} AS prompt
-FROM responses WHERE actual_response IS NOT NULL
+                                response="actual_response", suffix="rubric")} AS prompt
+FROM responses JOIN rub ON rub.system = responses.company WHERE actual_response IS NOT NULL
 """)
 def pr01_judge_prompts(t):
-    """PR-01: judge prompt for every scenario that got a reply."""
-    r = FX.responses(t).where(F.col("actual_response").isNotNull()) \
-        .withColumn("expected_behavior", F.concat(F.lit("Answer the "), F.col("company"), F.lit(" customer")))
-    return PM.judge_prompts(r).select("scenario_id", "prompt")
+    """PR-01: judge prompt for every scenario that got a reply, with its system's rubric."""
+    return _judge_prompts(t)
+
+
+def _judge_prompts(t):
+    r = FX.responses(t).where(F.col("actual_response").isNotNull())
+    r = _QR.policies(r, "scenario_id", "input", "actual_response",
+                     F.concat(F.lit("Answer the "), F.col("company"), F.lit(" customer")).alias("expected_behavior"))
+    return PM.judge_prompts(r, RB.rubric_text()).select("scenario_id", "prompt")
 
 
 @register("U01_judge_inference")
 def u01_inference(t):
     """U-01 + S-07 + A-03: judge prompts sent to a (deterministic) model client in
     Arrow batches for each of the three judges, replies parsed, panel verdict."""
-    r = FX.responses(t).where(F.col("actual_response").isNotNull()) \
-        .withColumn("expected_behavior", F.concat(F.lit("Answer the "), F.col("company"), F.lit(" customer")))
-    prompts = PM.judge_prompts(r).select("scenario_id", "prompt")
+    prompts = _judge_prompts(t)
     per_judge = prompts.select("scenario_id", F.posexplode(F.array(F.lit("judge_a"), F.lit("judge_b"),
                                                                    F.lit("judge_c"))).alias("slot", "judge_model"),
                                "prompt").withColumn("prompt", F.concat("judge_model", F.lit("\n"), "prompt"))

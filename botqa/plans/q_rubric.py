@@ -33,10 +33,10 @@ sys AS (
 
 
 def _systems(t):
-    return _policies(FX.runs(t).select("company").distinct())
+    return policies(FX.runs(t).select("company").distinct())
 
 
-def _policies(c, *keep):
+def policies(c, *keep):
     """Policy columns of the company of each row."""
     c = c.withColumn("k", F.substring("company", 4, 8).cast("int"))
     arr = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
@@ -120,7 +120,7 @@ FROM j GROUP BY result_id
 """)
 def p29_rollup(t):
     """P-29: overall verdict from judged criteria — all required pass; weighted score."""
-    res = _policies(FX.results(t), "result_id")
+    res = policies(FX.results(t), "result_id")
     judged = F.transform(RB.criteria_array(), lambda c: c.withField("passed", (F.col("result_id") + c["ord"]) % 5 != 0))
     return res.select("result_id", judged.alias("judged")).select(
         "result_id", *[c.alias(n) for n, c in RB.rubric_rollup(F.col("judged")).items()])
@@ -142,22 +142,25 @@ def p30_policy_summary(t):
     return RB.policy_summary(_systems(t))
 
 
-@register("PR02_rubric_prompt", _CRIT_SQL + """,
+RUBRIC_SQL = _CRIT_SQL + """,
 rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY system ORDER BY ord) AS n FROM crit),
 txt AS (SELECT system, string_agg('CRITERION ' || CAST(n AS VARCHAR) || ': ' || upper(name) || chr(10) || 'Description: ' || description || chr(10)
                                   || 'PASS if: ' || pass_condition || chr(10) || 'FAIL if: ' || fail_condition || chr(10) || 'Weight: '
                                   || CAST(weight AS VARCHAR) || ' | Required: ' || CASE WHEN required THEN 'True' ELSE 'False' END,
-                                  chr(10) || chr(10) ORDER BY ord) AS criteria_text FROM rk GROUP BY system)
-SELECT s.system, 'You are evaluating an AI system response for ' || s.company_name || '.' || chr(10) || 'System type: ' || s.system_type
+                                  chr(10) || chr(10) ORDER BY ord) AS criteria_text FROM rk GROUP BY system),
+rub AS (SELECT s.system, 'You are evaluating an AI system response for ' || s.company_name || '.' || chr(10) || 'System type: ' || s.system_type
        || chr(10) || chr(10) || 'Evaluate the response against these criteria:' || chr(10) || chr(10) || t.criteria_text
        || chr(10) || chr(10) || 'For each criterion return:' || chr(10) || '- verdict: "pass" or "fail"' || chr(10)
        || '- reason: one sentence explaining why' || chr(10) || chr(10) || 'Then return an overall verdict:' || chr(10)
        || '- passed: true only if all REQUIRED criteria pass' || chr(10) || '- failure_type: the most serious failure type if failed'
        || chr(10) || '  (HALLUCINATION, POLICY_VIOLATION, INCOMPLETE,' || chr(10) || '   WRONG_ANSWER, CONTEXT_LOSS, ESCALATION_FAILURE)'
        || chr(10) || '- confidence: 0.0-1.0 how confident you are in this verdict' || chr(10) || chr(10)
-       || 'Return as JSON only. No explanation. No markdown.' AS prompt
-FROM sys s JOIN txt t ON t.system = s.system
-""")
+       || 'Return as JSON only. No explanation. No markdown.' AS rubric
+FROM sys s JOIN txt t ON t.system = s.system)
+"""
+
+
+@register("PR02_rubric_prompt", RUBRIC_SQL + "SELECT system, rubric AS prompt FROM rub")
 def pr02_rubric_prompt(t):
     """PR-02: judge rubric prompt per system."""
     return RB.rubric_prompt(_systems(t))

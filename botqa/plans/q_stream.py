@@ -52,16 +52,17 @@ def st04(t):
 
 
 _ST05 = """
-WITH vw AS (SELECT *, date_trunc('day', created_at) AS window_start FROM verdicts
-            WHERE date_trunc('day', created_at) + INTERVAL 1 DAY <= (SELECT MAX(created_at) FROM verdicts) - INTERVAL 1 DAY),
-agg AS (SELECT scenario_id, window_start, COUNT(*) AS total, SUM(CASE WHEN passed THEN 1 ELSE 0 END) AS p
+WITH cl AS (SELECT scenario_id FROM verdicts GROUP BY scenario_id
+            HAVING COUNT(DISTINCT slot) = 3 OR MAX(created_at) + INTERVAL 1 DAY < (SELECT MAX(created_at) FROM verdicts) - INTERVAL 1 DAY),
+vw AS (SELECT v.* FROM verdicts v JOIN cl ON cl.scenario_id = v.scenario_id),
+agg AS (SELECT scenario_id, COUNT(*) AS total, SUM(CASE WHEN passed THEN 1 ELSE 0 END) AS p
         FROM vw GROUP BY ALL),
-ft AS (SELECT scenario_id, window_start, failure_type,
-              ROW_NUMBER() OVER (PARTITION BY scenario_id, window_start ORDER BY COUNT(*) DESC, MIN(slot)) AS rn
-       FROM vw WHERE NOT passed AND failure_type IS NOT NULL GROUP BY scenario_id, window_start, failure_type),
-b AS (SELECT a.scenario_id, a.window_start, a.total, a.p, a.total - a.p AS f, ft.failure_type AS top
-      FROM agg a LEFT JOIN ft ON ft.scenario_id = a.scenario_id AND ft.window_start = a.window_start AND ft.rn = 1)
-SELECT scenario_id, window_start,
+ft AS (SELECT scenario_id, failure_type,
+              ROW_NUMBER() OVER (PARTITION BY scenario_id ORDER BY COUNT(*) DESC, MIN(slot)) AS rn
+       FROM vw WHERE NOT passed AND failure_type IS NOT NULL GROUP BY scenario_id, failure_type),
+b AS (SELECT a.scenario_id, a.total, a.p, a.total - a.p AS f, ft.failure_type AS top
+      FROM agg a LEFT JOIN ft ON ft.scenario_id = a.scenario_id AND ft.rn = 1)
+SELECT scenario_id,
        CASE WHEN p = f THEN FALSE ELSE p > f END AS passed,
        CAST(CASE WHEN p = f THEN 0.33 WHEN GREATEST(p, f) = total THEN 0.95
                  WHEN GREATEST(p, f) = total - 1 THEN 0.75 ELSE 0.33 END AS DOUBLE) AS confidence,
@@ -79,5 +80,5 @@ FROM b
 
 @register("ST05_panel_close_stream", _ST05)
 def st05(t):
-    """ST-05: panel verdict per scenario and 1-day window, emitted once the watermark passes."""
+    """ST-05: panel verdict per scenario, once all slots have voted or the watermark is a day past its last vote."""
     return SJ.panel_close_stream(FX.verdicts(StreamTables(t.spark, t.sf_dir))).drop("batch_id")

@@ -13,13 +13,14 @@ increments.  Checkpoints live in the shared checkpoint folder.
   value per run.
 * ST-04 sticky persona status: ``applyInPandasWithState`` per (persona,
   system type), events replayed in ``ord`` order inside each micro-batch.
-* ST-05 panel close: verdicts with a 1-day watermark, grouped by scenario and
-  1-day event-time window, append mode — a panel is emitted once the
-  watermark passes its window.
+* ST-05 panel close: ``applyInPandasWithState`` per scenario keeps the votes of
+  a panel until all its slots have voted or the watermark has passed its last
+  vote by a day; the closed panels of a micro-batch then get their verdict.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -158,12 +159,57 @@ def persona_status_stream(uses_stream: DataFrame, folder: str | None = None) ->
 # ---------------------------------------------------------------------------
 # ST-05
 # ---------------------------------------------------------------------------
-def panel_close_stream(verdicts_stream: DataFrame, window: str = "1 day",
+_VOTES = "scenario_id long, slot int, passed boolean, failure_type string"
+_PANEL_STATE = "votes string, last_ms long, closed boolean"
+PANEL_SLOTS = 3
+PANEL_WAIT_MS = 24 * 3600 * 1000
+
+
+def _panel_step(slots: int, wait_ms: int):
+    """Votes of a panel (one per slot, the first holds) are kept as JSON, a few
+    dozen bytes a slot; a closed panel stays as a mark until its time is up, so a
+    repeated vote does not open it again."""
+    def rows(key, votes: dict) -> pd.DataFrame:
+        some = sorted(votes.items())
+        return pd.DataFrame({"scenario_id": [key[0]] * len(some), "slot": [int(k) for k, _ in some],
+                             "passed": [v[0] for _, v in some], "failure_type": [v[1] for _, v in some]})
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, last, closed = state.get if state.exists else ("{}", 0, False)
+        votes = {int(k): v for k, v in json.loads(text).items()}
+        if state.hasTimedOut:
+            state.remove()
+            if not closed:
+                yield rows(key, votes)
+            return
+        for pdf in pdfs:
+            last = max(last, int(pdf["ms"].max()))
+            for slot, passed, kind in zip(pdf["slot"], pdf["passed"], pdf["failure_type"], strict=True):
+                if not closed:
+                    votes.setdefault(int(slot), [bool(passed), kind if isinstance(kind, str) else None])
+        if not closed and len(votes) == slots:
+            closed = True
+            yield rows(key, votes)
+        state.update(("{}" if closed else json.dumps(votes), last, closed))
+        state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
+    return step
+
+
+def panel_close_stream(verdicts_stream: DataFrame, slots: int = PANEL_SLOTS, wait_ms: int = PANEL_WAIT_MS,
                        folder: str | None = None) -> DataFrame:
-    v = (verdicts_stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
-         .withWatermark("created_at", WATERMARK)
-         .withColumn("w", F.window("created_at", window)))
-    panel = J.panel_verdict(v, keys=("scenario_id", "w"))
-    panel = panel.select(F.col("w.start").alias("window_start"), *[c for c in panel.columns if c != "w"])
-    out = _run(panel, "panel_close", _write_increment, output_mode="append", folder=folder)
-    return _read(verdicts_stream.sparkSession, out, panel.schema.add("batch_id", "long"))
+    """One verdict per scenario, given when ``slots`` judges have voted or
+    ``wait_ms`` after its last vote, by the watermark."""
+    v = (verdicts_stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", WATERMARK)
+         .select("scenario_id", "slot", "passed", "failure_type", "created_at", F.unix_millis("created_at").alias("ms")))
+    votes = v.groupBy("scenario_id").applyInPandasWithState(
+        _panel_step(slots, wait_ms), _VOTES, _PANEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def factory(out):
+        def sink(batch, batch_id):
+            _write_increment(out)(J.panel_verdict(batch), batch_id)
+        return sink
+
+    out = _run(votes, "panel_close", factory, folder=folder)
+    spark = verdicts_stream.sparkSession
+    schema = J.panel_verdict(spark.createDataFrame([], _VOTES)).schema.add("batch_id", "long")
+    return _read(spark, out, schema)

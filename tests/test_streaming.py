@@ -25,31 +25,31 @@ def _touch(path, mtime):
         os.utime(os.path.join(path, f), (mtime, mtime))
 
 
-def test_panel_closes_once_when_the_watermark_passes(spark):
-    """A panel is emitted once, after the watermark passes its window; a window
-    the watermark has not passed stays open.  (Spark's guarantee is one-way:
-    votes within the 1-day delay are never dropped; a vote behind the
-    watermark that arrives before its window is evicted is still counted.)"""
+def test_panel_closes_when_all_slots_voted_or_its_time_is_up(spark):
+    """One verdict per panel: at the last slot's vote, even if the votes fall on two
+    days and one is repeated; without all slots, a day after the last vote by the
+    watermark; a panel whose time is not up stays open."""
     base = tempfile.mkdtemp(prefix="botqa-stream-", dir="/tmp")
     src = os.path.join(base, "verdicts")
     os.makedirs(src)
-    d0 = dt.datetime(2024, 1, 1, 10, 0)
-    _write(spark, [(1, 0, False, "HALLUCINATION", 0.9, d0), (1, 1, False, "HALLUCINATION", 0.8, d0)], src, "b1",
-           1_000_000_000)
+    d0 = dt.datetime(2024, 1, 1, 22, 0)
+    hour = dt.timedelta(hours=1)
+    _write(spark, [(1, 0, False, "HALLUCINATION", 0.9, d0), (1, 1, False, "HALLUCINATION", 0.8, d0),
+                   (4, 0, False, "INCOMPLETE", 0.9, d0), (4, 1, False, None, 0.9, d0)], src, "b1", 1_000_000_000)
     schema = spark.read.parquet(os.path.join(src, "b1")).schema
-    _write(spark, [(1, 2, True, None, 0.9, d0 + dt.timedelta(hours=2))], src, "b2", 1_000_000_100)
-    _write(spark, [(2, 0, True, None, 0.9, d0 + dt.timedelta(days=3))], src, "b3", 1_000_000_200)
-    _write(spark, [(3, 0, False, "WRONG_ANSWER", 0.9, d0 + dt.timedelta(days=3, hours=1))], src, "b4",
-           1_000_000_300)
+    _write(spark, [(1, 2, True, None, 0.9, d0 + 4 * hour)], src, "b2", 1_000_000_100)
+    _write(spark, [(1, 2, True, None, 0.9, d0 + 5 * hour), (2, 0, True, None, 0.9, d0 + 72 * hour)], src, "b3", 1_000_000_200)
+    _write(spark, [(3, 0, False, "WRONG_ANSWER", 0.9, d0 + 73 * hour)], src, "b4", 1_000_000_300)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
-    out = SJ.panel_close_stream(stream).collect()
-    day0 = [r for r in out if r.scenario_id == 1]
-    assert len(day0) == 1                                   # closed exactly once
-    p = day0[0]
+    out = {r.scenario_id: r for r in SJ.panel_close_stream(stream).collect()}
+    assert sorted(out) == [1, 4]                            # 2 and 3 are still open
+    p = out[1]
     assert (p.pass_votes, p.fail_votes, p.passed, p.agreement_level) == (1, 2, False, "majority")
     assert p.failure_type == "HALLUCINATION"
-    assert not [r for r in out if r.scenario_id in (2, 3)]   # day-3 window is still open
+    q = out[4]
+    assert (q.pass_votes, q.fail_votes, q.agreement_level, q.failure_type) == (0, 2, "unanimous", "INCOMPLETE")
+    assert p.batch_id < q.batch_id
 
 
 def test_live_counters_accumulate_across_batches(spark):

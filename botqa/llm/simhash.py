@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import fresh, staged
 
 #: Words of a shingle, bits that may differ, and the hash's seed.
 SHINGLE_WORDS, DISTANCE, SEED = 3, 3, 42
@@ -217,21 +217,35 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = small
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """A row per row of ``docs`` (``doc_id``, ``text``): doc_id, fp, component_id."""
-    prints = staged(with_fingerprints(docs.select("doc_id", "text"), size=size), "simhash")
+def _grouped(docs: DataFrame, size: int, distance: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows (doc_id, h: hash of the text, fp), and of each
+    fingerprint its smallest id (least), root and component_id."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    prints = staged(with_fingerprints(rows, size=size), "simhash")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     root = components(links(nodes.select("fp"), distance, block))
     named = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(named.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that of the smallest id, with the columns
-    of ``docs``.  Rows without an id can't be named as copies and stay."""
-    found = near_duplicates(docs, **options)
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, staged(named.join(smallest, "root").select("fp", "least", "root", "component_id"), "simhash-components")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """A row per row of ``docs`` (``doc_id``, ``text``): doc_id, fp, component_id."""
+    prints, named = _grouped(docs, size, distance, block)
+    return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """One document of each component, that of the smallest id (of rows with this
+    id, the one of the smallest fingerprint, then text hash), with the columns of
+    ``docs``.  Rows of one id with unlike texts are documents of their own.  Rows
+    without an id can't be named as copies and stay."""
+    prints, named = _grouped(docs, size, distance, block)
+    first = named.where("least = component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.min("least").alias("doc_id"))
+    h, kept_id, kept_h = (fresh(docs, x) for x in ("h", "kept_id", "kept_h"))
+    kept = (prints.join(first.select("doc_id", "fp"), ["doc_id", "fp"]).groupBy("doc_id", "fp").agg(F.min("h").alias("h"))
+            .select(F.col("doc_id").alias(kept_id), F.col("h").alias(kept_h)))
+    hashed = docs.where("doc_id is not null").withColumn(h, F.xxhash64("text"))
+    one = (hashed.join(kept, (F.col("doc_id") == F.col(kept_id)) & (F.col(h) == F.col(kept_h)), "left_semi")
+           .dropDuplicates(["doc_id", h]))
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -170,6 +170,19 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows of one id with unlike texts are documents of their own; equal rows and
+    copies under other ids go; rows without an id stay."""
+    rng = random.Random(8)
+    texts = [" ".join("w%d" % rng.randrange(500) for _ in range(60)) for _ in range(4)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (7, texts[1]), (3, texts[2]), (9, texts[2]), (None, texts[2]), (None, texts[3]), (8, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_h", F.lit(1)).withColumn("fp", F.lit("clash"))
+    got = simhash.first_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == sorted(
+        [(5, texts[0]), (5, texts[1]), (3, texts[2]), (0, texts[2]), (0, texts[3]), (2, "")])
+
+
 def test_every_close_pair_meets_under_a_chain_key(spark):
     rng = random.Random(11)
     pairs = []

@@ -71,6 +71,68 @@ def test_mst_weight_equals_prim(spark):
     assert abs(tree.w.sum() - w) < 1e-9
 
 
+def _excess_of_mass(vectors, least=3):
+    """Clusters of one run from the full matrix, top down: an independent
+    restatement without a spanning tree or a dendrogram."""
+    d = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(-1))
+    off = d.copy()
+    np.fill_diagonal(off, np.inf)
+    core = off.min(1)
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+
+    def parts(members, below):
+        left, found = set(members), []
+        while left:
+            group, edge = set(), [left.pop()]
+            while edge:
+                x = edge.pop()
+                group.add(x)
+                near = [y for y in left if reach[x, y] < below]
+                left.difference_update(near)
+                edge += near
+            found.append(sorted(group))
+        return found
+
+    def best(members, birth, root=False):
+        """(excess of mass, clusters chosen) of the cluster that starts as ``members``."""
+        everyone, mass = list(members), 0.0
+        heights = np.unique(reach[np.ix_(members, members)][~np.eye(len(members), dtype=bool)])[::-1]
+        for height in heights:
+            split = parts(members, height)
+            if len(split) == 1:
+                continue
+            big = [p for p in split if len(p) >= least]
+            stay = big[0] if len(big) == 1 else []
+            mass += (len(members) - len(stay)) * (1 / height - birth)
+            if len(big) == 1:
+                members = stay
+                continue
+            kids = [best(p, 1 / height) for p in big]
+            inner = sum(k[0] for k in kids)
+            if kids and (root or inner > mass):
+                return inner, [c for k in kids for c in k[1]]
+            break
+        return mass, ([] if root else [everyone])
+
+    return {frozenset(c) for c in best(list(range(len(vectors))), 0.0, root=True)[1]}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_selection_equals_an_independent_restatement(spark, seed):
+    """Blobs of unlike density, some inside others, and noise."""
+    rng = np.random.default_rng(seed)
+    parts = [rng.normal(c, s, (n, 3)) for c, s, n in [(0, 1.0, 14), (4, 0.2, 9), (4.9, 0.2, 6), (-6, 0.5, 5), (12, 3.0, 8)]]
+    vectors = np.concatenate([*parts, rng.uniform(-15, 15, (5, 3))])
+    points = spark.createDataFrame([("r", i, [float(x) for x in v]) for i, v in enumerate(vectors)],
+                                   "run_id string, result_id long, embedding array<double>")
+    rows = C.density_clusters(points, block_size=16).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.cluster, set()).add(r.result_id)
+    got.pop(-1, None)
+    assert {frozenset(c) for c in got.values()} == _excess_of_mass(vectors)
+
+
 def test_small_runs_are_not_clustered(spark):
     rows = [("tiny", i, [float(i), 0.0]) for i in range(4)]
     df = spark.createDataFrame(rows, "run_id string, result_id long, embedding array<double>")

@@ -46,35 +46,38 @@ def _topk(df: DataFrame, k: int, order: list[Column], key: str = "company") -> D
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _vocabulary_words(content: str, stop_words: Sequence[str], punctuation: str = S.VOCAB_PUNCTUATION) -> Column:
+    cleaned = F.translate(F.lower(content), punctuation, " " * len(punctuation))
+    return F.filter(py_split_words(cleaned), lambda w: (F.length(w) > 2) & ~w.isin(list(stop_words)))
+
+
 def vocabulary(tiered: DataFrame, stop_words: Sequence[str] = tuple(S.STOP_WORDS),
                k: int = S.VOCAB_TOP_K, punctuation: str = S.VOCAB_PUNCTUATION) -> DataFrame:
     """A-09: top-k user words (lower, punctuation -> space, stop words and
     words of <= 2 chars dropped), ties by first occurrence."""
     user = tiered.where(F.col("role") == "user")
-    cleaned = F.translate(F.lower("content"), punctuation, " " * len(punctuation))
-    words = user.select("company", *ORDER, F.posexplode(py_split_words(cleaned)).alias("pos", "word"))
-    words = words.where((F.length("word") > 2) & ~F.col("word").isin(list(stop_words)))
+    words = user.select("company", *ORDER, F.posexplode(_vocabulary_words("content", stop_words, punctuation)).alias("pos", "word"))
     g = words.groupBy("company", "word").agg(F.count(F.lit(1)).alias("n"),
                                              _first([*ORDER, "pos"]).alias("_first"))
     return _topk(g, k, [F.desc("n"), F.col("_first")]).select("company", "rank", "word", "n")
 
 
+def _topic_counts(content: str, taxonomy: Mapping[str, Sequence[str]]) -> Column:
+    """Array of (topic_ord, topic, n): keyword occurrences of each topic in a message."""
+    low, per_topic = F.lower(content), []
+    for i, (topic, kws) in enumerate(taxonomy.items()):
+        n = sum((count_occurrences(low, kw) for kw in kws), F.lit(0).cast("bigint"))
+        per_topic.append(F.struct(F.lit(i).alias("topic_ord"), F.lit(topic).alias("topic"), n.cast("bigint").alias("n")))
+    return F.array(*per_topic)
+
+
 def topics(tiered: DataFrame, taxonomy: Mapping[str, Sequence[str]] = S.TOPIC_KEYWORDS) -> DataFrame:
     """A-10: keyword occurrences per topic over HIGH+MEDIUM user messages;
     topics with hits, by count desc then taxonomy order.  Counts are
     non-overlapping substring counts per message (a spaced keyword that
     would only match across two joined messages is not counted)."""
     user = tiered.where(F.col("tier").isin("HIGH", "MEDIUM") & (F.col("role") == "user"))
-    low = F.lower("content")
-    per_topic = []
-    for i, (topic, kws) in enumerate(taxonomy.items()):
-        n = None
-        for kw in kws:
-            term = count_occurrences(low, kw)
-            n = term if n is None else n + term
-        per_topic.append(F.struct(F.lit(i).alias("topic_ord"), F.lit(topic).alias("topic"),
-                                  (n if n is not None else F.lit(0).cast("bigint")).alias("n")))
-    ex = user.select("company", F.explode(F.array(*per_topic)).alias("t")).select("company", "t.*")
+    ex = user.select("company", F.explode(_topic_counts("content", taxonomy)).alias("t")).select("company", "t.*")
     g = ex.groupBy("company", "topic_ord", "topic").agg(F.sum("n").cast("bigint").alias("n"))
     g = g.where(F.col("n") > 0)
     w = Window.partitionBy("company").orderBy(F.desc("n"), "topic_ord")
@@ -160,17 +163,20 @@ def successful_resolutions(tiered: DataFrame, words: Sequence[str] = tuple(S.SUC
     return _ordered_distinct(f, k)
 
 
+def _tone(content: str, tones: Mapping[str, Sequence[str]]) -> Column:
+    tone = F.lit("neutral")
+    for name, kws in reversed(list(tones.items())):
+        tone = F.when(contains_any(F.lower(content), kws), F.lit(name)).otherwise(tone)
+    return tone
+
+
 def emotional_tone(tiered: DataFrame, tones: Mapping[str, Sequence[str]] = S.TONE_KEYWORDS,
                    companies: DataFrame | None = None) -> DataFrame:
     """A-14: share of HIGH+MEDIUM user messages per tone (first matching tone in
     order, else neutral), in percent to 1 dp; zero tones dropped; a company
     without such messages gets neutral 100."""
     user = tiered.where(F.col("tier").isin("HIGH", "MEDIUM") & (F.col("role") == "user"))
-    low = F.lower("content")
-    tone = F.lit("neutral")
-    for name, kws in reversed(list(tones.items())):
-        tone = F.when(contains_any(low, kws), F.lit(name)).otherwise(tone)
-    g = user.groupBy("company", tone.alias("tone")).agg(F.count(F.lit(1)).alias("n"))
+    g = user.groupBy("company", _tone("content", tones).alias("tone")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("company")
     out = g.select("company", "tone", py_round(F.col("n") / F.sum("n").over(w) * 100, 1).alias("pct"))
     if companies is not None:
@@ -214,25 +220,66 @@ def persona_hints(tiered: DataFrame, groups=S.PERSONA_HINT_GROUPS,
 def insights(conv: DataFrame, *, stop_words=tuple(S.STOP_WORDS), taxonomy=S.TOPIC_KEYWORDS,
              markers=tuple(S.INFORMAL_MARKERS), tones=S.TONE_KEYWORDS,
              groups=S.PERSONA_HINT_GROUPS) -> DataFrame:
-    """A-17: one insight row per company joining the eight extractions.
-    Lists are ordered by rank; each is bounded by its top-k (<= 50 items)."""
-    t = tier_messages(conv)
-    companies = conv.groupBy("company").agg(F.count(F.lit(1)).alias("total_conversations_analyzed"))
+    """A-17: one insight row per company with the extractions A-09..A-16.
 
-    def as_list(df, val):
-        return df.groupBy("company").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", val))), lambda s: s[val]).alias(val))
-
-    vocab = as_list(vocabulary(t, stop_words), "word").withColumnRenamed("word", "user_vocabulary")
-    tops = as_list(topics(t, taxonomy), "topic").withColumnRenamed("topic", "top_issue_categories")
-    trig = as_list(failure_triggers(t), "text").withColumnRenamed("text", "failure_triggers")
-    res = as_list(successful_resolutions(t), "text").withColumnRenamed("text", "successful_resolutions")
-    hints = as_list(persona_hints(t, groups), "hint").withColumnRenamed("hint", "extracted_personas")
+    The ranked lists and the tone shares come from one pass: a message gives
+    (kind, value, n) entries, one aggregate counts them and one window ranks
+    them within (company, kind).  Lists are ordered by rank and bounded by
+    their top-k; a list without entries is null.
+    """
+    t = tier_messages(conv)
+    user, high = F.col("role") == "user", F.col("tier") == "HIGH"
+    told = user & F.col("tier").isin("HIGH", "MEDIUM")
+    outcome, hint = F.lower("outcome"), persona_hint(F.col("content"), groups)
+
+    def entry(kind, value, n=F.lit(1), ord_=F.lit(0), pos=F.lit(0)):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), n.cast("bigint").alias("n"),
+                        ord_.alias("ord"), pos.alias("pos"))
+
+    entries = F.flatten(F.array_compact(F.array(
+        F.when(user, F.transform(_vocabulary_words("content", stop_words), lambda w, i: entry("word", w, pos=i))),
+        F.when(told, F.transform(F.filter(_topic_counts("content", taxonomy), lambda x: x["n"] > 0),
+                                 lambda x: entry("topic", x["topic"], x["n"], x["topic_ord"]))),
+        F.when(told, F.array(entry("tone", _tone("content", tones)))),
+        F.when(user & high & contains_any(outcome, S.FAILURE_OUTCOME_WORDS), F.array(entry("trigger", F.col("content")))),
+        F.when((F.col("role") == "assistant") & high & contains_any(outcome, S.SUCCESS_OUTCOME_WORDS),
+               F.array(entry("resolution", F.col("content")))),
+        F.when(user & high & (hint != ""), F.array(entry("hint", hint))))))
+    counted = (t.select("company", *ORDER, F.explode(entries).alias("e"))
+               .groupBy("company", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"))
+               .agg(F.sum("e.n").alias("n"), F.min(F.struct("e.ord", *ORDER, "e.pos")).alias("_first")))
+
+    limits = {"word": S.VOCAB_TOP_K, "trigger": S.TRIGGERS_TOP_K, "resolution": S.TRIGGERS_TOP_K,
+              "hint": S.PERSONA_HINTS_TOP_K}
+    most = max(*limits.values(), len(taxonomy), len(tones) + 1)  # topics and tones are never cut
+    limit = F.lit(most)
+    for kind, k in limits.items():
+        limit = F.when(F.col("kind") == kind, k).otherwise(limit)
+    by_count = F.when(F.col("kind").isin("trigger", "resolution"), F.lit(0)).otherwise(-F.col("n"))
+    w = Window.partitionBy("company", "kind").orderBy(by_count, "_first")
+    top = (counted.withColumn("rank", F.row_number().over(w))
+           .where((F.col("rank") <= most) & (F.col("rank") <= limit)))
+
+    def listed(kind):
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "value", "n")))).alias(kind)
+
+    lists = top.groupBy("company").agg(*[listed(k) for k in ("word", "topic", "tone", *list(limits)[1:])])
+
+    def values(kind):
+        return F.when(F.size(kind) > 0, F.transform(kind, lambda x: x["value"]))
+
+    told_n = F.aggregate("tone", F.lit(0).cast("bigint"), lambda n, x: n + x["n"])
+    shares = F.map_from_entries(F.transform("tone", lambda x: F.struct(
+        x["value"].alias("tone"), py_round(x["n"] / told_n * 100, 1).alias("pct"))))
+    said = user & (F.col("content") != "")
+    companies = conv.groupBy("company").agg(
+        F.count(F.lit(1)).alias("total_conversations_analyzed"),
+        F.try_divide(F.sum(F.when(said, F.length("content"))), F.count_if(said)).cast("bigint").alias("avg_message_length"))
     lang = language_patterns(t, markers).select("company", F.split("patterns", ",").alias("dominant_language_patterns"))
-    tone = emotional_tone(t, tones, companies).groupBy("company").agg(
-        F.map_from_entries(F.collect_list(F.struct("tone", "pct"))).alias("emotional_tone_distribution"))
-    avg = avg_message_length(t)
-    out = companies
-    for part in (vocab, tops, lang, trig, res, tone, avg, hints):
-        out = out.join(part, "company", "left")
-    return out
+    return (companies.join(lists, "company", "left").join(lang, "company", "left").select(
+        "company", "total_conversations_analyzed", values("word").alias("user_vocabulary"),
+        values("topic").alias("top_issue_categories"), "dominant_language_patterns",
+        values("trigger").alias("failure_triggers"), values("resolution").alias("successful_resolutions"),
+        F.when(F.size("tone") > 0, shares).otherwise(F.create_map(F.lit("neutral"), F.lit(100.0)))
+        .alias("emotional_tone_distribution"),
+        "avg_message_length", values("hint").alias("extracted_personas")))

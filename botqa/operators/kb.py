@@ -70,14 +70,17 @@ def plan_variations(docs: DataFrame, challenge_types: Sequence[str] = tuple(CHAL
 
 def grounded_slots(kb_docs: DataFrame, count: int = GROUNDED_COUNT) -> DataFrame:
     """K-04: ``max(1, count // docs)`` question slots per document, then the
-    first ``count`` overall (document order).  Slots per doc is a small
-    constant, so the explode is bounded; the final cut is a per-kb
-    ``row_number`` over at most docs x slots rows."""
+    first ``count`` overall (document order).  Every document has a slot, so
+    only the first ``count`` documents of a kb can reach the cut: they are
+    taken first (partial limit before the shuffle), and the counts are joined
+    to those rows instead of the corpus."""
     n_docs = kb_docs.groupBy("kb").agg(F.count(F.lit(1)).alias("_docs"))
     per = F.greatest(F.lit(1), F.floor(F.lit(count) / F.greatest(F.lit(1), F.col("_docs")))).cast("int")
-    d = kb_docs.join(n_docs, "kb").withColumn("_per", per)
-    s = d.select("kb", "doc_id", "doc_ord", "is_synthetic",
-                 F.explode(F.sequence(F.lit(0), F.col("_per") - 1)).alias("q"))
+    first = (kb_docs.select("kb", "doc_id", "doc_ord", "is_synthetic")
+             .withColumn("_rn", F.row_number().over(Window.partitionBy("kb").orderBy("doc_ord")))
+             .where(F.col("_rn") <= count).drop("_rn"))
+    s = first.join(n_docs.select("kb", per.alias("_per")), "kb").select(
+        "kb", "doc_id", "doc_ord", "is_synthetic", F.explode(F.sequence(F.lit(0), F.col("_per") - 1)).alias("q"))
     w = Window.partitionBy("kb").orderBy("doc_ord", "q")
     return s.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= count).drop("_rn")
 

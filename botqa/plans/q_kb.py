@@ -210,9 +210,8 @@ def pr14_grounded_prompts(t):
     d = _docs(t)
     n = d.groupBy("kb").agg(F.count(F.lit(1)).alias("_n"))
     cnt = F.greatest(F.lit(1), F.floor(F.lit(200) / F.greatest(F.lit(1), F.col("_n")))).cast("bigint")
-    j = d.join(n, "kb")
-    return j.select("kb", "doc_id", P.render(P.GROUNDED_QA_PROMPT, content=F.substring("content", 1, 3000),
-                                             count=cnt).alias("prompt"))
+    j = d.select("kb", "doc_id", F.substring("content", 1, 3000).alias("content")).join(n, "kb")
+    return j.select("kb", "doc_id", P.render(P.GROUNDED_QA_PROMPT, content=F.col("content"), count=cnt).alias("prompt"))
 
 
 _DESC_SQL = "CASE challenge_type " + " ".join(

@@ -61,14 +61,13 @@ def append_run_events(events: DataFrame, path: str) -> None:
 def current_runs(events: DataFrame) -> DataFrame:
     """SRC-03 + SRC-04: state of every run = per column the value of the
     latest event that set it (non-null); runs with a delete tombstone are
-    dropped.  One hash aggregate on run_id + one anti-join."""
-    order = F.struct("event_ts", "seq")
-    ups = events.where(F.col("op") == "upsert")
-    aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in RUN_COLUMNS
+    dropped.  One hash aggregate on run_id."""
+    order, upsert = F.struct("event_ts", "seq"), F.col("op") == "upsert"
+    aggs = [F.max_by(c, F.when(upsert & F.col(c).isNotNull(), order)).alias(c) for c in RUN_COLUMNS
             if c in events.columns]
-    state = ups.groupBy("run_id").agg(*aggs)
-    deleted = events.where(F.col("op") == "delete").select("run_id")
-    return state.join(deleted, "run_id", "left_anti")
+    state = events.groupBy("run_id").agg(*aggs, F.count_if(upsert).alias("_upserts"),
+                                         F.count_if(F.col("op") == "delete").alias("_deletes"))
+    return state.where("_upserts > 0 and _deletes = 0").drop("_upserts", "_deletes")
 
 
 def decode_payloads(runs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ Aggregations are partial+final hash aggregates; the only windows run over
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,21 +83,26 @@ def _examples(df: DataFrame, keys: list[str], seq_col: str, n: int) -> DataFrame
 
 
 def patterns_by_type(failed: DataFrame, run_col: str = "run_id", seq_col: str = "seq",
-                     noise: bool = False) -> DataFrame:
+                     noise: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """A-05 (clustering skipped) and A-06 (noise points): one pattern per
     failure type of a run; a null type is keyed ``UNKNOWN`` and labelled
-    WRONG_ANSWER.  Sorted by size (K-01), ties by first appearance."""
+    WRONG_ANSWER.  Sorted by size (K-01), ties by first appearance.
+
+    ``carry``: columns that depend on the run alone, kept beside the pattern.
+    One aggregate over the failures; totals and ranks are windows over it."""
     f = failed.withColumn("_key", _type_key())
-    totals = failed.groupBy(run_col).agg(F.count(F.lit(1)).alias("_total"))
-    g = f.groupBy(run_col, "_key").agg(F.count(F.lit(1)).alias("scenario_count"),
-                                       F.min(seq_col).alias("_first"))
-    ex = _examples(f, [run_col, "_key"], seq_col, S.PATTERN_EXAMPLES)
-    out = g.join(totals, run_col).join(ex, [run_col, "_key"])
+    out = f.groupBy(run_col, "_key").agg(F.count(F.lit(1)).alias("scenario_count"), F.min(seq_col).alias("_first"),
+                                         *[F.min(c).alias(c) for c in carry])
+    out = out.withColumn("_total", F.sum("scenario_count").over(Window.partitionBy(run_col)))
+    if "actual_response" in failed.columns:
+        out = out.join(_examples(f, [run_col, "_key"], seq_col, S.PATTERN_EXAMPLES), [run_col, "_key"])
+    else:  # no reply text carried: no examples
+        out = out.withColumn("examples", F.array().cast("array<string>"))
     ptype = _pattern_type(F.col("_key"))
     out = out.select(
         run_col, F.col("_key").alias("type_key"), ptype.alias("failure_type"), "scenario_count",
         py_round(F.col("scenario_count") / F.col("_total") * 100, 1).alias("pct_of_failures"),
-        "examples", default_priority(ptype).alias("priority"), "_first")
+        "examples", default_priority(ptype).alias("priority"), "_first", *carry)
     if noise:
         out = (out.withColumn("root_cause", F.concat(F.lit("Isolated "), F.col("type_key"),
                                                      F.lit(" failures — unique cases")))

@@ -13,15 +13,13 @@ from .registry import register
 
 def _patterns(t):
     res = FX.results(t).withColumn("seq", F.col("result_id"))
-    pats = AN.patterns_by_type(res.where(~F.col("passed")))
-    comp = res.select("run_id", "company").distinct()
+    pats = AN.patterns_by_type(res.where(~F.col("passed")), carry=["company"])
     k = F.substring("company", 4, 8).cast("int") % 3
     st = F.when(k == 0, "CUSTOMER_SUPPORT").when(k == 1, "RAG").otherwise("MULTI_AGENT")
-    return (pats.join(comp, "run_id")
-                .select("run_id", "pattern_rank", "failure_type", "priority",
-                        F.col("scenario_count").alias("affected_scenarios"),
-                        F.lower("type_key").alias("cluster_label"), F.lit("").alias("root_cause"),
-                        st.alias("system_type")))
+    return pats.select("run_id", "pattern_rank", "failure_type", "priority",
+                       F.col("scenario_count").alias("affected_scenarios"),
+                       F.lower("type_key").alias("cluster_label"), F.lit("").alias("root_cause"),
+                       st.alias("system_type"))
 
 
 def _fixes(t):

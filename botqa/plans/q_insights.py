@@ -8,7 +8,7 @@ from .. import schemas as S
 from ..operators import insights as I
 from ..sources import fixtures as FX
 from . import params as PP
-from .registry import register
+from .registry import QUERIES, register
 
 # tiered messages, as SQL
 _TIER = """
@@ -189,8 +189,32 @@ def a16_persona_hints(t):
     return I.persona_hints(_tiered(t)).withColumn("rank", F.col("rank").cast("int"))
 
 
-@register("A17_conversation_insights")
+def _insights_sql():
+    def listed(name, column, field):
+        return (f"SELECT company, string_agg({column}, '|' ORDER BY rank) AS {field} FROM ({QUERIES[name].sql.strip()}) x GROUP BY company")
+    parts = {"voc": listed("A09_vocabulary", "word", "user_vocabulary"), "top": listed("A10_topics", "topic", "top_issue_categories"),
+             "lang": f"SELECT company, patterns AS dominant_language_patterns FROM ({QUERIES['A11_language_patterns'].sql.strip()}) x",
+             "trig": listed("A12_failure_triggers", "text", "failure_triggers"),
+             "res": listed("A13_successful_resolutions", "text", "successful_resolutions"),
+             "tone": "SELECT company, string_agg(tone || '=' || CAST(pct AS VARCHAR), '|' ORDER BY tone) AS emotional_tone_distribution "
+                     f"FROM ({QUERIES['A14_emotional_tone'].sql.strip()}) x GROUP BY company",
+             "len": QUERIES["A15_avg_message_length"].sql.strip(), "hint": listed("A16_persona_hints", "hint", "extracted_personas")}
+    head = ",\n".join(f"{name}_part AS ({body})" for name, body in parts.items())
+    joins = " ".join(f"LEFT JOIN {name}_part USING (company)" for name in parts)
+    return f"""
+WITH {head},
+companies AS (SELECT company, COUNT(*) AS total_conversations_analyzed FROM conv GROUP BY company)
+SELECT * FROM companies {joins}
+"""
+
+
+@register("A17_conversation_insights", _insights_sql())
 def a17_insights(t):
-    """A-17 one insight row per company (arrays and maps)."""
-    return I.insights(FX.conv(t), taxonomy=PP.TEST_TOPICS, markers=PP.TEST_INFORMAL_MARKERS,
-                      tones=PP.TEST_TONES)
+    """A-17 one insight row per company (its lists and shares as text, joined by ``|``)."""
+    found = I.insights(FX.conv(t), taxonomy=PP.TEST_TOPICS, markers=PP.TEST_INFORMAL_MARKERS, tones=PP.TEST_TONES)
+    shares = F.transform(F.array_sort(F.map_entries("emotional_tone_distribution")),
+                         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    lists = ("user_vocabulary", "top_issue_categories", "failure_triggers", "successful_resolutions", "extracted_personas")
+    return (found.withColumns({c: F.array_join(c, "|") for c in lists})
+            .withColumn("dominant_language_patterns", F.array_join("dominant_language_patterns", ","))
+            .withColumn("emotional_tone_distribution", F.array_join(shares, "|")))

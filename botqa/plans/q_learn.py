@@ -167,7 +167,7 @@ def src12_finetune_jsonl(t):
 def _patterns(t):
     res = FX.results(t).withColumn("seq", F.col("result_id"))
     failed = res.where(~F.col("passed"))
-    return AN.patterns_by_type(failed)
+    return AN.patterns_by_type(failed, carry=["company"])
 
 
 @register("A05_patterns_by_type", """
@@ -203,8 +203,7 @@ FROM w LEFT JOIN m ON m.system_hash = w.system_hash
 """)
 def a23_strategy_weights(t):
     """A-23: failure-type weights after folding every run's patterns (system = company)."""
-    pats = _patterns(t).join(FX.results(t).select("run_id", "company").distinct(), "run_id")
-    pats = pats.withColumnRenamed("company", "system_hash")
+    pats = _patterns(t).withColumnRenamed("company", "system_hash")
     runs = FX.runs(t).withColumnRenamed("company", "system_hash")
     return L.strategy_weights(pats, runs)
 
@@ -226,8 +225,7 @@ fp AS (SELECT p.company, string_agg(lower(type_key) || ':' || failure_type || ':
 
 def _strategy(t):
     """Strategy state of every system (system = company), folded in two steps."""
-    res = FX.results(t)
-    pats = _patterns(t).join(res.select("run_id", "company").distinct(), "run_id").select(
+    pats = _patterns(t).select(
         F.col("company").alias("system_hash"), "run_id", "pattern_rank", F.lower("type_key").alias("cluster_label"),
         F.lit("").alias("root_cause"), "failure_type", "scenario_count")
     runs = FX.runs(t).withColumnRenamed("company", "system_hash")

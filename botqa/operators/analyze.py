@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -83,19 +83,21 @@ def _examples(df: DataFrame, keys: list[str], seq_col: str, n: int) -> DataFrame
 
 
 def patterns_by_type(failed: DataFrame, run_col: str = "run_id", seq_col: str = "seq",
-                     noise: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+                     noise: bool = False, only: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """A-05 (clustering skipped) and A-06 (noise points): one pattern per
     failure type of a run; a null type is keyed ``UNKNOWN`` and labelled
     WRONG_ANSWER.  Sorted by size (K-01), ties by first appearance.
 
-    ``carry``: columns that depend on the run alone, kept beside the pattern.
-    One aggregate over the failures; totals and ranks are windows over it."""
-    f = failed.withColumn("_key", _type_key())
-    out = f.groupBy(run_col, "_key").agg(F.count(F.lit(1)).alias("scenario_count"), F.min(seq_col).alias("_first"),
-                                         *[F.min(c).alias(c) for c in carry])
-    out = out.withColumn("_total", F.sum("scenario_count").over(Window.partitionBy(run_col)))
+    ``only``: the failures that form patterns; shares are of all failures of the
+    run.  ``carry``: columns that depend on the run alone, kept beside the
+    pattern.  One aggregate over the failures; totals and ranks are windows
+    over it."""
+    f, only = failed.withColumn("_key", _type_key()), F.lit(True) if only is None else only
+    out = f.groupBy(run_col, "_key").agg(F.count(F.lit(1)).alias("_all"), F.count_if(only).alias("scenario_count"),
+                                         F.min(F.when(only, F.col(seq_col))).alias("_first"), *[F.min(c).alias(c) for c in carry])
+    out = out.withColumn("_total", F.sum("_all").over(Window.partitionBy(run_col))).where("scenario_count > 0")
     if "actual_response" in failed.columns:
-        out = out.join(_examples(f, [run_col, "_key"], seq_col, S.PATTERN_EXAMPLES), [run_col, "_key"])
+        out = out.join(_examples(f.where(only), [run_col, "_key"], seq_col, S.PATTERN_EXAMPLES), [run_col, "_key"])
     else:  # no reply text carried: no examples
         out = out.withColumn("examples", F.array().cast("array<string>"))
     ptype = _pattern_type(F.col("_key"))
@@ -145,6 +147,30 @@ def cluster_patterns(failed: DataFrame, run_col: str = "run_id", cluster_col: st
         "examples", default_priority(F.col("dominant_type")).alias("priority"), "_first")
 
 
+def failure_patterns(labelled: DataFrame, run_col: str = "run_id", cluster_col: str = "cluster",
+                     seq_col: str = "seq") -> DataFrame:
+    """A-05 + A-06 + A-07 + K-01: the pattern table of every run.  Clusters
+    (>= 0) give a pattern each (to be labelled, S-11), noise (-1) one per
+    failure type, and failures without a cluster (runs below the gate, C-03)
+    one per failure type too.  By size; ties: clusters before noise, then by
+    first appearance."""
+    label = F.col(cluster_col)
+    texts = ("cluster_label", "root_cause", "evidence", "immediate_fix")
+    none = {c: F.lit(None).cast("string") for c in ("type_key", *texts)}
+    columns = [run_col, cluster_col, "type_key", "failure_type", "scenario_count", "pct_of_failures", "examples", "priority",
+               *texts, "_kind", "_first"]
+    real = cluster_patterns(labelled, run_col, cluster_col, seq_col).withColumns({**none, "_kind": F.lit(0)})
+    place = F.col("pattern_rank").cast("bigint")
+    noise = patterns_by_type(labelled, run_col, seq_col, noise=True, only=label == -1).withColumns(
+        {cluster_col: F.lit(-1), "_kind": F.lit(1), "_first": place})
+    rest = patterns_by_type(labelled, run_col, seq_col, only=label.isNull()).withColumns(
+        {**{c: none[c] for c in texts[1:]}, "cluster_label": F.lower("type_key"), cluster_col: F.lit(None).cast("int"),
+         "_kind": F.lit(1), "_first": place})
+    out = real.select(columns).unionByName(noise.select(columns)).unionByName(rest.select(columns))
+    w = Window.partitionBy(run_col).orderBy(F.desc("scenario_count"), "_kind", "_first")
+    return out.withColumn("pattern_rank", F.row_number().over(w)).drop("_kind", "_first")
+
+
 def cluster_counts(failed: DataFrame, run_col: str = "run_id", cluster_col: str = "cluster") -> DataFrame:
     """A-08: clusters found (noise excluded) and noise size per run."""
     return failed.groupBy(run_col).agg(

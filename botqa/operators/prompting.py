@@ -73,8 +73,9 @@ def summary_prompts(stats: DataFrame, patterns: DataFrame, key: str, company_col
 
 
 def improvement_prompts(report: DataFrame, stats: DataFrame, key: str, company_col: str = "company") -> DataFrame:
-    """PR-13: improvement-estimate prompt per run from the A-27/A-28 numbers."""
-    j = report.join(stats, key)
+    """PR-13: improvement-estimate prompt per run from the A-27/A-28 numbers;
+    a run without patterns has no fixes and is not asked about."""
+    j = report.where("total_fixes > 0").join(stats, key)
     return j.select(key, P.render(
         P.IMPROVEMENT_PROMPT, company=company_col, current_pct=py_round(F.col("pass_rate") * 100, 1),
         n_fixes="total_fixes", n_high="high_priority_count", high_scenarios="high_priority_scenarios",

@@ -51,6 +51,11 @@ def a07_cluster_patterns(t):
 
 @register("A06_noise_patterns")
 def a06_noise_patterns(t):
-    """A-06: noise points grouped by failure type with the fixed texts."""
-    noise = _labelled(t).where(F.col("cluster") == -1)
-    return AN.patterns_by_type(noise, noise=True).drop("examples")
+    """A-06: noise points grouped by failure type with the fixed texts (shares of all failures of the run)."""
+    return AN.patterns_by_type(_labelled(t), noise=True, only=F.col("cluster") == -1).drop("examples")
+
+
+@register("K01_failure_patterns")
+def k01_failure_patterns(t):
+    """A-05..A-07, K-01: clusters, noise and unclustered failures in one pattern table per run, by size."""
+    return AN.failure_patterns(_labelled(t)).drop("examples")

@@ -11,8 +11,8 @@ from ..sources import fixtures as FX
 from .registry import register
 
 
-def _patterns(t):
-    res = FX.results(t).withColumn("seq", F.col("result_id"))
+def _patterns(t, res=None):
+    res = (FX.results(t) if res is None else res).withColumn("seq", F.col("result_id"))
     pats = AN.patterns_by_type(res.where(~F.col("passed")), carry=["company"])
     k = F.substring("company", 4, 8).cast("int") % 3
     st = F.when(k == 0, "CUSTOMER_SUPPORT").when(k == 1, "RAG").otherwise("MULTI_AGENT")
@@ -22,9 +22,9 @@ def _patterns(t):
                        st.alias("system_type"))
 
 
-def _fixes(t):
-    plan = FXO.apply_fix_replies(FXO.fix_plan(_patterns(t)))
-    res = FX.results(t)
+def _fixes(t, res=None):
+    res = FX.results(t) if res is None else res
+    plan = FXO.apply_fix_replies(FXO.fix_plan(_patterns(t, res)))
     stats = AN.run_statistics(res)
     pairs = (res.where(~F.col("passed") & F.col("failure_type").isNotNull())
                 .groupBy("run_id").agg(F.count(F.lit(1)).alias("pairs")))

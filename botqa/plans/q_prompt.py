@@ -8,11 +8,13 @@ from ..functions import prompts as P
 from ..functions.infer import HashJudgeClient, infer
 from ..functions.numeric import py_round_sql
 from ..operators import analyze as AN
+from ..operators import fix as FXO
 from ..operators import judge as J
 from ..operators import prompting as PM
 from ..operators import rubric as RB
 from ..sources import fixtures as FX
 from . import params as PP
+from . import q_fix as QFX
 from . import q_rubric as _QR
 from .registry import QUERIES, register
 
@@ -151,19 +153,19 @@ def pr08_summary_prompts(t):
     return PM.summary_prompts(stats, p, "run")
 
 
-@register("PR13_improvement_prompts")
+@register("PR13_improvement_prompts", QFX.report_sql(f"""
+SELECT run_id, {render_sql(P.IMPROVEMENT_PROMPT, company="substr(run_id, 1, 4)", current_pct=py_round_sql("pr * 100", 1),
+                           n_fixes="total_fixes", n_high="h", high_scenarios="hs", failures="failed_count")} AS prompt
+FROM y WHERE total_fixes > 0
+"""))
 def pr13_improvement_prompts(t):
     """PR-13: improvement-estimate prompt per run from the fix report numbers."""
-    from ..operators import fix as FXO
-    from .q_fix import _fixes
-    fixes, stats = _fixes(t)
-    rep = FXO.fix_report(fixes, stats)
-    comp = FX.results(t).select("run_id", "company").distinct()
-    return PM.improvement_prompts(rep, stats.join(comp, "run_id"), "run_id")
+    fixes, stats = QFX._fixes(t)
+    company = F.substring_index("run_id", "_", 2).alias("company")
+    return PM.improvement_prompts(FXO.fix_report(fixes, stats), stats.select("*", company), "run_id")
 
 
 def _fix_prompt_inputs(t):
-    from ..operators import fix as FXO
     from . import q_rubric as QR
     _, failed, pats = _failed_patterns(t)
     s = QR._systems(t)

@@ -40,14 +40,19 @@ _INF = float("inf")
 # ---------------------------------------------------------------------------
 def text_embeddings(df: DataFrame, text_col: str = "actual_response", dim: int = 256) -> DataFrame:
     """C-01 fallback when no embedding column is given: hashed term
-    frequencies (MLlib HashingTF over a regex tokenizer), L2-normalised."""
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    frequencies (MLlib HashingTF over a regex tokenizer) weighted by inverse
+    document frequency and L2-normalised.  The frequencies of all rows are
+    counted when this is called; ``dim`` numbers reach the driver."""
+    from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", minTokenLength=1)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
-    norm = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0)
+    idf = IDF(inputCol="_tf", outputCol="_weighted")
+    norm = Normalizer(inputCol="_weighted", outputCol="_vec", p=2.0)
     from pyspark.ml.functions import vector_to_array
-    out = norm.transform(tf.transform(tok.transform(df)))
-    return out.withColumn("embedding", vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_vec")
+    counted = tf.transform(tok.transform(df))
+    weighted = counted.withColumn("_weighted", F.col("_tf")) if counted.isEmpty() else idf.fit(counted).transform(counted)
+    return (norm.transform(weighted).withColumn("embedding", vector_to_array("_vec", "float32"))
+            .drop("_tok", "_tf", "_weighted", "_vec"))
 
 
 # ---------------------------------------------------------------------------

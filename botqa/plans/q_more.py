@@ -203,7 +203,7 @@ def a40_summary(t):
 # --------------------------------------------------------------------- C-01
 @register("C01_text_embeddings")
 def c01_text_embeddings(t):
-    """C-01 fallback: hashed term-frequency embeddings (L2-normalised) of every bot reply."""
+    """C-01 fallback: hashed TF-IDF embeddings (L2-normalised) of every bot reply."""
     r = FX.responses(t).where(F.col("actual_response").isNotNull())
     e = C.text_embeddings(r.select("scenario_id", "actual_response"), dim=256)
     return e.select("scenario_id", F.size("embedding").alias("dim"),

@@ -161,3 +161,14 @@ def test_an_incomplete_forest_is_an_error(spark):
     core = points.select("run", "pid", F.lit(0.0).alias("core"))
     with pytest.raises(RuntimeError, match="not complete"):
         C.mst(points, core, max_rounds=1)
+
+
+def test_text_embeddings_weigh_rare_words(spark):
+    import math
+    texts = ["common alpha", "common beta beta", "common"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, actual_response string")
+    a, b, c = (r["embedding"] for r in C.text_embeddings(df, dim=1 << 12).orderBy("id").collect())
+    assert sum(x * x for x in a) == pytest.approx(1) and sum(x * x for x in b) == pytest.approx(1)
+    assert math.sumprod(a, b) == pytest.approx(0)  # the word that all share weighs nothing
+    assert not any(c)
+    assert C.text_embeddings(df.limit(0)).count() == 0

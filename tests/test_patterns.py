@@ -1,6 +1,10 @@
-"""The pattern table of a run: clusters, noise and failures without a cluster."""
+"""The pattern table of a run (clusters, noise and failures without a cluster) and the judge panels."""
 
+from pyspark.sql import functions as F
+
+from botqa import schemas as S
 from botqa.operators import analyze as AN
+from botqa.operators import judge as J
 
 SCHEMA = "run_id string, seq long, cluster int, failure_type string, actual_response string"
 ROWS = [
@@ -33,3 +37,27 @@ def test_patterns_without_reply_text_or_rows(spark):
     bare = AN.failure_patterns(table.drop("actual_response").where("run_id = 'b'")).collect()
     assert sorted(r["scenario_count"] for r in bare) == [1, 2] and all(r["examples"] == [] for r in bare)
     assert AN.failure_patterns(table.limit(0)).count() == 0
+
+
+def test_panel_assignment(spark):
+    pool = [(S.FIXED_FIRST_JUDGE, "specialized", "standard"), ("o1", "openai", "frontier"), ("o2", "openai", "light"),
+            ("a1", "anthropic", "standard"), ("g1", "google", "frontier")]
+    tiers = {"frontier": 1, "standard": 2, "light": 3}
+    targets = [(f"{f}-{t}-{i}", f, t) for f in ("openai", "anthropic", "google") for t in tiers for i in range(12)]
+    table = spark.createDataFrame(targets, "target_id string, target_family string, target_tier string").withColumn(
+        "excluded", F.array().cast("array<string>"))
+    rows = J.assign_panels(table, pool, seed=7).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, J.assign_panels(table.repartition(5), pool, seed=7).collect()))
+    seconds = set()
+    for target, family, tier in targets:
+        panel = {r["slot"]: r["model"] for r in rows if r["target_id"] == target}
+        allowed = {m: tiers[t] for m, f, t in pool[1:] if f != family}
+        strict = {m for m, t in allowed.items() if t <= tiers[tier]}
+        assert panel[1] == S.FIXED_FIRST_JUDGE and sorted(panel) == list(range(1, 2 + min(2, len(allowed))))
+        picked = [panel[s] for s in sorted(panel)[1:]]
+        assert len(set(picked)) == len(picked) and set(picked) <= set(allowed)
+        n = min(len(strict), len(picked))  # the tier rule is relaxed for what is left only
+        assert set(picked[:n]) <= strict and not set(picked[n:]) & strict
+        if family == "google" and tier == "light":
+            seconds.add(picked[0])
+    assert len(seconds) > 1  # the choice differs between targets

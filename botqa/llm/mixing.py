@@ -95,15 +95,37 @@ def place(docs: DataFrame, sizes: DataFrame | None = None, weights: tuple[int, .
             .drop("k", "bucket", "inside", "b", "s", "base"))
 
 
-def copies_by_position(placed: DataFrame, tilt: float = TILT) -> DataFrame:
-    """A row per copy taken with its ``epoch`` and training time ``at`` (0..1),
-    range-sorted by ``at``."""
+#: The order of training; ties beyond it are equal copies.
+TRAINING_ORDER = ("at", "doc_id", "source", "epoch")
+
+
+def timed_copies(placed: DataFrame, tilt: float = TILT) -> DataFrame:
+    """A row per copy taken with its ``epoch`` and training time ``at`` (0..1)."""
     slope = F.when(F.col("place") % 2 == 0, F.lit(tilt)).otherwise(F.lit(-tilt))
     share = (F.col("first") + F.col("epoch") * F.col("source_size") + F.col("size") / 2) / F.col("target")
     # demand up to time t as a share of the target: (1 - slope) t + slope t^2; its inverse, stable near slope 0
     at = 2 * share / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share))
-    rows = placed.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("at", at)
-    return rows.repartitionByRange("at", "doc_id").sortWithinPartitions("at", "doc_id")
+    return placed.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("at", at)
+
+
+def copies_by_position(placed: DataFrame, tilt: float = TILT) -> DataFrame:
+    """The rows of ``timed_copies``, range-sorted by ``at``."""
+    return timed_copies(placed, tilt).repartitionByRange(*TRAINING_ORDER).sortWithinPartitions(*TRAINING_ORDER)
+
+
+def training_positions(docs: DataFrame, max_repeats: int = MAX_REPEATS, tilt: float = TILT, **options) -> DataFrame:
+    """Targets, copies and, for the copy of each pass e = 1 .. max_repeats, its
+    training time at_e (0..1) and its number position_e (from 0) in the order of
+    training: a row per document with ``doc_id``, ``source`` and ``size``; null
+    where a copy isn't taken."""
+    placed = staged(place(docs, max_repeats=max_repeats, **options), "placed")
+    copies = with_row_numbers(timed_copies(placed, tilt), [F.col(c) for c in TRAINING_ORDER], "position")
+    passes = [(c, e) for e in range(max_repeats) for c in ("at", "position")]
+    # documents with copies have a size, so no two of a source share an offset
+    whole = copies.groupBy(*placed.columns).agg(
+        *[F.max(F.when(F.col("epoch") == e, F.col(c))).alias(f"{c}_{e + 1}") for c, e in passes])
+    rest = placed.where("copies = 0").select("*", *[F.lit(None).cast(copies.schema[c].dataType).alias(f"{c}_{e + 1}") for c, e in passes])
+    return whole.unionByName(rest)
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -73,6 +73,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_register
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies that the mix takes of every document, with their training times and positions."""
+    docs = staged(mixing.sized(_table(spark, sf_dir, "documents")), "sizes")
+    passes = [f"{c}_{e + 1}" for e in range(mixing.MAX_REPEATS) for c in ("at", "position")]
+    return mixing.training_positions(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", *passes)
+
+
 @_register
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
@@ -101,6 +109,18 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM c"""
 
 
+_PASSES = ", ".join(f'max(CASE WHEN epoch = {e} THEN n."{c}" END) AS {c}_{e + 1}' for e in range(3) for c in ("at", "position"))
+ORACLE_SQL["op10_training_order"] = ORACLE_SQL["op10_source_mixing"].rpartition("SELECT doc_id, size")[0].rstrip() + f""",
+ i AS (SELECT *, row_number() OVER () AS id, CASE WHEN dense_rank() OVER (ORDER BY source NULLS LAST) % 2 = 1 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS slope FROM c),
+ e AS (SELECT id, doc_id, source, slope, epoch, (first + epoch * source_size + size / 2) / target AS share
+       FROM i, (VALUES (0), (1), (2)) AS passes (epoch) WHERE epoch < copies),
+ a AS (SELECT *, 2 * share / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) AS "at" FROM e),
+ n AS (SELECT *, row_number() OVER (ORDER BY "at", doc_id NULLS FIRST, source NULLS FIRST, epoch) - 1 AS position FROM a)
+SELECT i.doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       any_value(size * copies) AS taken, any_value(i.source) AS source, any_value(copies) AS copies, {_PASSES}
+FROM i LEFT JOIN n ON n.id = i.id GROUP BY i.id, i.doc_id"""
+
+
 @_register
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels with crc32(doc_id) mod 4 = 2 are held out."""

@@ -46,9 +46,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deals the rows out to shards and slots (operator 5): doc_id, source,
-    text_sha256, row_number, shard, slot."""
-    rows = docs.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return (assign_shards(rows, [F.col("doc_id"), F.col("text_sha256"), F.col("source")], SHARDS)
+    text_sha256, row_number, shard, slot.  ``row_number`` is the row's position
+    in training: ``docs`` is a table that was written in that order, a range of
+    it to each part file."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    rows = docs.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), part.alias("part"),
+                       F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return (assign_shards(rows, [F.col("part"), F.col("file"), F.col("at")], SHARDS)
             .select("doc_id", "source", "text_sha256", "row_number", "shard", "slot"))
 
 

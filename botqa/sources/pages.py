@@ -55,6 +55,11 @@ class _TreeBuilder(HTMLParser):
         if n is not None and n.parent is not None:   # close up to the matching open tag
             self.cur = n.parent
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...``: a comment up to the next ``>``, as in HTML parsers (html.parser
+        raises where it doesn't know the section, or skips to its ``]>``)."""
+        return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         self.cur.children.append(data)
 
@@ -112,11 +117,8 @@ def extract_page(html: str | None) -> tuple[str | None, str | None]:
     if html is None:
         return None, None
     b = _TreeBuilder()
-    try:
-        b.feed(html)
-        b.close()
-    except AssertionError:  # html.parser's sign of markup that it rejects: no document, as from a page without text
-        return None, None
+    b.feed(html)
+    b.close()
     title = None
     for n in _walk(b.root):
         if n.tag == "title":

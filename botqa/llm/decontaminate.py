@@ -17,7 +17,8 @@ aren't ASCII white space; a text of fewer words than a shingle is one shingle.
 Edges: null or empty text has no shingles and neither contains nor is contained;
 rows with the same id and text are one document or one item, rows with the same
 id or none and unlike texts are several; an empty table on either side gives no
-hits.
+hits.  Limit: an item of fewer words than a shingle is found only in a document
+of the same words.
 """
 
 from __future__ import annotations

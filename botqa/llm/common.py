@@ -133,5 +133,64 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The words that ``words()`` found, told apart by their bytes: number of each,
+    and the distinct words by number."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    flat = np.ascontiguousarray(data[inside[data]])  # all bytes of words, and no others
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large_binary array."""
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[at[0]:at[-1]], at - at[0]
+
+
+class HashFilter:
+    """A bitmap of 64-bit hashes: ``has`` is never false for a hash that was put
+    in.  Its size follows the number of hashes, up to ``MAX_BITS`` (2**26, 8 MB):
+    a broadcast of bounded size.  A fuller bitmap lets more others pass; callers
+    count exactly afterwards, so results don't depend on it."""
+
+    MAX_BITS = 26
+
+    def __init__(self, hashes: DataFrame, column: str = "h"):
+        n = hashes.count()
+        self.bits = min(self.MAX_BITS, max(16, (16 * n).bit_length()))
+        place = F.shiftrightunsigned(F.col(column), 64 - self.bits)
+        words = (hashes.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at"))
+                 .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("word"))).toArrow()
+        self.table = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.table[words["at"].to_numpy()] = words["word"].to_numpy().view(np.uint64)
+        self.count = n
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        p = h >> np.uint64(64 - self.bits)
+        return (self.table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+
+
+def joined_to_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, share: int = 1000) -> DataFrame:
+    """``rows`` left joined to ``table`` (one row per ``key``, the key not null).
+
+    ``counts`` (key, n) says how many rows have a key; keys that it leaves out must
+    be rare.  Keys with more than one row in ``share`` are fewer than ``share``:
+    their rows of ``table`` are broadcast, and the rows that have them stay where
+    they are, as do rows without a key.  The rest is shuffled by a key of few rows.
+    """
+    if counts is None:
+        counts = staged(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), "key-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot_key, added = fresh(rows, "hot"), [c for c in table.columns if c != key]
+    hot = staged(counts.where(F.col("n") * share > total).select(key).join(table, key, "left"), "hot-keys")
+    marked = rows.join(F.broadcast(hot.withColumn(hot_key, F.lit(True))), key, "left")
+    stay = marked.where(F.col(hot_key) | F.col(key).isNull())
+    rest = marked.where(F.col(hot_key).isNull() & F.col(key).isNotNull()).select(rows.columns).join(table.hint("merge"), key, "left")
+    return stay.select(*rows.columns, *added).unionByName(rest.select(*rows.columns, *added))
+
+
 #: Bytes that are not ASCII white space.
 NOT_SPACE = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, mixing, quality, secrets, sharding, simhash, tokens, toxicity
+from . import chat, collocations, decontaminate, divergence, fingerprints, mixing, quality, secrets, sharding, simhash, tokens, toxicity, warc
 from .common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,78 @@ FROM t GROUP BY conv_id"""
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every field and line of every document."""
     return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each lang, and the terms that each source uses more."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE_SQL["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+ w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY lang, source, term),
+ k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+ v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ u AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS lang_n
+       FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ s AS (SELECT lang, source, sum(n) AS n FROM u GROUP BY lang, source),
+ p AS (SELECT u.lang, u.source, term, u.n, 1 + 1000000000 * (u.n + 5) // (s.n + 5 * v.v) AS p, 1 + 1000000000 * (lang_n + 5) // (v.n + 5 * v.v) AS q
+       FROM u JOIN s ON s.lang = u.lang AND s.source = u.source JOIN v ON v.lang = u.lang),
+ x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+       UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 50"""
+
+
+@_register
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrase collocations of each lang."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_phrase_collocations"] = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+ p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ c AS MATERIALIZED (SELECT lang, size, phrase, count(*)::HUGEINT AS a
+       FROM (SELECT lang, k.size, unnest(list_transform(generate_series(1, len(w) - k.size + 1), lambda i: array_to_string(w[i:i + k.size - 1], ' '))) AS phrase
+             FROM w, (VALUES (1), (2), (3)) AS k (size) WHERE len(w) >= k.size) u GROUP BY lang, size, phrase),
+ n AS (SELECT lang, sum(a) AS n FROM c WHERE size = 1 GROUP BY lang),
+ f AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE size > 1 AND a >= 10),
+ b AS MATERIALIZED (SELECT lang, phrase, a FROM c WHERE size < 3 AND a >= 10),
+ z AS MATERIALIZED (SELECT lang, size, phrase, a, unnest(generate_series(1, size - 1)) AS k, w FROM f),
+ y AS MATERIALIZED (SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM z),
+ s AS (SELECT y.lang, y.size, y.phrase, y.a, y.k, h.a AS l, t.a AS r, 1000000 * y.a * y.a // (h.a * t.a) AS score
+       FROM y JOIN b h ON h.lang = y.lang AND h.phrase = y.head JOIN b t ON t.lang = y.lang AND t.phrase = y.tail),
+ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase, size ORDER BY score, k) = 1),
+ i AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM f WHERE size = 3) GROUP BY lang, part),
+ o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY m.score DESC, m.a DESC, m.phrase) AS rank
+       FROM m LEFT JOIN i ON i.lang = m.lang AND i.part = m.phrase AND m.size = 2 WHERE i.a IS NULL OR 100 * i.a < 50 * m.a)
+SELECT o.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
+
+
+@_register
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written into archives and read back."""
+    pages = _table(spark, sf_dir, "pages")
+    records = staged(warc.read_archives(warc.write_archives(pages), whole=False), "records")
+    kind = pages.schema["page_id"].dataType
+    return warc.resolved(records).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                                         F.col("refers_to_page").cast(kind).alias("refers_to"))
+
+
+ORACLE_SQL["op11_warc_archives"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+ f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest"""

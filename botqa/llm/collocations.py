@@ -33,7 +33,9 @@ from .common import HashFilter, binary_parts, coded, mix64, prefix_hash, span_ha
 MIN_COUNT, INSIDE_PERCENT, TOP, SHARDS = 10, 50, 2000, 4
 #: Copies of the counted words and pairs in joins, so that a frequent one's phrases are spread.
 SALTS = 8
-BLOCK_BYTES = 4 << 20
+#: Shards of langs whose local support travels to the tasks.
+SUPPORT_ROWS = 10_000
+BLOCK_BYTES = 1 << 20
 
 _BREAK = np.array([chr(b) in ".,;:!?\n\x0b\x0c\r" for b in range(256)])
 _INSIDE = np.array([not _BREAK[b] and chr(b) not in " \t" for b in range(256)])
@@ -98,8 +100,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["lang", "shard", "word", "h", "n"])
 
 
-def _mined(size: int, frequent: HashFilter, shards: int):
-    """Counts by shard of pairs of frequent words, or of triples of frequent pairs."""
+def _mined(size: int, frequent: HashFilter, shards: int, support: dict, min_count: int):
+    """Counts by shard of pairs of frequent words, or of triples of frequent pairs.
+    ``cell`` is the shard and its local support in one number; a lang that
+    ``support`` leaves out has the lowest one, which only prunes less."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = _masks(shards)
         for block, names, lang, shard, salt in _blocks(batches):
@@ -117,9 +121,10 @@ def _mined(size: int, frequent: HashFilter, shards: int):
             for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
                 some = at[order[a:b]]
                 h, count = np.unique(value[some], return_counts=True)
-                name, s = pa.scalar(names[lang[some[0]]], pa.string()), pa.scalar(int(shard[some[0]]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.repeat(name, len(h)), pa.repeat(s, len(h)), pa.array(h.view(np.int64)), pa.array(count)],
-                                                 ["lang", "shard", "h", "n"])
+                s = int(shard[some[0]])
+                cell_of = pa.scalar(s * (min_count + 1) + support.get((names[lang[some[0]]], s), 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.repeat(cell_of, len(h)), pa.array(count.astype(np.int32))],
+                                                 ["h", "cell", "n"])
     return run
 
 
@@ -164,18 +169,21 @@ class Phrases:
         local = staged(local.groupBy("lang", "shard", "word", "h").agg(F.sum("n").alias("n")), "words")
         sizes = staged(local.groupBy("lang", "shard").agg(F.sum("n").alias("size")), "shard-sizes")  # a row per lang and shard
         self.totals = sizes.groupBy("lang").agg(F.sum("size").alias("n"))
-        support = staged(sizes.join(self.totals, "lang").select("lang", "shard", F.expr(f"div({min_count} * size + n - 1, n)").alias("support")),
-                         "supports")
-        mask = F.element_at(F.array(*(F.lit(int(m)) for m in _masks(shards).view(np.int64))), F.col("shard") + 1)
+        supports = sizes.join(self.totals, "lang").select("lang", "shard", "size", F.expr(f"cast(div({min_count} * size + n - 1, n) as int)").alias("support"))
+        # the largest SUPPORT_ROWS; a shard of any other lang is mined down to one occurrence
+        support = {(r["lang"], r["shard"]): r["support"] for r in supports.orderBy(F.desc("size"), "lang", "shard").limit(SUPPORT_ROWS).collect()}
+        masks = F.array(*(F.lit(int(m)) for m in _masks(shards).view(np.int64)))
 
-        def frequent(counted: DataFrame) -> DataFrame:
-            return counted.join(support, ["lang", "shard"]).where("n >= support").select("h", F.col("h").bitwiseXOR(mask).alias("in_shard"))
+        def hashes(shard: Column) -> list[Column]:
+            return [F.col("h"), F.col("h").bitwiseXOR(F.element_at(masks, shard + 1)).alias("in_shard")]
 
         self.words = local.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        found, below = [], HashFilter(frequent(local), "in_shard")
+        words = local.join(supports, ["lang", "shard"]).where("n >= support").select(*hashes(F.col("shard")))
+        found, below = [], HashFilter(words, "in_shard")
         for size in (2, 3):
-            mined = texts.mapInArrow(_mined(size, below, shards), "lang string, shard int, h long, n long")
-            mined = staged(frequent(mined.groupBy("lang", "shard", "h").agg(F.sum("n").alias("n"))), "frequent")
+            mined = texts.mapInArrow(_mined(size, below, shards, support, min_count), "h long, cell int, n int")
+            mined = mined.groupBy("h", "cell").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("cell") % (min_count + 1))
+            mined = staged(mined.select(*hashes(F.expr(f"div(cell, {min_count + 1})").cast("int"))), "frequent")
             found.append(HashFilter(mined.select("h").distinct()))
             below = HashFilter(mined, "in_shard") if size == 2 else below
         exact = texts.mapInArrow(_exact(*found), "lang string, size int, phrase string, n long")

@@ -115,6 +115,8 @@ def _mined(size: int, frequent: HashFilter, shards: int, support: dict, min_coun
                 good = block.joined & frequent.has(pair ^ masks[shard])
                 use, value = good & np.roll(good, -1), triple
             at = np.flatnonzero(use)
+            if not len(at):
+                continue
             cell = lang[at] * shards + shard[at]
             order = np.argsort(cell, kind="stable")
             cut = np.flatnonzero(np.diff(cell[order], prepend=-1))

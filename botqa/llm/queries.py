@@ -81,14 +81,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.training_positions(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", *passes)
 
 
-@_register
-def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
-    docs = staged(mixing.sized(_table(spark, sf_dir, "documents")), "sizes")
-    return mixing.place(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
-
-
-ORACLE_SQL["op10_source_mixing"] = r"""
+_COPIES = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -105,12 +98,11 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
  c AS (SELECT *, CAST(CASE WHEN size > 0 AND target - first - size / 2 > 0
-                           THEN least(3, ceil((target - first - size / 2) / source_size)) ELSE 0 END AS INTEGER) AS copies FROM p)
-SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM c"""
+                           THEN least(3, ceil((target - first - size / 2) / source_size)) ELSE 0 END AS INTEGER) AS copies FROM p)"""
 
 
 _PASSES = ", ".join(f'max(CASE WHEN epoch = {e} THEN n."{c}" END) AS {c}_{e + 1}' for e in range(3) for c in ("at", "position"))
-ORACLE_SQL["op10_training_order"] = ORACLE_SQL["op10_source_mixing"].rpartition("SELECT doc_id, size")[0].rstrip() + f""",
+ORACLE_SQL["op10_training_order"] = _COPIES.rstrip() + f""",
  i AS (SELECT *, row_number() OVER () AS id, CASE WHEN dense_rank() OVER (ORDER BY source NULLS LAST) % 2 = 1 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS slope FROM c),
  e AS (SELECT id, doc_id, source, slope, epoch, (first + epoch * source_size + size / 2) / target AS share
        FROM i, (VALUES (0), (1), (2)) AS passes (epoch) WHERE epoch < copies),

@@ -19,6 +19,7 @@ rows; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,9 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenization pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Blanks that the pattern is not tried on together (any number gives the same tokens).
+LONG_RUN = 10_000
+_LONG_RUNS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: Fields before the text, each ended by a line break.
 FIELDS = ("source", "lang")
 
@@ -44,12 +48,32 @@ class Encoder:
         for token, rank in table.items():
             self.length[rank] = len(token)
 
+    def tokens(self, text: str) -> np.ndarray:
+        """Token numbers of a text.
+
+        The pattern's engine tries a run of blanks blank by blank and gives up on
+        about a million.  The pattern parts such a run from what stands before it
+        and cuts it before its last blank (or not, at the end of the text), so a
+        long run is encoded as the one piece that it is, without the pattern.
+        """
+        if len(text) < LONG_RUN:
+            return self._encode(text)
+        parts, at = [], 0
+        for run in _LONG_RUNS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts += [self._encode(text[at:run.start()]), np.asarray(self.encoding._encode_single_piece(text[run.start():end]), np.int64)]
+            at = end
+        return np.concatenate([*parts, self._encode(text[at:])])
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.int64)
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of each token."""
         raw = np.frombuffer(text.encode(), np.uint8)
         if not len(raw):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ends = np.cumsum(self.length[np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.int64)])
+        ends = np.cumsum(self.length[self.tokens(text)])
         starts = np.concatenate([[0], ends[:-1]])
         if len(raw) == len(text):
             return starts, ends
@@ -63,10 +87,12 @@ def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple
     first, last = np.searchsorted(bounds, starts, "right"), np.searchsorted(bounds, ends - 1, "right")
     home = first.copy()
     crossing = np.flatnonzero(first != last)
-    for t in crossing:
-        s = np.arange(first[t], last[t] + 1)
-        low = np.concatenate([[0], bounds])[s]
-        home[t] = s[np.argmax(np.minimum(bounds[s], ends[t]) - np.maximum(low, starts[t]))]  # the first of the largest
+    begins, best = np.concatenate([[0], bounds]), np.zeros(len(crossing), np.int64)
+    for k in range(int((last - first)[crossing].max(initial=-1)) + 1):  # at most a token's characters
+        s = np.minimum(first[crossing] + k, last[crossing])
+        overlap = np.minimum(bounds[s], ends[crossing]) - np.maximum(begins[s], starts[crossing])
+        more = overlap > best
+        home[crossing[more]], best[more] = s[more], overlap[more]
     return np.bincount(home, minlength=len(bounds)), np.bincount(home[crossing], minlength=len(bounds))
 
 

@@ -166,9 +166,8 @@ def src10_external(t):
     pages = t.pages
     urls = pages.select("url").unionByName(
         pages.where(F.col("page_id") % 10 == 0).select(F.concat("url", F.lit("#missing")).alias("url")))
-    found, missing = PG.fetch_listed(urls, pages)
-    return (found.select(F.lit("found").alias("status")).unionByName(missing.select(F.lit("missing").alias("status")))
-                 .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+    status = F.when(F.col("fetched"), "found").otherwise("missing").alias("status")
+    return PG.fetch_listed(urls, pages).groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("KB01_page_documents")
@@ -177,6 +176,12 @@ def kb01_page_documents(t):
     return PG.page_documents(t.pages).select("page_id", "source", "section", "content_length", "content")
 
 
+@register("SRC08_page_outcomes")
+def src08_page_outcomes(t):
+    """SRC-08/S-04: pages by what became of them: document, short, no text, parser error."""
+    return PG.page_outcome(PG.extract_pages(t.pages)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("USET1_knowledge_base")
 def uset1_knowledge_base(t):
     """U-set-1: documents + scraped pages + planned variations, totals per kb."""

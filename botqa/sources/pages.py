@@ -44,8 +44,9 @@ IMPLIED_ENDS: dict[str, list[tuple[tuple[str, ...], tuple[str, ...]]]] = {
     "optgroup": [(("optgroup", "option"), ("select",))],
     "rt": [(("rt", "rp"), ("ruby",))], "rp": [(("rt", "rp"), ("ruby",))],
     "button": [(("button",), ("table", "td", "th", "caption", "template", "object", "marquee"))],
-    "body": [(("head",), ())], "frameset": [(("head",), ())],
 }
+#: Any other start tag ends an open head.
+HEAD_CONTENT = {"html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 #: An end tag ends its element only if none of these was opened inside it since.
 END_BOUNDARY = {"p": CELL_BOUNDARY, "li": ("ul", "ol", "menu", *CELL_BOUNDARY), "dd": ("dl", *CELL_BOUNDARY), "dt": ("dl", *CELL_BOUNDARY),
                 "td": ("table", "template"), "th": ("table", "template"), "tr": ("table", "template"),
@@ -89,6 +90,8 @@ class _TreeBuilder(HTMLParser):
         self.open.append(node)
 
     def handle_starttag(self, tag, attrs):
+        if self.places.get("head") and tag not in HEAD_CONTENT:
+            self._close_from(self.places["head"][-1])
         for tags, boundary in IMPLIED_ENDS.get(tag, ()):
             at = self._innermost(tags, boundary)
             if at:
@@ -115,6 +118,8 @@ class _TreeBuilder(HTMLParser):
         return self.parse_bogus_comment(i, report)
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self._close_from(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 

@@ -122,13 +122,10 @@ def l01_regressions(t):
 
 @register("L02_load_regressions", _REG + """
 SELECT system_hash, input, r.e AS expected_behavior, 'HARD' AS difficulty, r.st AS system_type, r.s AS seq FROM firsts
-WHERE system_hash IN (SELECT DISTINCT system_hash FROM sc WHERE system_type = 'RAG')
 """)
 def l02_load_regressions(t):
-    """L-02: regression scenarios of the RAG systems."""
-    lib = L.regression_candidates(_joined(t))
-    wanted = _scenarios(t).where(F.col("system_type") == "RAG").select("system_hash")
-    return L.load_regressions(lib, wanted).drop("tags")
+    """L-02: regression scenarios of every system that has scenarios."""
+    return L.load_regressions(L.regression_candidates(_joined(t)), _scenarios(t)).drop("tags")
 
 
 @register("L01_regression_merge", _REG + """
@@ -251,12 +248,11 @@ def a23_strategy_state(t):
 
 
 @register("L05_generation_strategy", _STATE + """
-SELECT lr.company AS system_hash, weights, run_count FROM lr JOIN ws ON ws.company = lr.company
-WHERE CAST(substr(lr.company, 4) AS INT) % 3 = 1
+SELECT lr.company AS system_hash, weights, run_count FROM lr LEFT JOIN ws ON ws.company = lr.company
 """)
 def l05_strategy(t):
-    """L-05: read back the strategy of the RAG systems."""
-    wanted = FX.runs(t).where(F.substring("company", 4, 8).cast("int") % 3 == 1).select(F.col("company").alias("system_hash"))
+    """L-05: read back the strategy of every system with runs."""
+    wanted = FX.runs(t).select(F.col("company").alias("system_hash"))
     return L.generation_strategy(_strategy(t), wanted).select("system_hash", _weights_text(F.col("failure_weights")).alias("weights"), "run_count")
 
 

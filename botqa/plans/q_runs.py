@@ -44,17 +44,39 @@ def src04_live_runs(t):
     return _live(t).groupBy("company_name").agg(F.count(F.lit(1)).alias("live_runs"))
 
 
-@register("SRC05_decode_payloads", _LIVE + """
-SELECT run_id, total_scenarios AS payload_total, total_scenarios - total_failures AS payload_passed,
-       total_failures AS payload_failed, pass_rate AS payload_pass_rate FROM live
+@register("SRC05_decode_payloads", _LIVE + """,
+typed AS (SELECT run_id, failure_type, COUNT(*) AS n FROM results WHERE NOT passed AND failure_type IS NOT NULL GROUP BY ALL),
+found AS (SELECT run_id, COUNT(*) AS kinds, SUM(n) AS typed FROM typed GROUP BY run_id)
+SELECT live.run_id, total_scenarios % 7 = 3 AS config_undecodable, results_undecodable, analysis_undecodable, fixes_undecodable,
+       CASE WHEN total_scenarios % 7 <> 3 THEN company_name END AS config_company,
+       CASE WHEN total_scenarios % 7 <> 3 THEN total_scenarios END AS config_scenarios,
+       total_scenarios AS payload_total, total_scenarios - total_failures AS payload_passed, total_failures AS payload_failed,
+       pass_rate AS payload_pass_rate, total_scenarios AS n_results, COALESCE(kinds, 0) AS n_patterns,
+       CAST(COALESCE(typed, 0) AS BIGINT) AS pattern_failures, COALESCE(kinds, 0) AS n_fixes, CAST(COALESCE(typed, 0) AS BIGINT) AS fix_scenarios
+FROM live LEFT JOIN found ON found.run_id = live.run_id,
+     (SELECT FALSE AS results_undecodable, FALSE AS analysis_undecodable, FALSE AS fixes_undecodable) f
 """)
 def src05_decode(t):
-    """SRC-05: parse the results payload of every run."""
+    """SRC-05: the four payloads of every run, each in its own shape."""
     d = RL.decode_payloads(_live(t))
-    return d.select("run_id", F.col("results.total_scenarios").alias("payload_total"),
-                    F.col("results.passed").alias("payload_passed"),
-                    F.col("results.failed").alias("payload_failed"),
-                    F.col("results.pass_rate").alias("payload_pass_rate"))
+
+    def part(payload, path, kind, name):
+        return F.try_variant_get(payload, path, kind).alias(name)
+
+    def total(payload, path, kind):
+        entries = F.coalesce(F.try_variant_get(payload, path, f"array<struct<{kind}: bigint>>"), F.array())
+        return F.aggregate(entries, F.lit(0).cast("bigint"), lambda a, e: a + e[kind])
+
+    def number(payload, path):
+        return F.coalesce(F.size(F.try_variant_get(payload, path, "array<variant>")), F.lit(0)).cast("bigint")
+
+    return d.select(
+        "run_id", *[f"{p}_undecodable" for p in RL.PAYLOADS], part("config", "$.company_name", "string", "config_company"),
+        part("config", "$.scenario_count", "bigint", "config_scenarios"), part("results", "$.total_scenarios", "bigint", "payload_total"),
+        part("results", "$.passed", "bigint", "payload_passed"), part("results", "$.failed", "bigint", "payload_failed"),
+        part("results", "$.pass_rate", "double", "payload_pass_rate"), number("results", "$.results").alias("n_results"),
+        number("analysis", "$.patterns").alias("n_patterns"), total("analysis", "$.patterns", "count").alias("pattern_failures"),
+        number("fixes", "$.fixes").alias("n_fixes"), total("fixes", "$.fixes", "affected_scenarios").alias("fix_scenarios"))
 
 
 @register("SRC06_list_runs", _LIVE + """
@@ -100,14 +122,26 @@ h AS (
 """
 
 
-@register("SRC07_run_history", _HIST + """
-SELECT company_name, run_id, CAST(run_rank AS INT) AS run_rank, failure_type, n FROM h
+@register("SRC07_run_history", _LIVE + """,
+asks AS (SELECT company_name, run_id AS asking_run FROM live QUALIFY ROW_NUMBER() OVER (PARTITION BY company_name ORDER BY created_at DESC, run_id DESC) <= 3),
+prior AS (
+  SELECT a.company_name, a.asking_run, l.run_id, l.total_scenarios, l.total_failures,
+         CAST(ROW_NUMBER() OVER (PARTITION BY a.asking_run ORDER BY l.created_at DESC, l.run_id DESC) AS INT) AS run_rank
+  FROM asks a JOIN live l ON l.company_name = a.company_name AND l.run_id <> a.asking_run AND l.status = 'completed')
+SELECT p.company_name, asking_run, p.run_id, run_rank, total_scenarios, total_failures AS failed, r.failure_type, r.n
+FROM prior p LEFT JOIN (SELECT run_id, failure_type, COUNT(*) AS n FROM results WHERE NOT passed AND failure_type IS NOT NULL GROUP BY ALL) r
+  ON r.run_id = p.run_id
+WHERE run_rank <= 5
 """)
 def src07_run_history(t):
-    """SRC-07: the five newest completed runs per company with their failure
-    breakdown re-counted from the stored payload."""
-    return RL.run_history(_live(t)).select("company_name", "run_id", F.col("run_rank").cast("int").alias("run_rank"),
-                                           "failure_type", "n")
+    """SRC-07: what each company's three newest runs are told of the five newest
+    completed runs before or beside them, counted again from the stored results."""
+    live = _live(t)
+    asking = RL.newest_per_key(live.select("company_name", "run_id", "created_at"), "company_name", 3)
+    prior = RL.previous_runs(live, asking)
+    counted = RL.failure_breakdown(prior).select("asking_run", "run_id", "failure_type", "n")
+    return (prior.join(counted, ["asking_run", "run_id"], "left")
+            .select("company_name", "asking_run", "run_id", F.col("run_rank").cast("int").alias("run_rank"), "total_scenarios", "failed", "failure_type", "n"))
 
 
 @register("A18_failure_context", _HIST + """

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runlog import RUN_EVENT_SCHEMA
 from .tables import Tables
 
 
@@ -195,50 +196,35 @@ def _run_system_type(company: Column) -> Column:
 
 
 def run_events(t: Tables) -> DataFrame:
-    """Run log events derived from ``runs``: an insert (running), a completion
-    update with totals and a bounded results payload, and a delete tombstone
-    for runs whose scenario count is a multiple of 10."""
-    r = runs(t)
-    res = results(t)
-    bd = (res.where(~F.col("passed") & F.col("failure_type").isNotNull())
-             .groupBy("run_id", "failure_type").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("failure_type", "n")))
-                                    .alias("failure_breakdown")))
-    r = r.join(bd, "run_id", "left")
-    payload = F.to_json(F.struct(
-        F.col("total_scenarios").cast("bigint").alias("total_scenarios"),
-        (F.col("total_scenarios") - F.col("total_failures")).cast("bigint").alias("passed"),
-        F.col("total_failures").cast("bigint").alias("failed"),
-        F.col("pass_rate").alias("pass_rate"),
-        F.coalesce("failure_breakdown", F.create_map().cast("map<string,bigint>")).alias("failure_breakdown")))
-    null = {c: F.lit(None) for c in ("pass_rate", "total_scenarios", "total_failures", "run_cost_usd",
-                                     "results_json", "error_message", "status")}
-    base = r.select("run_id", "company", "created_at", "status", "pass_rate", "total_scenarios",
-                    "total_failures", "run_cost_usd", payload.alias("results_json"))
-    ins = base.select("run_id", F.col("created_at").alias("event_ts"), F.lit(1).cast("bigint").alias("seq"),
-                      F.lit("upsert").alias("op"), "created_at", F.col("company").alias("company_name"),
-                      _run_system_type(F.col("company")).alias("system_type"),
-                      F.lit("target-model").alias("target_model"), F.lit("running").alias("status"),
-                      *[null[c].cast(ty).alias(c) for c, ty in (("pass_rate", "double"),
-                        ("total_scenarios", "bigint"), ("total_failures", "bigint"),
-                        ("run_cost_usd", "double"), ("results_json", "string"), ("error_message", "string"))])
-    done = base.select("run_id", (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("event_ts"),
-                       F.lit(2).cast("bigint").alias("seq"), F.lit("upsert").alias("op"),
-                       F.lit(None).cast("timestamp").alias("created_at"),
-                       F.lit(None).cast("string").alias("company_name"),
-                       F.lit(None).cast("string").alias("system_type"),
-                       F.lit(None).cast("string").alias("target_model"),
-                       F.when(F.col("status") != "running", F.col("status")).alias("status"),
-                       "pass_rate", F.col("total_scenarios").cast("bigint").alias("total_scenarios"),
-                       F.col("total_failures").cast("bigint").alias("total_failures"), "run_cost_usd",
-                       "results_json",
-                       F.when(F.col("status") == "failed", F.lit("Pipeline error")).alias("error_message"))
-    dele = base.where(F.col("total_scenarios") % 10 == 0).select(
-        "run_id", (F.col("created_at") + F.expr("INTERVAL 2 HOUR")).alias("event_ts"),
-        F.lit(3).cast("bigint").alias("seq"), F.lit("delete").alias("op"),
-        *[F.lit(None).cast(ty).alias(c) for c, ty in (
-            ("created_at", "timestamp"), ("company_name", "string"), ("system_type", "string"),
-            ("target_model", "string"), ("status", "string"), ("pass_rate", "double"),
-            ("total_scenarios", "bigint"), ("total_failures", "bigint"), ("run_cost_usd", "double"),
-            ("results_json", "string"), ("error_message", "string"))])
-    return ins.unionByName(done).unionByName(dele)
+    """Run log events derived from ``runs``: an insert (running, with the request), a
+    completion update with totals and the result, analysis and fix payloads as they
+    are stored, and a delete tombstone for runs whose scenario count is a multiple
+    of 10.  Every seventh request is cut off, so it is not JSON."""
+    r, res = runs(t), results(t)
+    listed = res.groupBy("run_id").agg(F.collect_list(F.struct("scenario_id", "passed", "failure_type", "confidence_score")).alias("results"))
+    found = (res.where(~F.col("passed") & F.col("failure_type").isNotNull()).groupBy("run_id", "failure_type").agg(F.count(F.lit(1)).alias("count"))
+             .groupBy("run_id").agg(F.collect_list(F.struct("failure_type", "count")).alias("patterns")))
+    r = r.join(listed, "run_id", "left").join(found, "run_id", "left")
+    none = F.array().cast("array<struct<failure_type: string, count: bigint>>")
+    patterns, keep = F.coalesce("patterns", none), {"ignoreNullFields": "false"}
+    request = F.to_json(F.struct(F.col("company").alias("company_name"), _run_system_type(F.col("company")).alias("system_type"),
+                                 F.lit("target-model").alias("target_model"), F.col("total_scenarios").cast("bigint").alias("scenario_count")), keep)
+    request = F.when(F.col("total_scenarios") % 7 == 3, F.substring(request, 1, 20)).otherwise(request)
+    result = F.to_json(F.struct(F.col("pass_rate").alias("pass_rate"), F.col("total_scenarios").cast("bigint").alias("total_scenarios"),
+                                (F.col("total_scenarios") - F.col("total_failures")).cast("bigint").alias("passed"),
+                                F.col("total_failures").cast("bigint").alias("failed"), F.col("results").alias("results")), keep)
+    analysis = F.to_json(F.struct(F.col("total_failures").cast("bigint").alias("total_failures"), patterns.alias("patterns")), keep)
+    fixes = F.to_json(F.struct(F.size(patterns).cast("bigint").alias("total_fixes"), F.transform(patterns, lambda p: F.struct(
+        p["failure_type"].alias("failure_type"), F.lit("PROMPT_ADDITION").alias("fix_type"), p["count"].alias("affected_scenarios"))).alias("fixes")), keep)
+    columns = RUN_EVENT_SCHEMA.fields
+
+    def events(rows: DataFrame, hours: int, seq: int, op: str, **given) -> DataFrame:
+        given |= {"event_ts": F.col("created_at") + F.expr(f"INTERVAL {hours} HOUR"), "seq": F.lit(seq), "op": F.lit(op), "run_id": F.col("run_id")}
+        return rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
+
+    ins = events(r, 0, 1, "upsert", created_at=F.col("created_at"), company_name=F.col("company"), system_type=_run_system_type(F.col("company")),
+                 target_model=F.lit("target-model"), status=F.lit("running"), config_json=request)
+    done = events(r, 1, 2, "upsert", status=F.when(F.col("status") != "running", F.col("status")), results_json=result, analysis_json=analysis,
+                  fixes_json=fixes, error_message=F.when(F.col("status") == "failed", F.lit("Pipeline error")),
+                  **{c: F.col(c) for c in ("pass_rate", "total_scenarios", "total_failures", "run_cost_usd")})
+    return ins.unionByName(done).unionByName(events(r.where(F.col("total_scenarios") % 10 == 0), 2, 3, "delete"))

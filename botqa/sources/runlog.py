@@ -39,14 +39,8 @@ RUN_EVENT_SCHEMA = T.StructType([
     T.StructField("error_message", T.StringType()),
 ])
 
-# payload of results_json / analysis_json (bounded: counts and a per-type map)
-RESULTS_PAYLOAD = T.StructType([
-    T.StructField("total_scenarios", T.LongType()),
-    T.StructField("passed", T.LongType()),
-    T.StructField("failed", T.LongType()),
-    T.StructField("pass_rate", T.DoubleType()),
-    T.StructField("failure_breakdown", T.MapType(T.StringType(), T.LongType())),
-])
+#: The columns that hold JSON text.
+PAYLOADS = ("config", "results", "analysis", "fixes")
 
 
 def read_run_events(spark, path: str) -> DataFrame:
@@ -70,14 +64,23 @@ def current_runs(events: DataFrame) -> DataFrame:
     return state.where("_upserts > 0 and _deletes = 0").drop("_upserts", "_deletes")
 
 
-def decode_payloads(runs: DataFrame) -> DataFrame:
-    """SRC-05: parse the JSON payload columns; the raw string stays beside the
-    parsed struct, so an undecodable payload is still visible as text."""
-    out = runs
-    for c in ("results_json", "analysis_json"):
-        if c in runs.columns:
-            out = out.withColumn(c.replace("_json", ""), F.from_json(F.col(c), RESULTS_PAYLOAD))
-    return out
+def decode_payloads(runs: DataFrame, payloads: tuple[str, ...] = PAYLOADS) -> DataFrame:
+    """SRC-05: each JSON column as a variant of its own shape (``config``, ``results``,
+    ``analysis``, ``fixes``).  The text stays beside it; text that is not JSON has a
+    null variant and ``<name>_undecodable`` set.  Empty text counts as no payload."""
+    return runs.withColumns({k: v for p in payloads for k, v in {
+        p: F.try_parse_json(f"{p}_json"),
+        f"{p}_undecodable": F.coalesce(F.col(f"{p}_json") != "", F.lit(False)) & F.try_parse_json(f"{p}_json").isNull()}.items()})
+
+
+def items(decoded: DataFrame, payload: str, path: str) -> DataFrame:
+    """One row per element of a list inside a payload (``pos``, ``item``); runs
+    without the payload or the list have none."""
+    listed = decoded.withColumn("_items", F.try_variant_get(payload, path, "variant"))
+    each = decoded.sparkSession.tvf.variant_explode(F.col("_items").outer()).select("pos", F.col("value").alias("item"))
+    # an object would be exploded by its keys
+    lists = listed.where(F.schema_of_variant("_items").startswith("ARRAY"))
+    return lists.lateralJoin(each).drop("_items")
 
 
 def list_runs(runs: DataFrame, limit: int = 100) -> DataFrame:
@@ -101,11 +104,34 @@ def latest_run(df: DataFrame, key: str, order_col: str = "created_at") -> DataFr
         .select(key, "r.*")
 
 
-def run_history(runs: DataFrame, limit: int = 5) -> DataFrame:
-    """SRC-07: per company the ``limit`` newest completed runs with their
-    failure breakdown re-counted from the results payload."""
-    done = runs.where(F.col("status") == "completed")
-    top = newest_per_key(done, "company_name", limit)
-    payload = F.from_json(F.col("results_json"), RESULTS_PAYLOAD)
-    return top.select("company_name", "run_id", "run_rank", "created_at",
-                      F.explode(payload["failure_breakdown"]).alias("failure_type", "n"))
+def previous_runs(runs: DataFrame, asking: DataFrame, limit: int = 5) -> DataFrame:
+    """SRC-07: for each asking run (``company_name``, ``run_id``) the ``limit`` newest
+    completed runs of its company but itself, with the counts that their results
+    payload holds; runs whose payload is missing or undecodable are left out after
+    the cut.  ``run_rank`` 1 is the newest.
+
+    Each company's ``limit`` + 1 newest runs are cut first (``newest_per_key``), so
+    the join with the asking runs is small whatever a company has stored."""
+    asks = asking.select("company_name", F.col("run_id").alias("asking_run"))
+    newest = newest_per_key(runs.where(F.col("status") == "completed"), "company_name", limit + 1)
+    # one that asks takes a place of its own among the newest, or none
+    own = newest.select(F.col("run_id").alias("asking_run"), F.col("run_rank").alias("own_rank"))
+    prior = (asks.join(own, "asking_run", "left").join(newest, "company_name")
+             .where(F.col("run_id") != F.col("asking_run"))
+             .withColumn("run_rank", F.col("run_rank") - F.when(F.col("own_rank") < F.col("run_rank"), 1).otherwise(0))
+             .where(F.col("run_rank") <= limit).drop("own_rank"))
+    prior = decode_payloads(prior, ("results",)).where("results is not null")
+    number = {"total_scenarios": "bigint", "passed": "bigint", "failed": "bigint", "pass_rate": "double"}
+    return prior.select("company_name", "asking_run", "run_id", "run_rank", "created_at", F.coalesce("system_type", F.lit("CUSTOMER_SUPPORT")).alias("system_type"),
+                        *[F.coalesce(F.try_variant_get("results", f"$.{c}", t), F.lit(0).cast(t)).alias(c) for c, t in number.items()], "results")
+
+
+def failure_breakdown(prior: DataFrame) -> DataFrame:
+    """SRC-07: failed, typed results of each previous run, counted again from the
+    ``results`` list of its payload: company_name, asking_run, run_id, run_rank, failure_type, n."""
+    each = items(prior, "results", "$.results")
+    kind = F.try_variant_get("item", "$.failure_type", "string")
+    failed = ~F.coalesce(F.try_variant_get("item", "$.passed", "boolean"), F.lit(False))
+    return (each.select("company_name", "asking_run", "run_id", "run_rank", kind.alias("failure_type"), failed.alias("failed"))
+            .where("failed and failure_type <> ''").groupBy("company_name", "asking_run", "run_id", "run_rank", "failure_type")
+            .agg(F.count("*").alias("n")))

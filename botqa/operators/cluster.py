@@ -96,25 +96,13 @@ def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _knn_kernel(k: int):
     def run(it):
         for pdf in it:
-            out_run, out_pid, out_d = [], [], []
-            for run_id, left, right in zip(pdf["run"], pdf["left"], pdf["right"]):
-                a, b = _mat(left), _mat(right)
-                d = _dist(a, b)
-                lp = np.asarray([e["pid"] for e in left])
-                rp = np.asarray([e["pid"] for e in right])
+            for run_id, left, right in zip(pdf["run"], pdf["left"], pdf["right"], strict=True):
+                d = _dist(_mat(left), _mat(right))
+                lp, rp = (np.asarray([e["pid"] for e in x]) for x in (left, right))
                 d[lp[:, None] == rp[None, :]] = _INF          # not the point itself
-                kk = min(k, d.shape[1])
-                part = np.sort(d, axis=1)[:, :kk]
-                for pid, row in zip(lp, part):
-                    for x in row:
-                        if np.isfinite(x):
-                            out_run.append(run_id)
-                            out_pid.append(int(pid))
-                            out_d.append(float(x))
-            if out_run:
-                yield pd.DataFrame({"run": pd.Series(out_run, dtype=object),
-                                    "pid": pd.Series(out_pid, dtype="int64"),
-                                    "d": pd.Series(out_d, dtype="float64")})
+                best = d.min(axis=1, keepdims=True) if k == 1 else np.sort(d, axis=1)[:, :k]
+                row, col = np.nonzero(np.isfinite(best))
+                yield pd.DataFrame({"run": pd.Series([run_id] * len(row), dtype=object), "pid": lp[row].astype("int64"), "d": best[row, col]})
     return run
 
 
@@ -135,41 +123,20 @@ def core_distances(points: DataFrame, min_samples: int = S.HDBSCAN_MIN_SAMPLES,
 
 
 def _min_edge_kernel(it):
+    """The lightest edge of each left point to a right point of another component."""
     for pdf in it:
-        rows = {"run": [], "pid": [], "comp": [], "w": [], "lo": [], "hi": [], "other": []}
-        for run_id, left, right in zip(pdf["run"], pdf["left"], pdf["right"]):
-            a, b = _mat(left), _mat(right)
-            d = _dist(a, b)
-            lc = np.asarray([e["core"] for e in left], dtype=np.float64)
-            rc = np.asarray([e["core"] for e in right], dtype=np.float64)
-            lcomp = np.asarray([e["comp"] for e in left])
-            rcomp = np.asarray([e["comp"] for e in right])
-            lp = np.asarray([e["pid"] for e in left])
-            rp = np.asarray([e["pid"] for e in right])
-            w = np.maximum(np.maximum(d, lc[:, None]), rc[None, :])
+        for run_id, left, right in zip(pdf["run"], pdf["left"], pdf["right"], strict=True):
+            right = sorted(right, key=lambda e: e["pid"])
+            lc, rc = (np.asarray([e["core"] for e in x], dtype=np.float64) for x in (left, right))
+            lp, rp, lcomp, rcomp = (np.asarray([e[c] for e in x], dtype=np.int64) for c in ("pid", "comp") for x in (left, right))
+            w = np.maximum(np.maximum(_dist(_mat(left), _mat(right)), lc[:, None]), rc[None, :])
             w[lcomp[:, None] == rcomp[None, :]] = _INF
-            lo = np.minimum(lp[:, None], rp[None, :])
-            hi = np.maximum(lp[:, None], rp[None, :])
-            for r in range(w.shape[0]):
-                row = w[r]
-                best = row.min() if row.size else _INF
-                if not np.isfinite(best):
-                    continue
-                idx = np.flatnonzero(row == best)
-                # tie-break: smallest (lo, hi)
-                order = np.lexsort((hi[r, idx], lo[r, idx]))
-                c = idx[order[0]]
-                rows["run"].append(run_id)
-                rows["pid"].append(int(lp[r]))
-                rows["comp"].append(int(lcomp[r]))
-                rows["w"].append(float(best))
-                rows["lo"].append(int(lo[r, c]))
-                rows["hi"].append(int(hi[r, c]))
-                rows["other"].append(int(rcomp[c]))
-        if rows["run"]:
-            yield pd.DataFrame({"run": pd.Series(rows["run"], dtype=object),
-                                **{c: pd.Series(rows[c], dtype="int64") for c in ("pid", "comp", "lo", "hi", "other")},
-                                "w": pd.Series(rows["w"], dtype="float64")})
+            at = w.argmin(axis=1)       # the first of equal weights has the smallest pid, which gives the smallest (lo, hi)
+            best = w[np.arange(len(at)), at]
+            row = np.flatnonzero(np.isfinite(best))
+            mine, other = lp[row], rp[at[row]]
+            yield pd.DataFrame({"run": pd.Series([run_id] * len(row), dtype=object), "pid": mine, "comp": lcomp[row], "w": best[row],
+                                "lo": np.minimum(mine, other), "hi": np.maximum(mine, other), "other": rcomp[at[row]]})
 
 
 def _relabel(edges: DataFrame) -> DataFrame:

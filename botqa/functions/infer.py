@@ -5,14 +5,11 @@ a model client in Arrow batches (``mapInPandas``) and returns the reply text
 as a column.  ``client_factory`` is called once per task on the executor and
 must return an object with ``complete(prompts: list[str]) -> list[str | None]``
 (``None`` = the call failed: the reply stays null, like a failed request).
-The HTTP/LLM call itself is the caller's; tests and registered queries use a
-deterministic local client.
+The HTTP/LLM call itself is the caller's.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -36,30 +33,3 @@ def infer(df: DataFrame, prompt_col: str, out_col: str, client_factory: Callable
             yield out
 
     return df.mapInPandas(run, schema)
-
-
-class HashJudgeClient:
-    """Deterministic stand-in judge: the verdict is a function of the prompt's
-    SHA-256, in the reply shapes real models produce (plain JSON, fenced JSON,
-    prose, or no reply)."""
-
-    TYPES = ["HALLUCINATION", "POLICY_VIOLATION", "INCOMPLETE", "WRONG_ANSWER"]
-
-    def complete(self, prompts: list[str]) -> list[str | None]:
-        out: list[str | None] = []
-        for p in prompts:
-            h = int(hashlib.sha256(p.encode("utf-8")).hexdigest()[:8], 16)
-            shape = h % 7
-            passed = (h >> 3) % 3 != 0
-            body = {"passed": passed, "confidence": round(((h >> 5) % 100) / 100, 2), "reasoning": "auto"}
-            if not passed:
-                body["failure_type"] = self.TYPES[(h >> 9) % len(self.TYPES)]
-            if shape == 0:
-                out.append(None)
-            elif shape == 1:
-                out.append("I could not evaluate this response.")
-            elif shape == 2:
-                out.append("```json\n" + json.dumps(body) + "\n```")
-            else:
-                out.append(json.dumps(body))
-        return out

@@ -196,7 +196,7 @@ def generation_strategy(state: DataFrame, systems: DataFrame) -> DataFrame:
                     "last_pass_rate", "found_patterns", F.coalesce("run_count", F.lit(0)).alias("run_count"))
 
 
-def persona_effectiveness(uses: DataFrame, bucket_width: int = 1 << 20) -> DataFrame:
+def persona_effectiveness(uses: DataFrame, bucket_width: int = 1 << 20, state: DataFrame | None = None) -> DataFrame:
     """A-22 with W-07: sticky persona status per (persona, system_type).
 
     First use -> active.  From the second use on, the running rate >= 0.40
@@ -209,10 +209,14 @@ def persona_effectiveness(uses: DataFrame, bucket_width: int = 1 << 20) -> DataF
     ``ord`` buckets, each (persona, system, bucket) slice is ranked locally,
     bucket totals are prefix-summed over the (small) per-bucket table and
     joined back as offsets.  Threshold tests are exact integer comparisons.
+
+    ``state`` (persona, system_type, times_used, failures, status): what earlier
+    uses came to; the result holds its personas too.
     """
     from .ranking import ranked
     keys = ["persona", "system_type"]
-    run = ranked(uses, keys, "ord", bucket_width, sums={"fails": F.col("found_failure").cast("int")}) \
+    base = None if state is None else state.select(*keys, F.col("times_used").alias("rank"), F.col("failures").alias("fails"))
+    run = ranked(uses, keys, "ord", bucket_width, sums={"fails": F.col("found_failure").cast("int")}, base=base) \
         .withColumnRenamed("rank", "times")
     t, f = F.col("times"), F.col("fails")
     # exact: f/t >= 0.40  <=>  5f >= 2t ;  f/t <= 0.05  <=>  20f <= t
@@ -223,6 +227,10 @@ def persona_effectiveness(uses: DataFrame, bucket_width: int = 1 << 20) -> DataF
     agg = run.groupBy(*keys).agg(
         F.max("times").alias("times_used"), F.max_by("fails", "times").alias("failures"),
         F.max_by("transition", F.when(F.col("transition").isNotNull(), F.col("ord"))).alias("_last"))
+    if state is not None:
+        old = state.select(*keys, F.col("times_used").alias("_times"), F.col("failures").alias("_fails"), F.col("status").alias("_status"))
+        agg = agg.join(old, keys, "full").select(*keys, F.coalesce("times_used", "_times").alias("times_used"),
+                                                 F.coalesce("failures", "_fails").alias("failures"), F.coalesce("_last", "_status").alias("_last"))
     return agg.select(*keys, "times_used", "failures",
                       (F.col("failures") / F.col("times_used")).alias("failure_discovery_rate"),
                       F.coalesce("_last", F.lit("active")).alias("status"))

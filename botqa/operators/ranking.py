@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 
 def ranked(df: DataFrame, keys: Sequence[str], seq_col: str, bucket_width: int = 1 << 20,
-           sums: dict[str, Column] | None = None) -> DataFrame:
+           sums: dict[str, Column] | None = None, base: DataFrame | None = None) -> DataFrame:
     """Adds ``rank`` (1-based position within the key by ``seq_col``, ties not
     allowed) and, for each ``name -> expr`` in ``sums``, the running sum
-    ``name`` up to and including the row."""
+    ``name`` up to and including the row.  ``base`` (the keys, ``rank`` and each
+    ``name``) says what a key has before the first row; others start from 0."""
     keys = list(keys)
     sums = sums or {}
     b = df.withColumn("_bucket", F.floor(F.col(seq_col) / F.lit(bucket_width)).cast("bigint"))
@@ -35,6 +36,10 @@ def ranked(df: DataFrame, keys: Sequence[str], seq_col: str, bucket_width: int =
     wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, "_bucket", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_ot"),
                      *[F.coalesce(F.sum(f"_bs_{n}").over(wb), F.lit(0)).alias(f"_os_{n}") for n in sums])
+    if base is not None:
+        off = off.join(base.select(*keys, F.col("rank").alias("_br"), *[F.col(n).alias(f"_b_{n}") for n in sums]), keys, "left")
+        off = off.select(*keys, "_bucket", (F.col("_ot") + F.coalesce("_br", F.lit(0))).alias("_ot"),
+                         *[(F.col(f"_os_{n}") + F.coalesce(f"_b_{n}", F.lit(0))).alias(f"_os_{n}") for n in sums])
     j = local.join(off, [*keys, "_bucket"])
     out = j.withColumn("rank", (F.col("_lr") + F.col("_ot")).cast("bigint"))
     for n in sums:

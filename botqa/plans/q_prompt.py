@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
-from ..functions.infer import HashJudgeClient, infer
 from ..functions.numeric import py_round_sql
 from ..operators import analyze as AN
 from ..operators import fix as FXO
@@ -71,14 +70,16 @@ def _judge_prompts(t):
 
 @register("U01_judge_inference")
 def u01_inference(t):
-    """U-01 + S-07 + A-03: judge prompts sent to a (deterministic) model client in
-    Arrow batches for each of the three judges, replies parsed, panel verdict."""
+    """U-01 + S-07 + A-03: judge prompts for each of the three judges, joined with the
+    replies that are stored for them; replies parsed, panel verdict.  A prompt
+    without a stored reply counts as a failed request."""
     prompts = _judge_prompts(t)
-    per_judge = prompts.select("scenario_id", F.posexplode(F.array(F.lit("judge_a"), F.lit("judge_b"),
-                                                                   F.lit("judge_c"))).alias("slot", "judge_model"),
-                               "prompt").withColumn("prompt", F.concat("judge_model", F.lit("\n"), "prompt"))
-    replies = infer(per_judge, "prompt", "raw", HashJudgeClient)
-    v = J.parse_verdicts(replies.drop("prompt")).where(F.col("valid"))
+    slots = F.posexplode(F.array(F.lit("judge_a"), F.lit("judge_b"), F.lit("judge_c"))).alias("slot", "judge_model")
+    per_judge = prompts.select("scenario_id", slots, "prompt")
+    # scenario ids are conversation * 1000000 + turn; replies are numbered by conversation, turn and judge
+    number = (F.expr("div(scenario_id, 1000000)") * 10 + F.col("scenario_id") % 1000000) * 3 + F.col("slot")
+    replies = per_judge.withColumn("reply_id", number).join(FX.raw_replies(t).select("reply_id", "raw"), "reply_id", "left")
+    v = J.parse_verdicts(replies.select("scenario_id", "slot", "judge_model", "raw")).where(F.col("valid"))
     return J.panel_verdict(v, prompts.select("scenario_id"))
 
 

@@ -47,7 +47,7 @@ def st03(t):
 @register("ST04_persona_status_stream", QUERIES["A22_persona_effectiveness"].sql.replace(
     "MAX(fails) / CAST(MAX(times) AS DOUBLE) AS failure_discovery_rate,", ""))
 def st04(t):
-    """ST-04: sticky persona status with per-key streaming state (applyInPandasWithState)."""
+    """ST-04: sticky persona status, each micro-batch on top of the state before it."""
     return SJ.persona_status_stream(FX.persona_use(StreamTables(t.spark, t.sf_dir)))
 
 

@@ -8,11 +8,11 @@ increments.  Checkpoints live in the shared checkpoint folder.
 * ST-01 episodic memory: stream of results joined to the static scenarios,
   per-batch (times, failures) increments; state = sum of increments.
 * ST-02 regression library: per batch, first failing result per input
-  (``min_by``) anti-joined against the library so far, appended.
+  (``min_by``) anti-joined against the buckets of the library that it falls into.
 * ST-03 live run counters: streaming aggregate in update mode; view = latest
   value per run.
-* ST-04 sticky persona status: ``applyInPandasWithState`` per (persona,
-  system type), events replayed in ``ord`` order inside each micro-batch.
+* ST-04 sticky persona status: running counts of each micro-batch with the
+  counts of the state before it as offsets; a batch writes the state after it.
 * ST-05 panel close: ``applyInPandasWithState`` per scenario keeps the votes of
   a panel until all its slots have voted or the watermark has passed its last
   vote by a day; the closed panels of a micro-batch then get their verdict.
@@ -30,7 +30,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import judge as J
 from ..operators import learn as L
-from .sources import exists, stream_workdir
+from ..session import cut_lineage
+from .sources import exists, stream_workdir, written_batches
 
 WATERMARK = "1 day"
 
@@ -90,22 +91,38 @@ def episodic_memory_stream(results_stream: DataFrame, scenarios: DataFrame, fold
 # ST-02
 # ---------------------------------------------------------------------------
 _LIBRARY = ("system_hash string, input string, expected_behavior string, difficulty string, "
-            "tags array<string>, system_type string, seq long, batch_id long")
+            "tags array<string>, system_type string, seq long, bucket int, batch_id long")
+#: Buckets of the library by (system, input); a batch writes a file for each that it touches.
+LIBRARY_BUCKETS = 64
 
 
 def regression_library_stream(results_stream: DataFrame, scenarios: DataFrame, folder: str | None = None) -> DataFrame:
+    """ST-02.  The library lies in hash buckets of (system, input), and by batch inside
+    a bucket.  A batch is first brought down to its first failure per input; then
+    only the folders of the buckets that these fall into are listed, and only the
+    two key columns of them read.  A batch that is run again replaces its own
+    partitions with the same rows."""
     joined = L.join_results_scenarios(results_stream, scenarios)
     spark = results_stream.sparkSession
 
     def factory(out):
         def sink(batch, batch_id):
-            lib = _read(spark, out, _LIBRARY).where(F.col("batch_id") < batch_id)
-            new = L.regression_candidates(batch, library=lib)
-            _write_increment(out)(new, batch_id)
+            bucket = F.pmod(F.xxhash64("system_hash", "input"), F.lit(LIBRARY_BUCKETS)).cast("int")
+            new = cut_lineage(L.regression_candidates(batch).withColumn("bucket", bucket), "library_candidates")
+            touched = [f"{out}/bucket={r['bucket']}" for r in new.select("bucket").distinct().collect()]  # LIBRARY_BUCKETS at most
+            held = [p for p in touched if exists(spark, p)]
+            if held:
+                keys = (spark.read.schema(_LIBRARY).option("basePath", out).parquet(*held)
+                        .where(F.col("batch_id") < batch_id).select("system_hash", "input", "bucket"))
+                new = new.join(keys, ["system_hash", "input", "bucket"], "left_anti")
+            (new.withColumn("batch_id", F.lit(batch_id).cast("bigint")).repartition("bucket").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(out))
         return sink
 
     out = _run(joined, "regression_library", factory, folder=folder)
-    return _read(spark, out, _LIBRARY)
+    if not exists(spark, out):
+        return spark.createDataFrame([], _LIBRARY).drop("bucket")
+    return spark.read.schema(_LIBRARY).parquet(out).drop("bucket")
 
 
 # ---------------------------------------------------------------------------
@@ -125,35 +142,33 @@ def live_run_counters_stream(results_stream: DataFrame, folder: str | None = Non
 # ---------------------------------------------------------------------------
 # ST-04
 # ---------------------------------------------------------------------------
-_PERSONA_OUT = "persona string, system_type string, times_used long, failures long, status string"
-_PERSONA_STATE = "times_used long, failures long, status string"
-
-
-def _persona_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    times, fails, status = (state.get if state.exists else (0, 0, None))
-    batch = pd.concat(list(pdfs)).sort_values("ord")
-    for found in batch["found_failure"].astype(bool):
-        times += 1
-        fails += int(found)
-        if times == 1:
-            status = "active"
-        elif 5 * fails >= 2 * times:
-            status = "high_value"
-        elif 20 * fails <= times and times >= 5:
-            status = "retired"
-    state.update((times, fails, status))
-    yield pd.DataFrame({"persona": [key[0]], "system_type": [key[1]], "times_used": [times],
-                        "failures": [fails], "status": [status]})
+_PERSONA_STATE = "persona string, system_type string, times_used long, failures long, failure_discovery_rate double, status string"
+
+
+def _snapshot(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The state that the last batch (before batch ``before``) has written."""
+    found = [n for n in written_batches(spark, out) if before is None or n < before]
+    if not found:
+        return spark.createDataFrame([], _PERSONA_STATE)
+    return spark.read.schema(_PERSONA_STATE).parquet(f"{out}/batch_id={max(found)}")
 
 
 def persona_status_stream(uses_stream: DataFrame, folder: str | None = None) -> DataFrame:
-    st = uses_stream.groupBy("persona", "system_type").applyInPandasWithState(
-        _persona_step, _PERSONA_OUT, _PERSONA_STATE, "update", GroupStateTimeout.NoTimeout)
-    out = _run(st, "persona_status", _write_increment, output_mode="update", folder=folder)
-    inc = _read(uses_stream.sparkSession, out, _PERSONA_OUT + ", batch_id long")
-    return inc.groupBy("persona", "system_type").agg(
-        F.max_by(F.struct("times_used", "failures", "status"), "batch_id").alias("s")).select(
-        "persona", "system_type", "s.*")
+    """ST-04: each batch goes on from the counts of the state before it, which are the
+    offsets of its running counts (``persona_effectiveness``: a distributed prefix
+    sum, so a persona with most of a batch's events is spread over tasks), and
+    writes the state after it.  A batch that is run again finds the same state
+    before it.  Uses count in the order of their batches, by ``ord`` inside one."""
+    spark = uses_stream.sparkSession
+
+    def factory(out):
+        def sink(batch, batch_id):
+            after = L.persona_effectiveness(batch, state=_snapshot(spark, out, batch_id))
+            after.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        return sink
+
+    out = _run(uses_stream, "persona_status", factory, folder=folder)
+    return _snapshot(spark, out).drop("failure_discovery_rate")
 
 
 # ---------------------------------------------------------------------------

@@ -42,6 +42,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def written_batches(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches whose folder ``batch_id=<n>`` under ``out`` is complete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return [int(n.partition("=")[2]) for n in names if n.startswith("batch_id=") and exists(spark, f"{out}/{n}/_SUCCESS")]
+
+
 def stream_workdir(spark: SparkSession, job: str, folder: str | None = None) -> str:
     """The folder of a job's checkpoint and output.  A caller that names
     ``folder`` gets the same one at each launch, so a stopped job goes on where it

@@ -3,10 +3,12 @@ and micro-batch increments."""
 
 import datetime as dt
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
 
+from botqa.operators import learn as L
 from botqa.streaming import jobs as SJ
 
 
@@ -104,3 +106,57 @@ def test_stopped_jobs_go_on_where_they_were(spark, tmp_path):
     assert sorted(map(str, library.drop("batch_id").collect())) == sorted(map(str, one_library.collect()))
     assert sorted((r.input, r.seq) for r in library.collect()) == [("in 0", 0), ("in 1", 3)]
     assert len({r.batch_id for r in library.collect()}) == 2
+
+
+def _uses(spark, src, i, rows):
+    spark.createDataFrame(rows, "ord long, persona string, system_type string, found_failure boolean").coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
+    _touch(os.path.join(src, f"b{i}"), 1_000_000_000 + 100 * i)
+
+
+def _uses_stream(spark, src):
+    schema = spark.read.parquet(os.path.join(src, "b0")).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+
+
+def test_persona_status_of_several_batches(spark, tmp_path):
+    """One persona has a third of all uses; stops, restarts and a batch run again equal the batch query."""
+    rng, src, folder = random.Random(8), str(tmp_path / "src"), str(tmp_path / "job")
+    os.makedirs(src)
+    who = ["hot" if i % 3 == 0 else f"p{rng.randint(0, 9)}" for i in range(1500)]
+    rows = [(i, p, "RAG", rng.random() < (0.3 if p == "hot" else int(p[1:]) / 12) * (0.1 if i < 600 else 1)) for i, p in enumerate(who)]
+    for i in range(3):
+        _uses(spark, src, i, rows[500 * i:500 * i + 500])
+        got = SJ.persona_status_stream(_uses_stream(spark, src), folder=folder)
+    want = L.persona_effectiveness(spark.createDataFrame(rows, "ord long, persona string, system_type string, found_failure boolean")).drop("failure_discovery_rate")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len({r.status for r in want.collect()}) > 1
+    out = f"{folder}/persona_status/out"
+    assert sorted(SJ.written_batches(spark, out)) == [0, 1, 2]
+    last = spark.createDataFrame(rows[1000:], "ord long, persona string, system_type string, found_failure boolean")
+    again = L.persona_effectiveness(last, bucket_width=64, state=SJ._snapshot(spark, out, 2)).drop("failure_discovery_rate")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_batch_reads_only_the_buckets_it_falls_into(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    scenarios = spark.createDataFrame([(i, "c", "RAG", f"in {i}", "out", "EASY", "h") for i in range(80)],
+                                      "scenario_id long, company string, system_type string, input string, expected_behavior string, "
+                                      "difficulty string, system_hash string").withColumn("tags", F.array(F.lit("t")))
+    src, folder = str(tmp_path / "src"), str(tmp_path / "job")
+    os.makedirs(src)
+    _results(spark, src, 0, [(i, i, "r", False, "INCOMPLETE", day) for i in range(78)])
+    SJ.regression_library_stream(_stream(spark, src), scenarios, folder=folder)
+    out = f"{folder}/regression_library/out"
+    spread = [d for d in os.listdir(out) if d.startswith("bucket=")]
+    assert 30 < len(spread) <= SJ.LIBRARY_BUCKETS
+    mine = {r[0] for r in spark.createDataFrame([("h", "in 3"), ("h", "in 79")], "system_hash string, input string").select(
+        F.pmod(F.xxhash64("system_hash", "input"), F.lit(SJ.LIBRARY_BUCKETS))).collect()}
+    for d in spread:  # a file that can't be read, in every other bucket
+        if int(d.partition("=")[2]) not in mine:
+            os.makedirs(f"{out}/{d}/batch_id=0", exist_ok=True)
+            with open(f"{out}/{d}/batch_id=0/broken.parquet", "w") as f:
+                f.write("not parquet")
+    _results(spark, src, 1, [(100, 3, "r", False, "INCOMPLETE", day), (101, 79, "r", False, "INCOMPLETE", day), (102, 79, "r", False, "INCOMPLETE", day)])
+    SJ.regression_library_stream(_stream(spark, src), scenarios, folder=folder)
+    new = spark.read.option("basePath", out).parquet(*[f"{out}/bucket={b}" for b in mine]).where("batch_id = 1").collect()
+    assert [(r.input, r.seq) for r in new] == [("in 79", 101)]

@@ -18,7 +18,10 @@ def _odd(spark, folder, rows):
     spark.createDataFrame([(*r, "x", "y", 1.0) for r in rows], schema).write.parquet(f"{folder}/documents.parquet")
     for name, schema, values in (("labels", "doc_id long, quality int, toxic int", [(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)]),
                                  ("benchmark", "item_id long, text string", [(1, "one two three four five six seven"), (2, None), (3, "")]),
-                                 ("conversations", "conv_id long, turn long, role string, text string", [(1, 0, "user", None), (None, None, None, "x")])):
+                                 ("conversations", "conv_id long, turn long, role string, text string", [(1, 0, "user", None), (None, None, None, "x")]),
+                                 ("pages", "page_id long, url string, html string, digest string, first string, payload string",
+                                  [(1, "u", "<p>" * 50, "d", "f", "p"), (2, None, "<p>" * 50, None, None, None), (2, None, "<p>" * 50, None, None, None),
+                                   (None, None, None, None, None, None), (3, "u", "", "d", "f", "p"), (4, "v", "<br>" * 500_000, "d", "f", "p")])):
         spark.createDataFrame(values if rows else [], schema).write.parquet(f"{folder}/{name}.parquet")
 
 
@@ -33,6 +36,10 @@ def test_every_query_on_odd_tables(spark, tmp_path, kind):
         n = query(spark, folder).count()
         if name.startswith(("op2", "op4", "op5", "op7", "op8", "op9", "op10")):
             assert n == (len(rows) if kind == "odd" else 0), name
+        if name.startswith("op11"):
+            assert n == (6 if kind == "odd" else 0), name
+        if name.startswith("op12"):
+            assert n == (6 if kind == "odd" else 0), name  # the pairs of the three sources of en
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = staged(stage(spark, docs, folder), f"odd{i}")

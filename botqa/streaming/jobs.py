@@ -2,8 +2,9 @@
 
 Sinks are ``foreachBatch`` writers into Parquet folders keyed by the batch id
 (a re-run of a batch overwrites its own partition, so retries after executor
-loss are idempotent); the *view* of a sink is an aggregate over those
-increments.  Checkpoints live in the shared checkpoint folder.
+loss are idempotent); ST-01, ST-03 and ST-05 merge their increments level by
+level (``increments``), and the *view* of a sink reads the few widest folders.
+Checkpoints live in the shared checkpoint folder.
 
 * ST-01 episodic memory: stream of results joined to the static scenarios,
   per-batch (times, failures) increments; state = sum of increments.
@@ -31,15 +32,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import judge as J
 from ..operators import learn as L
 from ..session import cut_lineage
-from .sources import exists, stream_workdir, written_batches
+from ..sources.folders import exists
+from .increments import compact, read_increments
+from .sources import stream_workdir, written_batches
 
 WATERMARK = "1 day"
 
 
-def _write_increment(out_dir: str):
+def _write_increment(out_dir: str, merge):
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-              .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}"))
+        inc = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        inc.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        compact(batch.sparkSession, out_dir, inc.schema, batch_id, merge)
     return sink
 
 
@@ -58,15 +62,19 @@ def _run(stream_df: DataFrame, job: str, sink_factory, output_mode: str = "appen
     return out
 
 
-def _read(spark: SparkSession, out: str, schema) -> DataFrame:
-    if not exists(spark, out):  # no batch produced output yet
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(out)
-
-
 # ---------------------------------------------------------------------------
 # ST-01
 # ---------------------------------------------------------------------------
+_MEMORY = ("system_hash string, pattern string, system_type string, times_used long, failures long, "
+           "first_seq long, batch_id long")
+
+
+def merge_memory(increments: DataFrame) -> DataFrame:
+    return increments.groupBy("system_hash", "pattern", "system_type").agg(
+        F.sum("times_used").alias("times_used"), F.sum("failures").alias("failures"),
+        F.min("first_seq").alias("first_seq"), F.max("batch_id").alias("batch_id"))
+
+
 def episodic_memory_stream(results_stream: DataFrame, scenarios: DataFrame, folder: str | None = None) -> DataFrame:
     """Per micro-batch (system, pattern) increments; returns the state view."""
     joined = L.join_results_scenarios(results_stream, scenarios)
@@ -75,16 +83,12 @@ def episodic_memory_stream(results_stream: DataFrame, scenarios: DataFrame, fold
     def factory(out):
         def sink(batch, batch_id):
             inc = L.episodic_memory(batch).drop("failure_rate")
-            _write_increment(out)(inc, batch_id)
+            _write_increment(out, merge_memory)(inc, batch_id)
         return sink
 
     out = _run(events, "episodic_memory", factory, folder=folder)
-    spark = results_stream.sparkSession
-    inc = _read(spark, out, "system_hash string, pattern string, system_type string, times_used long, "
-                            "failures long, first_seq long, batch_id long")
-    g = inc.groupBy("system_hash", "pattern", "system_type").agg(
-        F.sum("times_used").alias("times_used"), F.sum("failures").alias("failures"))
-    return g.withColumn("failure_rate", F.col("failures") / F.col("times_used"))
+    held = read_increments(results_stream.sparkSession, out, _MEMORY, merge_memory)
+    return held.drop("first_seq", "batch_id").withColumn("failure_rate", F.col("failures") / F.col("times_used"))
 
 
 # ---------------------------------------------------------------------------
@@ -128,15 +132,21 @@ def regression_library_stream(results_stream: DataFrame, scenarios: DataFrame, f
 # ---------------------------------------------------------------------------
 # ST-03
 # ---------------------------------------------------------------------------
+_COUNTERS = "run_id string, total long, passed_count long, typed_failures long, batch_id long"
+
+
+def merge_counters(increments: DataFrame) -> DataFrame:
+    """The latest counters of each run."""
+    latest = F.max_by(F.struct("total", "passed_count", "typed_failures"), "batch_id").alias("s")
+    return increments.groupBy("run_id").agg(latest, F.max("batch_id").alias("batch_id")).select("run_id", "s.*", "batch_id")
+
+
 def live_run_counters_stream(results_stream: DataFrame, folder: str | None = None) -> DataFrame:
     agg = results_stream.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("passed")).alias("passed_count"),
         F.count_if(~F.col("passed") & F.col("failure_type").isNotNull()).alias("typed_failures"))
-    out = _run(agg, "live_run_counters", _write_increment, output_mode="update", folder=folder)
-    inc = _read(results_stream.sparkSession, out,
-                "run_id string, total long, passed_count long, typed_failures long, batch_id long")
-    return inc.groupBy("run_id").agg(F.max_by(F.struct("total", "passed_count", "typed_failures"),
-                                              "batch_id").alias("s")).select("run_id", "s.*")
+    out = _run(agg, "live_run_counters", lambda out: _write_increment(out, merge_counters), output_mode="update", folder=folder)
+    return read_increments(results_stream.sparkSession, out, _COUNTERS, merge_counters).drop("batch_id")
 
 
 # ---------------------------------------------------------------------------
@@ -210,6 +220,11 @@ def _panel_step(slots: int, wait_ms: int):
     return step
 
 
+def merge_panels(increments: DataFrame) -> DataFrame:
+    """A panel closes once, so its verdicts are only put into fewer files."""
+    return increments.hint("rebalance")
+
+
 def panel_close_stream(verdicts_stream: DataFrame, slots: int = PANEL_SLOTS, wait_ms: int = PANEL_WAIT_MS,
                        folder: str | None = None) -> DataFrame:
     """One verdict per scenario, given when ``slots`` judges have voted or
@@ -221,10 +236,10 @@ def panel_close_stream(verdicts_stream: DataFrame, slots: int = PANEL_SLOTS, wai
 
     def factory(out):
         def sink(batch, batch_id):
-            _write_increment(out)(J.panel_verdict(batch), batch_id)
+            _write_increment(out, merge_panels)(J.panel_verdict(batch), batch_id)
         return sink
 
     out = _run(votes, "panel_close", factory, folder=folder)
     spark = verdicts_stream.sparkSession
     schema = J.panel_verdict(spark.createDataFrame([], _VOTES)).schema.add("batch_id", "long")
-    return _read(spark, out, schema)
+    return read_increments(spark, out, schema, lambda panels: panels)

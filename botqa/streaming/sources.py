@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
+from ..sources.folders import complete, numbers
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
@@ -36,18 +37,9 @@ class StreamTables:
         return stream_table(self.spark, self.sf_dir, name)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` is there, in whatever file system it names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def written_batches(spark: SparkSession, out: str) -> list[int]:
     """Numbers of the batches whose folder ``batch_id=<n>`` under ``out`` is complete."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return [int(n.partition("=")[2]) for n in names if n.startswith("batch_id=") and exists(spark, f"{out}/{n}/_SUCCESS")]
+    return [n for n in numbers(spark, out, "batch_id") if complete(spark, f"{out}/batch_id={n}")]
 
 
 def stream_workdir(spark: SparkSession, job: str, folder: str | None = None) -> str:

@@ -1,13 +1,17 @@
-"""Registered queries: run store and history (SRC-03..SRC-07, W-03, W-04, W-06, A-18)."""
+"""Registered queries: run store and history (SRC-01, SRC-03..SRC-07, W-03, W-04, W-06, A-18)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import analyze as AN
 from ..operators import learn as L
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
 from ..sources import runlog as RL
+from ..sources import runstore as RS
 from .registry import register
 
 # the current-state view of the run log, as SQL over the runs fixture
@@ -36,6 +40,18 @@ def src03_current_runs(t):
     return _live(t).select(*_SUMMARY)
 
 
+@register("SRC01_run_store", _LIVE + "SELECT * FROM live")
+def src01_run_store(t):
+    """SRC-01: the run log in files; requests and results are folded into the
+    snapshot one after the other, deletes are read from the append after it."""
+    events, path = FX.run_events(t), f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    for number in range(3):
+        RS.append_run_events(events.where(F.col("seq") == number + 1), path, number)
+        if number < 2:
+            RS.fold_run_events(t.spark, path)
+    return RS.read_runs(t.spark, path).select(*_SUMMARY)
+
+
 @register("SRC04_live_runs_per_company", _LIVE + """
 SELECT company_name, COUNT(*) AS live_runs FROM live GROUP BY company_name
 """)

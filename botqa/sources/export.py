@@ -32,8 +32,8 @@ def write_finetune_json(pairs: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV export of any flat result table."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV export of any flat result table, quotes doubled as other readers expect."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_text(lines: DataFrame, path: str, col: str = "value") -> None:

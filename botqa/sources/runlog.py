@@ -1,4 +1,4 @@
-"""Run log as an append-only event table (SRC-01, SRC-03..SRC-07, W-03, W-04).
+"""Run log as an append-only event table (SRC-03..SRC-07, W-03, W-04); ``runstore`` keeps it in files.
 
 Instead of UPDATE/DELETE on one table, every change is an event row
 ``run_events(run_id, event_ts, seq, op, <nullable run columns>)``; the current
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The columns of a run.
 RUN_COLUMNS = ["created_at", "company_name", "system_type", "target_model", "status", "pass_rate",
                "total_scenarios", "total_failures", "run_cost_usd", "config_json", "results_json",
                "analysis_json", "fixes_json", "error_message"]
@@ -43,15 +44,6 @@ RUN_EVENT_SCHEMA = T.StructType([
 PAYLOADS = ("config", "results", "analysis", "fixes")
 
 
-def read_run_events(spark, path: str) -> DataFrame:
-    """SRC-01: the event log with its explicit schema (no inference)."""
-    return spark.read.schema(RUN_EVENT_SCHEMA).parquet(path)
-
-
-def append_run_events(events: DataFrame, path: str) -> None:
-    events.select(*[f.name for f in RUN_EVENT_SCHEMA]).write.mode("append").parquet(path)
-
-
 def current_runs(events: DataFrame) -> DataFrame:
     """SRC-03 + SRC-04: state of every run = per column the value of the
     latest event that set it (non-null); runs with a delete tombstone are

@@ -18,8 +18,8 @@ Distributed plan, exact and without materialising all pairs:
   the result is a unique MST); components merge by pointer jumping on the
   small chosen-edge table; every round is checkpointed (reliable checkpoint
   in the shared checkpoint folder), ~log2(n) rounds.
-* condensed tree + EOM on the n-1 tree edges of each run (U-03,
-  ``applyInPandas``): linear-size input, all runs in parallel.
+* condensed tree and excess-of-mass selection (U-03) by joins over the tree
+  edges (``condense``); only the splits of a run are nested in one group.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..session import cut_lineage
+from .condense import condense_and_select
 
 _INF = float("inf")
 
@@ -195,141 +196,6 @@ def mst(points: DataFrame, core: DataFrame, block_size: int = 1024, max_rounds:
     return tree.distinct()
 
 
-# ---------------------------------------------------------------------------
-# U-03 condensed tree + excess of mass, per run
-# ---------------------------------------------------------------------------
-def _eom_labels(pids: np.ndarray, edges: pd.DataFrame, min_cluster_size: int) -> np.ndarray:
-    n = len(pids)
-    labels = np.full(n, -1, dtype=np.int64)
-    if n < 2 or len(edges) == 0:
-        return labels
-    index = {int(p): i for i, p in enumerate(pids)}
-    e = edges.sort_values(["w", "a", "b"], kind="mergesort")
-    parent = list(range(2 * n))
-    size = [1] * n + [0] * n
-    children = {}
-    dist = {}
-    nxt = n
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b, w in zip(e["a"], e["b"], e["w"]):
-        ra, rb = find(index[int(a)]), find(index[int(b)])
-        if ra == rb:
-            continue
-        node = nxt
-        nxt += 1
-        parent[ra] = parent[rb] = node
-        size[node] = size[ra] + size[rb]
-        children[node] = (ra, rb)
-        dist[node] = w
-    roots = {find(i) for i in range(n)}
-
-    def lam(d):
-        return _INF if d <= 0 else 1.0 / d
-
-    def leaves(node):
-        out, stack = [], [node]
-        while stack:
-            x = stack.pop()
-            if x < n:
-                out.append(x)
-            else:
-                stack.extend(children[x])
-        return out
-
-    next_label = 0
-    for root in sorted(roots):
-        if root < n:
-            continue
-        # condensed tree: cluster -> (birth lambda, points with fall-out lambda, child clusters)
-        clusters = {0: {"birth": 0.0, "points": [], "kids": [], "size": size[root]}}
-        stack = [(root, 0)]
-        while stack:
-            node, cid = stack.pop()
-            if node < n:
-                clusters[cid]["points"].append((node, clusters[cid]["birth"]))
-                continue
-            l, r = children[node]
-            lv = lam(dist[node])
-            sl, sr = size[l], size[r]
-            if sl >= min_cluster_size and sr >= min_cluster_size:
-                for ch in (l, r):
-                    nid = len(clusters)
-                    clusters[nid] = {"birth": lv, "points": [], "kids": [], "size": size[ch]}
-                    clusters[cid]["kids"].append(nid)
-                    stack.append((ch, nid))
-            elif sl < min_cluster_size and sr < min_cluster_size:
-                for ch in (l, r):
-                    clusters[cid]["points"].extend((p, lv) for p in leaves(ch))
-            else:
-                small, big = (l, r) if sl < min_cluster_size else (r, l)
-                clusters[cid]["points"].extend((p, lv) for p in leaves(small))
-                stack.append((big, cid))
-        # stability
-        stab = {}
-        for cid, c in clusters.items():
-            s = 0.0
-            b = c["birth"]
-            for _, lv in c["points"]:
-                s += (min(lv, 1e300) - b)
-            for k in c["kids"]:
-                s += clusters[k]["size"] * (clusters[k]["birth"] - b)
-            stab[cid] = s
-        # excess of mass, leaves up; the root cluster is not selectable
-        selected = {}
-        for cid in sorted(clusters, reverse=True):
-            kids = clusters[cid]["kids"]
-            if not kids:
-                selected[cid] = True
-                continue
-            child_sum = sum(stab[k] for k in kids)
-            if cid != 0 and stab[cid] >= child_sum:
-                selected[cid] = True
-                stack2 = list(kids)
-                while stack2:
-                    k = stack2.pop()
-                    selected[k] = False
-                    stack2.extend(clusters[k]["kids"])
-            else:
-                selected[cid] = False
-                stab[cid] = child_sum
-        if len(clusters) == 1:
-            continue  # no split ever reached min_cluster_size: all noise
-        for cid in sorted(c for c, sel in selected.items() if sel):
-            stack3 = [cid]
-            members = []
-            while stack3:
-                k = stack3.pop()
-                members.extend(p for p, _ in clusters[k]["points"])
-                stack3.extend(clusters[k]["kids"])
-            labels[members] = next_label
-            next_label += 1
-    return labels
-
-
-def condense_and_select(points: DataFrame, tree: DataFrame,
-                        min_cluster_size: int = S.HDBSCAN_MIN_CLUSTER_SIZE) -> DataFrame:
-    """U-03: per run, cluster label of every point (-1 = noise)."""
-    pts = points.select("run", "pid", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"),
-                        F.lit(None).cast("double").alias("w"))
-    edges = tree.select("run", F.lit(None).cast("long").alias("pid"), "a", "b", "w")
-    both = pts.unionByName(edges)
-
-    def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[pdf["pid"].notna()]
-        pids = np.sort(p["pid"].astype("int64").to_numpy())
-        e = pdf[pdf["a"].notna()][["a", "b", "w"]].astype({"a": "int64", "b": "int64"})
-        lab = _eom_labels(pids, e, min_cluster_size)
-        return pd.DataFrame({"run": pdf["run"].iloc[0], "pid": pids, "cluster": lab})
-
-    return both.groupBy("run").applyInPandas(per_run, "run string, pid long, cluster long")
-
-
 def density_clusters(vectors: DataFrame, run_col: str = "run_id", id_col: str = "result_id",
                      vec_col: str = "embedding", min_cluster_size: int = S.HDBSCAN_MIN_CLUSTER_SIZE,
                      min_samples: int = S.HDBSCAN_MIN_SAMPLES, block_size: int = 1024,

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from botqa.operators import cluster as C
+from dendrogram import eom_labels
 
 
 def _data(seed=0, runs=("r_a", "r_b"), per=12, dim=6):
@@ -45,7 +46,7 @@ def _brute(rows, run):
         src[upd] = j
         best = np.minimum(best, M[j])
     e = pd.DataFrame(edges, columns=["a", "b", "w"])
-    return C._eom_labels(np.sort(pids), e, 3), e["w"].sum()
+    return eom_labels(np.sort(pids), e, 3), e["w"].sum()
 
 
 @pytest.mark.parametrize("block", [8, 1024])

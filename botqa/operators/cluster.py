@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -150,13 +150,11 @@ def _relabel(edges: DataFrame) -> DataFrame:
     t = edges.select("run", "comp", "other")
     p = t.select("run", "comp", F.col("other").alias("p"))
     for _ in range(64):
+        moved = Observation()
         q = (p.alias("a").join(p.alias("b"), (F.col("a.run") == F.col("b.run")) & (F.col("a.p") == F.col("b.comp")))
-              .select(F.col("a.run").alias("run"), F.col("a.comp").alias("comp"), F.col("a.p").alias("p1"),
-                      F.col("b.p").alias("p")))
-        q = cut_lineage(q)
-        done = q.where(F.col("p") != F.col("p1")).limit(1).count() == 0
-        p = q.select("run", "comp", "p")
-        if done:
+              .select("a.run", "a.comp", "b.p", (F.col("a.p") != F.col("b.p")).alias("moved")))
+        p = cut_lineage(q.observe(moved, F.count_if("moved").alias("n")).drop("moved"))
+        if not moved.get["n"]:
             break
     else:
         raise RuntimeError("pointer jumping did not converge")
@@ -182,8 +180,12 @@ def mst(points: DataFrame, core: DataFrame, block_size: int = 1024, max_rounds:
         if best.limit(1).count() == 0:
             break
         rounds.append(best.select("run", F.col("lo").alias("a"), F.col("hi").alias("b"), "w"))
-        lab = _relabel(best.select("run", "comp", "other"))
-        st = (st.join(lab, ["run", "comp"], "left")
+        lab = cut_lineage(_relabel(best.select("run", "comp", "other")), "mst_labels")
+        # runs whose components are all one need no further round
+        parted = lab.groupBy("run").agg(F.count_distinct("new").alias("_n")).where("_n > 1").select("run")
+        if parted.isEmpty():
+            break
+        st = (st.join(parted, "run", "left_semi").join(lab, ["run", "comp"], "left")
                 .withColumn("comp", F.coalesce("new", "comp")).drop("new"))
         st = cut_lineage(st, "mst_state")
     else:

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -52,7 +52,7 @@ def fall_out_edges(edges: DataFrame, least: int) -> DataFrame:
     ends = [edges.select("run", F.col(x).alias("pid"), F.struct("w", "lo", "hi", F.col(y).alias("to")).alias("e"))
             for x, y in (("lo", "hi"), ("hi", "lo"))]
     ranked = ends[0].unionByName(ends[1]).withColumn("_r", F.row_number().over(Window.partitionBy("run", "pid").orderBy("e")))
-    near = cut_lineage(ranked.where(F.col("_r") <= least).groupBy("run", "pid").agg(F.collect_list("e").alias("near")), "near")
+    near = ranked.where(F.col("_r") <= least).groupBy("run", "pid").agg(F.sort_array(F.collect_list("e")).alias("near"))
     look = near.select("run", F.col("pid").alias("next"), "near")
     part = near.select("run", "pid", F.array("pid").alias("part"), F.col("near").alias("out"), F.lit(None).cast(_EDGE).alias("t"))
     for step in range(1, least):
@@ -64,15 +64,23 @@ def fall_out_edges(edges: DataFrame, least: int) -> DataFrame:
     return part.select("run", "pid", "t")
 
 
+def _jumped(pointers: DataFrame) -> DataFrame:
+    a, b = pointers.alias("a"), pointers.alias("b")
+    return a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.to") == F.col("b.pid"))).select("a.run", "a.pid", "b.to")
+
+
 def _settled(pointers: DataFrame) -> DataFrame:
-    """(run, pid, to) with each pointer followed to its end, a row that points at itself."""
-    for _ in range(64):
-        a, b = pointers.alias("a"), pointers.alias("b")
-        pointers = cut_lineage(a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.to") == F.col("b.pid")))
-                               .select("a.run", "a.pid", F.col("a.to").alias("before"), F.col("b.to").alias("to")), "leaf")
-        if pointers.where("to <> before").isEmpty():
-            return pointers.select("run", "pid", "to")
-        pointers = pointers.drop("before")
+    """(run, pid, to) with each pointer followed to its end, a row that points at itself.
+    A pass makes each pointer four times as long and counts those that moved at its end."""
+    pointers = cut_lineage(pointers, "leaf")
+    for _ in range(32):
+        half, moved = _jumped(pointers), Observation()
+        a, b = half.alias("a"), half.alias("b")
+        far = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.to") == F.col("b.pid"))).select(
+            "a.run", "a.pid", "b.to", (F.col("a.to") != F.col("b.to")).alias("moved"))
+        pointers = cut_lineage(far.observe(moved, F.count_if("moved").alias("n")).drop("moved"), "leaf")
+        if not moved.get["n"]:
+            return pointers
     raise RuntimeError("pointers did not settle")
 
 
@@ -155,7 +163,7 @@ def condense_and_select(points: DataFrame, tree: DataFrame, least: int) -> DataF
     if least < 2:
         raise ValueError("a cluster has at least two points")
     noise = points.select("run", "pid", F.lit(-1).cast("long").alias("cluster"))
-    edges = tree.select("run", "w", F.col("a").alias("lo"), F.col("b").alias("hi"))
+    edges = cut_lineage(tree.select("run", "w", F.col("a").alias("lo"), F.col("b").alias("hi")), "tree")
     fall = cut_lineage(fall_out_edges(edges, least), "fall_out")
     ends = edges
     for end in ("lo", "hi"):

@@ -158,10 +158,14 @@ def test_labels_do_not_depend_on_the_block_size(spark):
 
 
 def test_an_incomplete_forest_is_an_error(spark):
-    points = spark.createDataFrame([("r", i, [float(i * i)]) for i in range(40)], "run string, pid long, vec array<double>")
+    """Pairs of pairs of pairs take three rounds, and no fourth one to see that they are done."""
+    at = [float(100 * (i // 4) + 10 * (i // 2 % 2) + i % 2) for i in range(8)]
+    points = spark.createDataFrame([("r", i, [x]) for i, x in enumerate(at)], "run string, pid long, vec array<double>")
     core = points.select("run", "pid", F.lit(0.0).alias("core"))
     with pytest.raises(RuntimeError, match="not complete"):
-        C.mst(points, core, max_rounds=1)
+        C.mst(points, core, max_rounds=2)
+    tree = C.mst(points, core, max_rounds=3).collect()
+    assert sorted(r.w for r in tree) == [1.0] * 4 + [9.0] * 2 + [89.0]
 
 
 def test_text_embeddings_weigh_rare_words(spark):

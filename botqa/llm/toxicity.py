@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segment search.
 
 Every token has a score: the log-odds of its features (the word and its first 4,
-5 and 6 bytes) between toxic and other documents, with an informative Dirichlet
+6 and 8 bytes) between toxic and other documents, with an informative Dirichlet
 prior from the whole corpus, shrunk to the bound nearer zero of its confidence
 interval, less a drift that makes ordinary text score negative.  A linear-time
 scan finds all maximal scoring segments of a document.  Scores follow an extreme
@@ -9,11 +9,14 @@ value law: a segment of score S in a text of m tokens is expected m exp(-lambda
 times by chance, with lambda from the score distribution of other documents;
 segments expected less than ``MAX_EXPECTED`` times are significant.  A document's
 evidence is the sum of lambda S - ln m over them, and a logistic curve fitted to
-the labels maps it to a score from 0 to 1.
+the labels maps it to a score from 0 to 1.  The curve is cross-fitted: it sees the
+evidence that a text has by a lexicon learnt without the text's fold, which is what
+a new document has, and not that of the rows that chose the lexicon.
 
-Counts by feature are Spark aggregates; the features with a positive score (a
-lexicon of at most ``LEXICON_ROWS``) travel to the tasks.  Labels are used on a
-bounded sample, one document per distinct text.
+Counts by feature are Spark aggregates; all features whose score exceeds the drift
+travel to the tasks as the lexicon.  Labels are used on a bounded sample, one
+document per distinct text, and so the lexicon holds words of at most
+``SAMPLE_ROWS`` texts, however many documents there are.
 
 Edges: null or empty text has no tokens and no evidence; null labels and null ids
 are not learned from; without labels of both kinds every score is the share of
@@ -35,12 +38,13 @@ from .common import mix64, prefix_hash, span_hash, staged, text_blocks, words
 
 #: Most labelled rows that the lexicon and the curve are fitted on.
 SAMPLE_ROWS = 20_000
-#: Most features kept in the lexicon (the highest scores).
-LEXICON_ROWS = 200_000
 #: Pseudo-counts of the corpus distribution as a share of all counts, width of the confidence interval, cost of a token.
-PRIOR, WIDTH, DRIFT = 0.1, 1.0, 0.1
+#: Chosen, with the prefixes, by cross-validation among learning rows (remainder not 2) alone.
+PRIOR, WIDTH, DRIFT = 0.1, 1.3, 0.03
 MAX_EXPECTED = 1.0
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 6, 8)
+#: Parts of the sample, by the text's hash, that the curve is cross-fitted on.
+FOLDS = 4
 
 _TOKEN = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b == 39 or b > 127 for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -162,18 +166,22 @@ _PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.St
                                       T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))
 
 
+#: toxic and other texts with a feature, by fold
+_COUNTS = [f"{kind}{k}" for k in range(FOLDS) for kind in ("toxic", "other")]
+
+
 def _label_counts(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            fold = batch.column("fold").to_numpy()
             for lo, hi, data, offsets in text_blocks(batch.column(text)):
                 _, _, row, found = features(data, offsets)
                 r, f = _presence(row, found)
                 feature, at = np.unique(f, return_inverse=True)
-                yes = np.bincount(at, weights=toxic[lo:hi][r], minlength=len(feature)).astype(np.int64)
-                both = np.bincount(at, minlength=len(feature))
-                yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(yes), pa.array(both - yes)],
-                                                 ["feature", "toxic", "other"])
+                cell = at * (2 * FOLDS) + 2 * fold[lo:hi][r] + ~toxic[lo:hi][r]
+                n = np.bincount(cell, minlength=len(feature) * 2 * FOLDS).reshape(len(feature), 2 * FOLDS)
+                yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), *map(pa.array, n.T)], ["feature", *_COUNTS])
     return run
 
 
@@ -233,6 +241,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), max(0.0, float(w[1]))
 
 
+def _total(get, kind: str, without: int | None):
+    """The sum of a kind's counts over the folds, but for one."""
+    return sum(get(f"{kind}{k}") for k in range(FOLDS) if k != without)
+
+
+def _first_bound(toxic: Column, other: Column, all_toxic: float, all_other: float) -> Column:
+    """Lower bound of the log-odds with the sample's own distribution as prior."""
+    if not all_toxic or not all_other:
+        return F.lit(0.0)
+    strength = PRIOR * (all_toxic + all_other)
+    prior = F.lit(strength) * (toxic + other) / F.lit(all_toxic + all_other)
+    a, b = toxic + prior, other + prior
+    bound = F.log(a / (F.lit(all_toxic + strength) - a)) - F.log(b / (F.lit(all_other + strength) - b)) - WIDTH * F.sqrt(1 / a + 1 / b)
+    return F.when(toxic > 0, bound).otherwise(0.0)
+
+
+def _fitted(hashes: np.ndarray, toxic: np.ndarray, other: np.ndarray, all_toxic: float, all_other: float,
+            share: np.ndarray) -> tuple[Lexicon, float]:
+    """Lexicon and lambda, given each feature's share of the corpus."""
+    if not all_toxic or not all_other:
+        return Lexicon(hashes[:0], np.zeros(0)), 1.0
+    strength = PRIOR * (all_toxic + all_other)
+    prior = np.maximum(strength * share, 1e-9)
+    score = log_odds(toxic, other, prior, all_toxic, all_other, strength, WIDTH)
+    keep = (score > DRIFT) & (toxic > 0)
+    chance = ((other + prior) / (all_other + strength))[keep]
+    return Lexicon(hashes[keep], score[keep]), _decay(score[keep], chance, DRIFT) if keep.any() else 1.0
+
+
 class ToxicityModel:
     """Lexicon, lambda and curve, fitted on ``labels`` (``doc_id``, ``toxic``) of
     the rows that ``learn`` (a condition on doc_id) admits."""
@@ -243,46 +280,46 @@ class ToxicityModel:
         sample = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "toxic-sample")
         texts = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most sample_rows rows
         texts = staged(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-                       .drop("h"), "toxic-texts")
-        counts = staged(texts.mapInArrow(_label_counts("text"), "feature long, toxic long, other long")
-                        .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxic-counts")
+                       .withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("long")).drop("h"), "toxic-texts")
+        counts = staged(texts.mapInArrow(_label_counts("text"), "feature long, " + ", ".join(f"{c} long" for c in _COUNTS))
+                        .groupBy("feature").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "toxic-counts")
         n1, n0 = (int(x or 0) for x in texts.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first())
-        all1, all0 = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("other")).first())
         self.lexicon, self.decay, self.curve = Lexicon(np.zeros(0, np.uint64), np.zeros(0)), 1.0, (-30.0, 0.0)
         if not n1 or not n0:
             self.curve = (30.0, 0.0) if n1 else self.curve
             return
-        # first choice on the sample's own prior; then the prior from all documents
-        strength = PRIOR * (all1 + all0)
-        prior = F.lit(strength) * (F.col("toxic") + F.col("other")) / F.lit(all1 + all0)
-        a, b = F.col("toxic") + prior, F.col("other") + prior
-        bound = (F.log(a / (F.lit(all1 + strength) - a)) - F.log(b / (F.lit(all0 + strength) - b)) - WIDTH * F.sqrt(1 / a + 1 / b))
-        first = (counts.where(bound > DRIFT).orderBy(bound.desc(), "feature").limit(LEXICON_ROWS).toPandas())
+        # first choice on the sample's own prior, for the whole sample and for it without each fold
+        sums = {c: float(x or 0) for c, x in zip(_COUNTS, counts.agg(*[F.sum(c) for c in _COUNTS]).first(), strict=True)}
+        without = [None, *range(FOLDS)]
+        bounds = [_first_bound(_total(F.col, "toxic", k), _total(F.col, "other", k), _total(sums.get, "toxic", k), _total(sums.get, "other", k))
+                  for k in without]
+        first = counts.where(F.greatest(*bounds) > DRIFT).toPandas()
         if not len(first):
             self.curve = (float(np.log(n1 / n0)), 0.0)
             return
-        chosen = Lexicon(first.feature.to_numpy(np.int64).view(np.uint64), np.zeros(len(first)))
+        # then the prior from all documents
+        hashes = first.feature.to_numpy(np.int64).view(np.uint64)
+        chosen = Lexicon(hashes, np.zeros(len(first)))
         seen = docs.select("text").mapInArrow(_corpus_counts("text", chosen), "feature long, n long").groupBy("feature").agg(F.sum("n")).collect()
         seen = dict(map(tuple, seen))
         total = float(seen.pop(0))
         n = np.array([seen.get(int(f), 0) for f in first.feature], float)
-        prior = np.maximum(strength * n / total, 1e-9)
-        toxic, other = first.toxic.to_numpy(float), first.other.to_numpy(float)
-        score = log_odds(toxic, other, prior, all1, all0, strength, WIDTH)
-        keep = score > DRIFT
-        chance = ((other + prior) / (all0 + strength))[keep]
-        self.lexicon = Lexicon(first.feature.to_numpy(np.int64).view(np.uint64)[keep], score[keep])
-        self.decay = _decay(score[keep], chance, DRIFT) if keep.any() else 1.0
-        found = self._scan(texts).select("toxic", "evidence").toPandas()  # a row per sampled text
-        self.curve = fit_logistic(np.log1p(found.evidence.to_numpy()), found.toxic.to_numpy(float))
-
-    def _scan(self, docs: DataFrame) -> DataFrame:
+        models = [_fitted(hashes, *[_total(first.get, kind, k).to_numpy(float) for kind in ("toxic", "other")],
+                          *[_total(sums.get, kind, k) for kind in ("toxic", "other")], n / total) for k in without]
+        self.lexicon, self.decay = models[0]
+        found = [self._scan(texts.where(F.col("fold") == k), *models[k + 1]).select("toxic", "evidence").toPandas()  # a row per sampled text
+                 for k in range(FOLDS)]
+        evidence, toxic = (np.concatenate([x[c].to_numpy(float) for x in found]) for c in ("evidence", "toxic"))
+        self.curve = fit_logistic(np.log1p(evidence), toxic)
+
+    @staticmethod
+    def _scan(docs: DataFrame, lexicon: Lexicon, decay: float) -> DataFrame:
         fields = [f for f in docs.schema.fields if f.name != "text"]
         schema = T.StructType([*fields, T.StructField("tokens", T.LongType()), T.StructField("evidence", T.DoubleType()),
                                T.StructField("passages", _PASSAGES)])
-        return docs.mapInArrow(_scorer("text", self.lexicon, self.decay, DRIFT), schema)
+        return docs.mapInArrow(_scorer("text", lexicon, decay, DRIFT), schema)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, tokens, evidence, passages (code points, end exclusive) and score of each document."""
         x = F.lit(self.curve[0]) + F.lit(self.curve[1]) * F.log1p("evidence")
-        return self._scan(docs.select("doc_id", "text")).withColumn("score", 1 / (1 + F.exp(-x)))
+        return self._scan(docs.select("doc_id", "text"), self.lexicon, self.decay).withColumn("score", 1 / (1 + F.exp(-x)))

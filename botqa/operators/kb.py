@@ -18,6 +18,7 @@ from ..functions.text import py_strip
 CHALLENGE_TYPES = ["multi_section", "out_of_scope", "ambiguous", "contradictory"]
 VARIATIONS_PER_DOC = 2
 MAX_DOCS_PER_SOURCE = 10
+MAX_SCRATCH_DOCS = 5
 GROUNDED_COUNT = 200
 DOMAIN_TOPICS = {
     "general": ["company policies and procedures", "product documentation", "frequently asked questions",
@@ -57,15 +58,84 @@ def build_knowledge_base(*sources: DataFrame, scratch: DataFrame | None = None,
 
 
 def plan_variations(docs: DataFrame, challenge_types: Sequence[str] = tuple(CHALLENGE_TYPES),
-                    per_doc: int = VARIATIONS_PER_DOC, max_docs: int = MAX_DOCS_PER_SOURCE) -> DataFrame:
+                    per_doc: int = VARIATIONS_PER_DOC, max_docs: int = MAX_DOCS_PER_SOURCE,
+                    keep: Sequence[str] = ()) -> DataFrame:
     """J-07: the first ``max_docs`` real documents of each kb x the first
     ``per_doc`` challenge types.  The challenge list is a literal array on
-    each row (explode), not a joined table."""
+    each row (explode), not a joined table; ``keep`` names further columns."""
     real = docs.where(~F.col("is_synthetic"))
     w = Window.partitionBy("kb").orderBy("doc_ord")
     first = real.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_docs)
     types = F.array(*[F.lit(c) for c in list(challenge_types)[:per_doc]])
-    return first.select("kb", "doc_id", "source", F.posexplode(types).alias("challenge_ord", "challenge_type"))
+    return first.select("kb", "doc_id", "source", *keep, F.posexplode(types).alias("challenge_ord", "challenge_type"))
+
+
+def scratch_requests(docs: DataFrame, settings: DataFrame, max_docs: int = MAX_DOCS_PER_SOURCE) -> DataFrame:
+    """One request per topic of each kb that has no real document and allows
+    documents from scratch.  ``settings`` holds a row per kb: ``domain``,
+    ``topics`` (null or empty: the domain's defaults) and ``synthetic_from_scratch``."""
+    count = min(MAX_SCRATCH_DOCS, max_docs)
+    real = docs.where(~F.col("is_synthetic")).select("kb").distinct()
+    bare = settings.where("synthetic_from_scratch").join(real, "kb", "left_anti")
+    given = bare.where(F.size("topics") > 0).select(
+        "kb", "domain", F.posexplode(F.slice("topics", 1, count)).alias("topic_no", "topic"))
+    default = default_topics(bare.where(~F.coalesce(F.size("topics") > 0, F.lit(False))).select("kb", "domain"), count=count)
+    name = F.concat(F.lit("synthetic_scratch_"), F.substring(F.replace("topic", F.lit(" "), F.lit("_")), 1, 30))
+    return given.unionByName(default).withColumn("source", name)
+
+
+def scratch_documents(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Documents from the replies ``(kb, topic_no, content)`` to scratch requests;
+    a request without a reply gives none.  Ordered by topic."""
+    answered = requests.join(replies.where("content is not null"), ["kb", "topic_no"])
+    return answered.select(
+        "kb", F.concat("source", F.lit("_"), F.col("topic_no").cast("string")).alias("doc_id"), py_strip("content").alias("content"),
+        "source", F.col("topic").alias("section"), F.lit("SYNTHETIC_CHALLENGING").alias("source_type"), F.lit(True).alias("is_synthetic"),
+        F.col("topic_no").cast("bigint").alias("doc_ord"), F.lit("from_scratch").alias("challenge_type"),
+        F.lit(None).cast("string").alias("based_on"))
+
+
+def variation_requests(docs: DataFrame, scratch: DataFrame, settings: DataFrame, **options) -> DataFrame:
+    """J-07 over the documents that a kb builds on: its real ones, else those
+    made from scratch; only where ``settings.enable_synthetic``."""
+    columns = ["kb", "doc_id", "source", "section", "doc_ord"]
+    base = docs.where(~F.col("is_synthetic")).select(*columns).unionByName(scratch.select(*columns))
+    base = base.join(settings.where("enable_synthetic").select("kb"), "kb").withColumn("is_synthetic", F.lit(False))
+    return plan_variations(base, keep=["section"], **options)
+
+
+def variation_documents(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Documents from the replies ``(kb, doc_id, challenge_type, content)`` to
+    variation requests; a request without a reply gives none."""
+    answered = requests.join(replies.where("content is not null"), ["kb", "doc_id", "challenge_type"])
+    kind = F.concat(F.lit("synthetic_"), F.col("challenge_type"), F.lit("_"))
+    return answered.select(
+        "kb", F.concat(kind, "doc_id").alias("doc_id"), py_strip("content").alias("content"),
+        F.concat(kind, F.substring("doc_id", 1, 8)).alias("source"),
+        F.concat(F.coalesce("section", F.lit("")), F.lit(" ["), F.col("challenge_type"), F.lit("]")).alias("section"),
+        F.lit("SYNTHETIC_CHALLENGING").alias("source_type"), F.lit(True).alias("is_synthetic"),
+        "challenge_type", F.col("source").alias("based_on"))
+
+
+def assemble(docs: DataFrame, settings: DataFrame, scratch_replies: DataFrame, variation_replies: DataFrame,
+             **options) -> DataFrame:
+    """U-set-1, the whole chain: the documents of all sources, documents from
+    scratch for kbs that have no real one, variations on top of either.  The
+    replies of both request steps are tables, as of any model call here."""
+    scratch = scratch_documents(scratch_requests(docs, settings), scratch_replies)
+    variations = variation_documents(variation_requests(docs, scratch, settings, **options), variation_replies)
+    return build_knowledge_base(docs, scratch, variations=variations)  # scratch holds kbs without real documents only
+
+
+def kb_status(settings: DataFrame, kb: DataFrame) -> DataFrame:
+    """What each configured kb is built on: ``real``, ``scratch`` or ``none`` (a
+    warning: nothing real was found and nothing may or could be made)."""
+    made = F.col("challenge_type") == "from_scratch"
+    found = kb.groupBy("kb").agg(F.count_if(~F.col("is_synthetic")).alias("real"), F.count_if(made).alias("scratch"),
+                                 F.count_if(F.col("based_on").isNotNull()).alias("variations"), F.count("*").alias("documents"))
+    n = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("documents", "real", "scratch", "variations")]
+    basis = F.when(F.col("real") > 0, "real").when(F.col("scratch") > 0, "scratch").otherwise("none")
+    return settings.select("kb").join(found, "kb", "left").select("kb", basis.alias("basis"), *n)
 
 
 def grounded_slots(kb_docs: DataFrame, count: int = GROUNDED_COUNT) -> DataFrame:

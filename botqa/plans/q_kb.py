@@ -3,8 +3,10 @@ P-07, P-31..P-33, A-24..A-26)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from ..operators import kb as KB
 from ..sources import fixtures as FX
 from ..sources import pages as PG
@@ -254,3 +256,80 @@ def pr16_scratch_prompts(t):
     ctx = F.concat(F.lit("Company: "), F.col("kb"), F.lit("\nIndustry: "), F.col("domain"), F.lit("\n"))
     return tp.select("kb", "topic_no", P.render(P.SCRATCH_DOCUMENT_PROMPT, domain="domain", topic="topic",
                                                 company_context=ctx).alias("prompt"))
+
+
+# Knowledge bases of the chain: source and doc_id % 8, so that those of 3 and 7 hold synthetic documents alone.
+# Replies are texts of the given documents; some requests have none.
+_CHAIN = """
+WITH d AS (SELECT source || '_' || CAST(doc_id % 8 AS VARCHAR) AS kb, CAST(doc_id AS VARCHAR) AS doc_id, text AS content, source, lang AS section,
+                  CASE doc_id % 4 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'SCRAPED_COMPANY_SITE' WHEN 2 THEN 'SCRAPED_EXTERNAL' ELSE 'SYNTHETIC_CHALLENGING' END AS source_type,
+                  doc_id % 4 = 3 AS is_synthetic, doc_id AS doc_ord FROM documents),
+s AS (SELECT DISTINCT kb, CAST(right(kb, 1) AS INT) AS g, CASE WHEN kb LIKE 'src1%' THEN 'Legal' WHEN kb LIKE 'src2%' THEN 'gaming' ELSE 'retail' END AS domain FROM d),
+bare AS (SELECT * FROM s WHERE g = 3 AND kb NOT IN (SELECT kb FROM d WHERE NOT is_synthetic)),
+t AS (SELECT kb, v.topic_no, v.topic FROM bare JOIN (VALUES
+  ('Legal', 0, 'service agreement terms'), ('Legal', 1, 'privacy policy'), ('Legal', 2, 'liability clauses'),
+  ('Legal', 3, 'jurisdiction and governing law'), ('Legal', 4, 'dispute resolution procedures'),
+  ('gaming', 0, 'company policies and procedures'), ('gaming', 1, 'product documentation'), ('gaming', 2, 'frequently asked questions'),
+  ('gaming', 3, 'technical specifications'), ('gaming', 4, 'user guide'),
+  ('retail', 0, 'gift cards'), ('retail', 1, 'opening hours of all our shops and stands')) v(domain, topic_no, topic) ON v.domain = bare.domain),
+n AS (SELECT *, row_number() OVER (PARTITION BY kb ORDER BY doc_ord) - 1 AS rn FROM d),
+scratch AS (SELECT t.kb, 'synthetic_scratch_' || substr(replace(topic, ' ', '_'), 1, 30) AS source, topic_no, topic, n.content
+            FROM t JOIN n ON n.kb = t.kb AND n.rn = t.topic_no WHERE n.content IS NOT NULL),
+sd AS (SELECT kb, source || '_' || CAST(topic_no AS VARCHAR) AS doc_id, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content, source,
+              topic AS section, CAST(topic_no AS BIGINT) AS doc_ord FROM scratch),
+base AS (SELECT kb, doc_id, source, section, doc_ord, content FROM d WHERE NOT is_synthetic
+         UNION ALL SELECT kb, doc_id, source, section, doc_ord, content FROM sd),
+f AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY b.kb ORDER BY b.doc_ord) AS rn FROM base b JOIN s ON s.kb = b.kb WHERE s.g <> 1) x WHERE rn <= 10),
+v AS (SELECT kb, 'synthetic_' || c || '_' || doc_id AS doc_id, c || ': ' || regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content,
+             'synthetic_' || c || '_' || substr(doc_id, 1, 8) AS source, coalesce(section, '') || ' [' || c || ']' AS section, c AS challenge_type, source AS based_on
+      FROM f, (VALUES ('multi_section'), ('out_of_scope')) k(c) WHERE content IS NOT NULL AND NOT (c = 'out_of_scope' AND length(content) % 3 = 0)),
+kb_all AS (SELECT kb, doc_id, source, section, source_type, is_synthetic, NULL AS challenge_type, NULL AS based_on, content FROM d
+  UNION ALL SELECT kb, doc_id, source, section, 'SYNTHETIC_CHALLENGING', true, 'from_scratch', NULL, content FROM sd
+  UNION ALL SELECT kb, doc_id, source, section, 'SYNTHETIC_CHALLENGING', true, challenge_type, based_on, content FROM v)
+"""
+
+
+def _chain(t):
+    """Documents, settings, and the replies to scratch and variation requests."""
+    kb = F.concat("source", F.lit("_"), (F.col("doc_id") % 8).cast("string"))
+    d = (t.documents.select("doc_id", "lang", kb.alias("kb")).withColumn("doc_id", F.col("doc_id").cast("string"))
+         .join(FX.kb_docs(t), "doc_id"))
+    docs = d.select("kb", "doc_id", "content", "source", F.col("lang").alias("section"), "source_type", "is_synthetic",
+                    F.col("doc_id").cast("bigint").alias("doc_ord"))
+    group = F.substring("kb", -1, 1).cast("int")
+    domain = F.when(F.col("kb").startswith("src1"), "Legal").when(F.col("kb").startswith("src2"), "gaming").otherwise("retail")
+    own = F.array(F.lit("gift cards"), F.lit("opening hours of all our shops and stands"))
+    settings = docs.select("kb").distinct().select(
+        "kb", domain.alias("domain"), F.when(domain == "retail", own).alias("topics"), (group == 3).alias("synthetic_from_scratch"),
+        (group != 1).alias("enable_synthetic"))
+    first = F.row_number().over(Window.partitionBy("kb").orderBy("doc_ord"))
+    scratch_replies = (docs.withColumn("rn", first).where(F.col("rn") <= KB.MAX_SCRATCH_DOCS)
+                       .select("kb", (F.col("rn") - 1).alias("topic_no"), "content"))
+    scratch = KB.scratch_documents(KB.scratch_requests(docs, settings), scratch_replies)
+    challenge = F.explode(F.array(F.lit("multi_section"), F.lit("out_of_scope"))).alias("challenge_type")
+    asked = docs.where(~F.col("is_synthetic")).select("kb", "doc_id", "content").unionByName(scratch.select("kb", "doc_id", "content"))
+    variation_replies = (asked.select("kb", "doc_id", "content", challenge)
+                         .where(~((F.col("challenge_type") == "out_of_scope") & (F.length("content") % 3 == 0)))
+                         .withColumn("content", F.concat("challenge_type", F.lit(": "), py_strip("content"))))
+    return docs, settings, scratch_replies, variation_replies
+
+
+@register("USET1_source_chain", _CHAIN + """
+SELECT kb, doc_id, source, section, source_type, is_synthetic, challenge_type, based_on, length(content) AS chars, md5(content) AS content_md5 FROM kb_all
+""")
+def uset1_source_chain(t):
+    """U-set-1: documents of all sources, from scratch where a kb has no real one, variations on either."""
+    return KB.assemble(*_chain(t)).select("kb", "doc_id", "source", "section", "source_type", "is_synthetic", "challenge_type", "based_on",
+                                          F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("content_md5"))
+
+
+@register("USET1_status", _CHAIN + """
+SELECT s.kb, CASE WHEN count_if(NOT k.is_synthetic) > 0 THEN 'real' WHEN count_if(k.challenge_type = 'from_scratch') > 0 THEN 'scratch' ELSE 'none' END AS basis,
+       COUNT(k.kb) AS documents, CAST(count_if(NOT k.is_synthetic) AS BIGINT) AS real, CAST(count_if(coalesce(k.challenge_type, '') = 'from_scratch') AS BIGINT) AS scratch,
+       CAST(count_if(k.based_on IS NOT NULL) AS BIGINT) AS variations
+FROM s LEFT JOIN kb_all k ON k.kb = s.kb GROUP BY s.kb
+""")
+def uset1_status(t):
+    """U-set-1: what each knowledge base is built on, with the warning of those built on nothing."""
+    docs, settings, *replies = _chain(t)
+    return KB.kb_status(settings, KB.assemble(docs, settings, *replies))

@@ -12,7 +12,8 @@ Targets: all sizes are shared out by weight; a source stops at ``max_repeats``
 times its size, and what is left over is shared again by weight among the others.
 
 Prefix sums are cut into buckets of the order's hash, so a source that holds a
-third of the rows is summed by many tasks.
+third of the rows is summed by many tasks.  The hash takes id and text, so rows
+that share an id, or have none, spread too; only rows alike in both meet.
 
 Edges: null text has size 0 and is never taken; null source is a source of its
 own, last in order; repeated rows are documents of their own; equal rows may
@@ -41,6 +42,16 @@ def size_in_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _content(text: Column) -> Column:
+    """What parts rows of one id in the order of a source."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def order_key() -> Column:
+    """Order inside a source; its first digits are the buckets of the prefix sums."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "content"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, place, weight, target) for (source, source_size).
 
@@ -64,14 +75,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 def place(docs: DataFrame, sizes: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS,
           max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Targets and copies of each document of a table with ``doc_id``, ``source``
-    and ``size``; a column ``payload`` is carried along.
+    """Targets and copies of each document of a table with ``doc_id``, ``source``,
+    ``size`` and ``content`` (a hash of the text); a column ``payload`` is carried
+    along.
 
     Adds source_size, target, place (of the source), first (the document's offset
     in a pass over its source), copies, taken.  The order inside a source is the
-    MD5 of doc_id.  ``sizes``: the same rows without payload, if cheaper to scan.
+    MD5 of doc_id and ``content``.  ``sizes``: the same rows without payload, if cheaper to scan.
     """
-    docs, narrow = (x.withColumn("k", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    docs, narrow = (x.withColumn("k", order_key()).drop("content")
                     for x in (docs, docs if sizes is None else sizes))
     totals = staged(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "source-sizes")
     targets = staged(source_targets(totals, weights, max_repeats), "targets")
@@ -116,8 +128,8 @@ def copies_by_position(placed: DataFrame, tilt: float = TILT) -> DataFrame:
 def training_positions(docs: DataFrame, max_repeats: int = MAX_REPEATS, tilt: float = TILT, **options) -> DataFrame:
     """Targets, copies and, for the copy of each pass e = 1 .. max_repeats, its
     training time at_e (0..1) and its number position_e (from 0) in the order of
-    training: a row per document with ``doc_id``, ``source`` and ``size``; null
-    where a copy isn't taken."""
+    training: a row per document with ``doc_id``, ``source``, ``size`` and
+    ``content``; null where a copy isn't taken."""
     placed = staged(place(docs, max_repeats=max_repeats, **options), "placed")
     copies = with_row_numbers(timed_copies(placed, tilt), [F.col(c) for c in TRAINING_ORDER], "position")
     passes = [(c, e) for e in range(max_repeats) for c in ("at", "position")]
@@ -129,8 +141,8 @@ def training_positions(docs: DataFrame, max_repeats: int = MAX_REPEATS, tilt: fl
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size of each document."""
-    return docs.select("doc_id", "source", size_in_words(F.col("text")).alias("size"))
+    """doc_id, source, size and content of each document."""
+    return docs.select("doc_id", "source", size_in_words(F.col("text")).alias("size"), _content(F.col("text")).alias("content"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -138,5 +150,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     with the columns of ``docs``."""
     narrow = staged(sized(docs), "sizes")
     rows = docs.select("doc_id", "source", size_in_words(F.col("text")).alias("size"),
-                       F.struct(*[F.col(c) for c in docs.columns]).alias("payload"))
+                       _content(F.col("text")).alias("content"), F.struct(*[F.col(c) for c in docs.columns]).alias("payload"))
     return copies_by_position(place(rows, narrow, **options)).select("payload.*")

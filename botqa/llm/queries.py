@@ -83,7 +83,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COPIES = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
               CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
        FROM d GROUP BY source),

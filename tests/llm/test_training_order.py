@@ -60,3 +60,15 @@ def test_pipeline_numbers_rows_in_training_order(spark, tmp_path):
     assert [x["row_number"] for x in dealt] == list(range(len(dealt)))
     want = sorted(mixing.timed_copies(mixing.place(mixing.sized(docs))).collect(), key=lambda x: x["at"])
     assert [(x["doc_id"], x["source"]) for x in dealt] == [(x["doc_id"], x["source"]) for x in want]
+
+
+def test_rows_without_id_meet_in_no_bucket(spark):
+    """10,000 rows without an id, of unlike texts: their order is spread evenly over its first digits."""
+    rows = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"),
+                                      F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    placed = mixing.place(mixing.sized(rows), max_repeats=1)
+    assert "content" not in placed.columns and "k" not in placed.columns
+    assert sorted(x["first"] for x in placed.collect()) == [2 * i for i in range(10_000)]
+    held = mixing.sized(rows).groupBy(mixing.order_key().substr(1, 2).alias("bucket")).count()
+    most = held.agg(F.max("count"), F.count("*")).first()
+    assert most[0] < 100 and most[1] == 256

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from ..session import cut_lineage
 
 # FIXED VALUES — knowledge base
 CHALLENGE_TYPES = ["multi_section", "out_of_scope", "ambiguous", "contradictory"]
@@ -122,7 +123,7 @@ def assemble(docs: DataFrame, settings: DataFrame, scratch_replies: DataFrame, v
     """U-set-1, the whole chain: the documents of all sources, documents from
     scratch for kbs that have no real one, variations on top of either.  The
     replies of both request steps are tables, as of any model call here."""
-    scratch = scratch_documents(scratch_requests(docs, settings), scratch_replies)
+    scratch = cut_lineage(scratch_documents(scratch_requests(docs, settings), scratch_replies))  # used twice, a few rows per bare kb
     variations = variation_documents(variation_requests(docs, scratch, settings, **options), variation_replies)
     return build_knowledge_base(docs, scratch, variations=variations)  # scratch holds kbs without real documents only
 

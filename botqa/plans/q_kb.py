@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..operators import kb as KB
+from ..session import cut_lineage
 from ..sources import fixtures as FX
 from ..sources import pages as PG
 from .registry import QUERIES, register
@@ -299,13 +300,13 @@ def _chain(t):
     group = F.substring("kb", -1, 1).cast("int")
     domain = F.when(F.col("kb").startswith("src1"), "Legal").when(F.col("kb").startswith("src2"), "gaming").otherwise("retail")
     own = F.array(F.lit("gift cards"), F.lit("opening hours of all our shops and stands"))
-    settings = docs.select("kb").distinct().select(
+    settings = cut_lineage(docs.select("kb").distinct()).select(
         "kb", domain.alias("domain"), F.when(domain == "retail", own).alias("topics"), (group == 3).alias("synthetic_from_scratch"),
         (group != 1).alias("enable_synthetic"))
     first = F.row_number().over(Window.partitionBy("kb").orderBy("doc_ord"))
     scratch_replies = (docs.withColumn("rn", first).where(F.col("rn") <= KB.MAX_SCRATCH_DOCS)
                        .select("kb", (F.col("rn") - 1).alias("topic_no"), "content"))
-    scratch = KB.scratch_documents(KB.scratch_requests(docs, settings), scratch_replies)
+    scratch = cut_lineage(KB.scratch_documents(KB.scratch_requests(docs, settings), scratch_replies))
     challenge = F.explode(F.array(F.lit("multi_section"), F.lit("out_of_scope"))).alias("challenge_type")
     asked = docs.where(~F.col("is_synthetic")).select("kb", "doc_id", "content").unionByName(scratch.select("kb", "doc_id", "content"))
     variation_replies = (asked.select("kb", "doc_id", "content", challenge)

@@ -6,6 +6,7 @@ import os
 import random
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from botqa.operators import learn as L
@@ -160,3 +161,74 @@ def test_a_batch_reads_only_the_buckets_it_falls_into(spark, tmp_path):
     SJ.regression_library_stream(_stream(spark, src), scenarios, folder=folder)
     new = spark.read.option("basePath", out).parquet(*[f"{out}/bucket={b}" for b in mine]).where("batch_id = 1").collect()
     assert [(r.input, r.seq) for r in new] == [("in 79", 101)]
+
+
+class _BucketState:
+    """Stands in for the state of one bucket of panels."""
+
+    def __init__(self):
+        self.value, self.due, self.watermark, self.hasTimedOut = None, None, 0, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms >= self.watermark
+        self.due = ms
+
+
+def test_a_bucket_of_panels_steps_like_its_panels_one_by_one():
+    """All panels of a bucket in one call per batch, against plain Python by panel:
+    votes repeated and late, panels that close, time out, or get votes once closed."""
+    rng, wait, slots = random.Random(4), 50, 3
+    step, state = SJ._panel_step(slots, wait), _BucketState()
+    votes, last, due, closed, watermark, total = {}, {}, {}, set(), 0, 0
+    for batch in range(40):
+        rows = [(rng.randrange(300), rng.randrange(slots), rng.random() < 0.5, rng.choice(["HALLUCINATION", None]), 30 * batch + rng.randrange(60))
+                for _ in range(rng.randrange(60) if batch < 35 else 0)]
+        state.watermark, expected = watermark, []
+        for panel, slot, passed, kind, ms in rows:
+            last[panel] = max(last.get(panel, 0), ms)
+            if panel not in closed:
+                votes.setdefault(panel, {}).setdefault(slot, (passed, kind))
+        touched = {r[0] for r in rows}
+        for panel in touched:
+            due[panel] = max(last[panel] + wait, watermark + 1)
+            if panel not in closed and len(votes[panel]) == slots:
+                closed.add(panel)
+                expected += [(panel, s, *v) for s, v in votes.pop(panel).items()]
+        for panel in [p for p in due if p not in touched and due[p] < watermark]:
+            expected += [(panel, s, *v) for s, v in votes.pop(panel, {}).items()]
+            closed.discard(panel)
+            del due[panel], last[panel]
+        state.hasTimedOut = not rows and state.exists and state.due < watermark
+        got = []
+        if rows or state.hasTimedOut:
+            pdf = pd.DataFrame(rows, columns=["scenario_id", "slot", "passed", "failure_type", "ms"])
+            for out in step((7,), iter([pdf[:10], pdf[10:]] if rows else []), state):
+                got += [(r.scenario_id, r.slot, r.passed, r.failure_type) for r in out.itertuples()]
+        assert sorted(got, key=str) == sorted(expected, key=str)
+        total += len(got)
+        watermark = max([watermark, *(r[4] - 20 for r in rows)]) if batch < 35 else watermark + 40
+    assert total > 300 and not state.exists
+
+
+def test_votes_without_a_time_or_a_scenario(spark, tmp_path):
+    """A panel is complete without any time given; one that is not stays open. Votes without a scenario are one panel."""
+    day, src = dt.datetime(2024, 1, 1), str(tmp_path)
+    _write(spark, [(1, s, True, None, 0.9, None) for s in range(3)] + [(2, 0, True, None, 0.9, None)]
+           + [(None, s, False, "INCOMPLETE", 0.9, day) for s in range(3)], src, "b1", 1_000_000_000)
+    _write(spark, [(3, 0, True, None, 0.9, day + dt.timedelta(days=9))], src, "b2", 1_000_000_100)
+    schema = spark.read.parquet(os.path.join(src, "b1")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    out = {r.scenario_id: (r.pass_votes, r.fail_votes) for r in SJ.panel_close_stream(stream).collect()}
+    assert out == {1: (3, 0), None: (0, 3)}

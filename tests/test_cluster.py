@@ -177,3 +177,55 @@ def test_text_embeddings_weigh_rare_words(spark):
     assert math.sumprod(a, b) == pytest.approx(0)  # the word that all share weighs nothing
     assert not any(c)
     assert C.text_embeddings(df.limit(0)).count() == 0
+
+
+def test_tiles_give_the_least_weight_of_direct_differences(monkeypatch):
+    """Matrix products only narrow the search: weights are those of direct differences to the
+    last bit and ties go to the first row, for copies, near copies, lattices and all scales."""
+    monkeypatch.setattr(C, "_ROWS", 16)
+    monkeypatch.setattr(C, "_COLUMNS", 32)
+    rng = np.random.default_rng(3)
+    for case in range(80):
+        dim, n, m = (int(x) for x in rng.integers(1, [70, 90, 120]))
+        a, b = rng.normal(size=(n, dim)), rng.normal(size=(m, dim))
+        if case % 4 == 1:
+            a, b = (rng.integers(0, 3, x.shape) / 7.0 for x in (a, b))
+        elif case % 4 == 2:
+            base = rng.normal(size=(9, dim)) + 100
+            a, b = base[rng.integers(0, 9, n)], base[rng.integers(0, 9, m)] + (rng.random((m, 1)) < 0.5) * 1e-7
+        elif case % 4 == 3:
+            a, b = a * 10.0 ** rng.integers(-8, 8), b * 10.0 ** rng.integers(-8, 8)
+        a_core, b_core = (rng.choice([0.0, 0.1, 1.0], len(x)) for x in (a, b))
+        a_mark, b_mark = (rng.integers(0, 20, len(x)) for x in (a, b))
+        w = np.maximum(np.maximum(C._dist(a, b), a_core[:, None]), b_core[None])
+        w[a_mark[:, None] == b_mark[None]] = np.inf
+        best, at = C._lightest(a, b, a_core, b_core, a_mark, b_mark)
+        assert (best == w.min(axis=1)).all()
+        assert (at == w.argmin(axis=1))[np.isfinite(best)].all()
+
+
+def test_points_are_copied_to_a_bounded_number_of_blocks_and_not_searched_again(spark, monkeypatch):
+    """A run of 3000 points makes 16 blocks of any size; once components are large, points whose
+    edge still leads out of them, or that lie deep inside, are not searched again."""
+    searched, over_pairs = [], C._over_pairs
+
+    def counted(left, right, *rest):
+        searched.append((left.count(), right.count()))
+        return over_pairs(left, right, *rest)
+
+    monkeypatch.setattr(C, "_over_pairs", counted)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(0, 1, (3000, 8))
+    points = spark.createDataFrame([("r", i, [float(x) for x in v]) for i, v in enumerate(vectors)], "run string, pid long, vec array<double>")
+    assert C._dealt(points, 8, "i").agg(F.max("is")).first()[0] == C._PARTS
+    tree = C.mst(points, C.core_distances(points, block_size=400), block_size=400)
+    assert tree.count() == 2999
+    rounds = [n for n, _ in searched[1:]]
+    assert rounds[:2] == [3000, 3000] and len(rounds) > 3 and sum(rounds[2:]) < 3000
+
+
+def test_points_without_a_vector_are_noise(spark):
+    rows = [*[("r", i, [float(i // 3), 0.0]) for i in range(9)], ("r", 9, None)]
+    df = spark.createDataFrame(rows, "run_id string, result_id long, embedding array<double>")
+    out = {r.result_id: r.cluster for r in C.density_clusters(df).collect()}
+    assert out[9] == -1 and len({out[i] for i in range(9)}) == 3

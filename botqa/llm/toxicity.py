@@ -138,7 +138,9 @@ def _scorer(text: str, lexicon: Lexicon, lam: float, drift: float):
                 gain[again] = 0  # a word said over and over counts once, as in the counts by document
                 total = np.cumsum(gain - drift)
                 positive = np.flatnonzero(gain > drift)
-                cut = np.flatnonzero(np.r_[True, row[positive][1:] != row[positive][:-1]]) if len(positive) else []
+                if not len(positive):  # ordinary text alone
+                    continue
+                cut = np.flatnonzero(np.r_[True, row[positive][1:] != row[positive][:-1]])
                 for a, b in zip(cut, [*cut[1:], len(positive)], strict=True):
                     some = positive[a:b]
                     left, right = total[some] - gain[some] + drift, total[some]

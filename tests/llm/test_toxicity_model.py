@@ -7,8 +7,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from botqa.llm import toxicity as t
+from botqa.llm.common import BLOCK_BYTES
 
 
 def _features(text):
@@ -117,3 +119,30 @@ def test_labels_of_one_fold(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     got = [r["score"] for r in t.ToxicityModel(docs, labels).score(docs).collect()]
     assert len(set(got)) == 1 and 0 < got[0] < 1
+
+
+def test_block_of_ordinary_text(spark):
+    """Blocks, and whole tables, in which no word is in the lexicon."""
+    rows = _corpus(random.Random(3), 60)
+    docs = spark.createDataFrame([(i, text) for i, text, _ in rows], "doc_id long, text string")
+    model = t.ToxicityModel(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    score, lam, *_ = _model([(text, y) for _, text, y in rows], [text for _, text, _ in rows])
+    toxic, long = "idiot trash " * 3, "idiot trash some calm speech " * (BLOCK_BYTES // 29 + 1)
+    for texts in ([long, "some calm speech", toxic, "", None, long, "calm speech", long], ["some calm speech"], [None, "calm", ""]):
+        made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: r for r in model.score(made).collect()}
+        assert len(got) == len(texts)
+        for i, text in enumerate(texts):
+            assert got[i]["tokens"] == len(_features(text)) and bool(got[i]["passages"]) == (text in (toxic, long))
+            if text != long:
+                assert got[i]["evidence"] == pytest.approx(_evidence(text, score, lam))
+
+
+def test_fold_of_ordinary_text(spark):
+    """A fold of the sample in which no word is in the lexicon learnt without it."""
+    texts = [*(f"idiot trash {w} fool" for w in "abcdefgh"), *(f"calm{i} speech{i}" for i in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(t.FOLDS)))
+    docs = docs.where("fold > 0 or text like 'calm%'").drop("fold")
+    labels = docs.selectExpr("doc_id", "int(text like 'idiot%') toxic")
+    got = [(r["text"], r["score"]) for r in t.ToxicityModel(docs, labels).score(docs).join(docs, "doc_id").collect()]
+    assert min(s for x, s in got if "idiot" in x) > max(s for x, s in got if "calm" in x)
